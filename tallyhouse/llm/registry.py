@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, exact, oracles, packing, simhash, substring, warc
+from tallyhouse.llm import bpe, exact, forest, oracles, packing, simhash, substring, toxicity, warc
 from tallyhouse.llm.common import SPACE_CLASS, fresh_path
 
 
@@ -34,11 +34,22 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    out = toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), usable=fold != 1)
+    return out.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, max_bits=2, seed=42)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return forest.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def _byte_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = zip(batch.column(1), batch.column(2).to_pylist(), strict=True)
