@@ -1,16 +1,77 @@
-"""Corpus cleaning as stages over documents: each stage works on what the one before has kept."""
+"""Corpus cleaning as stages over documents: each stage works on what the one before has kept.
+
+A stage takes (spark, docs, sf_dir), calls one operator and returns a DataFrame; all but the last return the columns of
+documents. No stage samples, caps or cuts rows.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyhouse.llm import exact, packing, simhash, substring, toxicity
+from tallyhouse.llm.common import row_key, staged
+
+THRESHOLD = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under THRESHOLD by a model of all labelled rows."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=F.lit(True))
+    return model.score(docs.select(F.struct("*").alias("row"))).where(F.col("score") < THRESHOLD).select("row.*")
+
+
+def _one_of_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of docs whose key (of doc_id and text) is chosen, one of each; chosen may repeat a key."""
+    keys = chosen.groupBy("key").agg(F.count("*").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), row_key("doc_id", F.coalesce("text", F.lit(""))).alias("key")).join(keys, "key")
+    return rows.where("copies = 1").select("row").unionByName(rows.where("copies > 1").dropDuplicates(["key"]).select("row")).select("row.*")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of equal texts: the longest original, then the smallest doc_id."""
+    texts = docs.select("doc_id", "text", row_key("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
+    stays = exact.deduplicate(docs).where("kept").select("doc_id", "locator").distinct()
+    own = texts.select("key", F.col("doc_id").alias("id"), row_key(F.coalesce("text", F.lit(""))).alias("at"))
+    return _one_of_each(docs, own.join(stays, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("locator"))).select("key"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every SimHash group: the smallest doc_id."""
+    rows = docs.select(F.struct("doc_id", row_key("doc_id", F.coalesce("text", F.lit(""))).alias("key")).alias("id"), "text")
+    found = simhash.near_duplicates(rows, id_col="id")
+    return _one_of_each(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.key"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its text without the words of passages that occur elsewhere too; n_chars follows the text."""
+    others = [c for c in docs.columns if c != "text"]
+    out = substring.remove_repeats(docs.select(F.struct(*others).alias("others"), "text"), id_col="others")
+    known = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    return out.select(*(known[c].alias(c) if c in known else F.col(f"doc_id.`{c}`") for c in docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and place."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact-dedup", drop_exact_copies),
+    ("simhash-near-dedup", drop_near_copies),
+    ("substring-dedup", cut_repeats),
+    ("best-fit-packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Neither the trained scores nor the tokenizer can be written as SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the whole documents table."""
+    """The rows of the last stage over the whole documents table; each stage's rows are written before the next begins."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,14 +11,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, exact, forest, oracles, packing, simhash, substring, toxicity, warc
-from tallyhouse.llm.common import SPACE_CLASS, fresh_path
+from tallyhouse.llm import bpe, chat, exact, forest, oracles, packing, rollup, simhash, substring, toxicity, warc
+from tallyhouse.llm.common import SPACE_CLASS, fresh_path, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, the first of them given twice: all documents come; copies of a text that came with a
+    smaller id go; and every count left is revised by one, for the separator that training puts after a document."""
+    docs = _table(spark, sf_dir, "documents")
+    versions = {x: public_tokenizers.path(f"{x}.tiktoken") for x in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("source", "lang", "text", F.struct("doc_id", F.sha2(text, 256).alias("digest")).alias("id"))
+    counts = staged(rollup.token_counts(keyed, versions, public_tokenizers.PATTERN, id_col="id"), "counts").select("key.doc_id", "key.digest", *rollup.KEYS, "n_tokens")
+    first = F.min(F.struct("doc_id", "source", "lang", "n_tokens")).alias("first")
+    left = staged(counts.groupBy("digest", "tokenizer").agg(first).select("first.source", "first.lang", "tokenizer", "first.n_tokens"), "left")
+    totals = rollup.TokenRollup(spark)
+    for _ in range(2):
+        totals.commit("come", rollup.inserts(counts.select(*rollup.KEYS, "n_tokens")))
+    totals.commit("copies-go", rollup.revisions(counts.select(*rollup.KEYS, "n_tokens"), left.select(*rollup.KEYS, "n_tokens")))
+    totals.commit("with-separator", rollup.revisions(left, left.withColumn("n_tokens", F.col("n_tokens") + 1)))
+    return totals.totals()
+
+
+def op2_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical turns of all conversations, from transcripts whose roles are hidden behind markers and line forms."""
+    rough = staged(chat.rough_transcripts(_table(spark, sf_dir, "conversations")), "rough")
+    parsed = staged(chat.parse(rough.drop("role"), chat.learn(rough)), "parsed")
+    return chat.render(parsed).select(F.col("conv").alias("conv_id"), "place", "role", "begins", "text")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 

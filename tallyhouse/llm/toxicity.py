@@ -87,18 +87,28 @@ class Features:
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch], lexicons: list[list[str]], fold: bool) -> Iterator[pa.RecordBatch]:
-    """Columns: passed on as they are, then text last; with fold, the column before it tells which lexicon serves a row."""
+    """The last column holds the text, or whole rows with a field text; with fold, the column before it tells which lexicon serves a row."""
     makers = [Features(x) for x in lexicons]
     for batch in batches:
-        passed = batch.columns[:-1]
-        which = passed[-1].to_pylist() if fold else [0] * len(batch)
-        table = np.array([makers[w].row(t.as_py()) for w, t in zip(which, batch.columns[-1].cast(pa.binary()), strict=True)], float).reshape(len(batch), len(FEATURES))
-        yield pa.RecordBatch.from_arrays([*passed, *(pa.array(table[:, i]) for i in range(len(FEATURES)))], names=[*batch.schema.names[:-1], *FEATURES])
+        for at in range(0, len(batch), 1024):
+            part = batch.slice(at, 1024)
+            last = part.columns[-1]
+            whole = pa.types.is_struct(last.type)
+            passed = part.columns if whole else part.columns[:-1]
+            which = part.columns[-2].to_pylist() if fold else [0] * len(part)
+            texts = (last.field("text") if whole else last).cast(pa.binary())
+            table = np.array([makers[w].row(t.as_py() or b"") for w, t in zip(which, texts, strict=True)], float).reshape(len(part), len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*passed, *(pa.array(table[:, i]) for i in range(len(FEATURES)))], names=[*part.schema.names[: len(passed)], *FEATURES])
+
+
+def _passed(rows: DataFrame) -> list:
+    fields = rows.schema.fields
+    return fields if fields[-1].dataType.typeName() == "struct" else fields[:-1]
 
 
 def features(rows: DataFrame, lexicons: list[list[str]], fold: bool = False) -> DataFrame:
-    """rows with its last column, the text, replaced by its features."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"{x} double" for x in FEATURES)])
+    """rows with features after their columns. The last column is the text, which goes, or a struct of whole rows with a field text, which stays."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in _passed(rows)), *(f"{x} double" for x in FEATURES)])
     return rows.mapInArrow(partial(_feature_batches, lexicons=lexicons, fold=fold), schema)
 
 
@@ -131,12 +141,12 @@ class ToxicityModel:
         self.lexicon, self.trees, self.calibration, self.prior = lexicon, trees, calibration, prior
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """rows, whose last column is the text, with score and without the text.
+        """rows with score. Their last column is the text, which goes, or a struct of whole rows with a field text, which stays.
 
         Calibrated scores are steps; a hundredth of the trees' own probability orders rows within a step.
         """
         table = features(rows, [self.lexicon])
-        keep = [f"`{c}`" for c in rows.columns[:-1]]
+        keep = [f"`{f.name}`" for f in _passed(rows)]
         if self.trees is None:
             return table.select(*keep, F.least(F.lit(0.99), F.lit(self.prior) + F.col("seed_density") / 100).alias("score"))
         raw = self.trees.transform(VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(table)).withColumn("_p", vector_to_array("_probability")[1])
