@@ -32,11 +32,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write are of no further use.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df, written once to the shared folder and read back: its lineage is cut and survives lost executors."""
+    """df, written once to the shared folder and read back: its lineage is cut and survives lost executors, and its shuffle files go."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
+    path, before = fresh_path(spark, label), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

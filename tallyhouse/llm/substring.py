@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import documents, row_key, word_blocks
+from tallyhouse.llm.common import documents, row_key, staged, word_blocks
 
 #: Hashes that a task holds before it counts and passes them on.
 SLAB = 1 << 20
@@ -190,10 +190,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.select("doc_id", row_key("doc_id", "text").alias("key"), "text")
     anchors = rows.select("key", "text").mapInArrow(partial(_anchors, width=width), "h0 bigint, key bigint, place int, n tinyint")
-    shared = _repeated(anchors, ["h0"])
+    # each step is written before the next: the disk holds the shuffle files of one step at a time
+    shared = staged(_repeated(anchors, ["h0"]), "anchors")
     around = rows.join(shared, "key").select("key", "text", "places")
     windows = around.mapInArrow(partial(_windows, width=width), "h0 bigint, h1 bigint, key bigint, place int, n tinyint")
-    repeated = _repeated(windows, ["h0", "h1"])
+    repeated = staged(_repeated(windows, ["h0", "h1"]), "windows")
     return rows.join(repeated, "key", "left").select("doc_id", "key", "text", "places").mapInArrow(
         partial(_cut, width=width), f"doc_id {kind}, key bigint, n_words bigint, n_removed bigint, kept_text string"
     )
