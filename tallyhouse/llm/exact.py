@@ -19,6 +19,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores share a disk: files take the room they need, not what might be needed
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
