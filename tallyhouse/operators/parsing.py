@@ -15,17 +15,16 @@ def _date(text: Column, pattern: str, shape: str) -> Column:
     return F.when(F.year(day) >= 1, day)
 
 
-def cell(record: Column, name: str) -> tuple[Column, Column, Column]:
-    """(value, is missing, is invalid) of a field of a variant record.
+def _seen(record: Column, name: str) -> tuple[Column, Column]:
+    """(type, stripped text) of a field of a variant record; the type of an absent field is null."""
+    return F.schema_of_variant(F.variant_get(record, f"$.{name}", "variant")), F.regexp_replace(F.try_variant_get(record, f"$.{name}", "string"), _EDGES, "")
 
-    Null, absent and blank are missing; a value of another type or out of range is invalid. Neither ever fails.
-    """
-    raw = F.variant_get(record, f"$.{name}", "variant")
-    kind = F.schema_of_variant(raw)
-    text = F.regexp_replace(F.try_variant_get(record, f"$.{name}", "string"), _EDGES, "")
+
+def _typed(kind: Column, text: Column, name: str) -> tuple[Column, Column]:
+    """(value, is missing) by the type and text that _seen() gave."""
     is_text, is_integer = kind == "STRING", kind == "BIGINT"
-    missing = raw.isNull() | (kind == "VOID") | (is_text & (text == ""))
-    number = F.when(is_integer, F.try_variant_get(record, f"$.{name}", "bigint"))
+    missing = F.coalesce((kind == "VOID") | (is_text & (text == "")), F.lit(True))
+    number = F.when(is_integer, text.try_cast("bigint"))
     if KINDS[name] == "text":
         value = F.when(is_text, text)
     elif KINDS[name] == "identifier":
@@ -33,23 +32,35 @@ def cell(record: Column, name: str) -> tuple[Column, Column, Column]:
     elif KINDS[name] == "integer":
         value = F.when(number >= 0, number)
     elif KINDS[name] == "boolean":
-        value = F.when(kind == "BOOLEAN", F.try_variant_get(record, f"$.{name}", "boolean")).when(number.isin(0, 1), number == 1)
+        value = F.when(kind == "BOOLEAN", text == "true").when(number.isin(0, 1), number == 1)
     elif KINDS[name] == "date":
         value = F.when(is_text, _date(text, "yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"))
     else:
-        amount = F.when(is_integer | kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.try_variant_get(record, f"$.{name}", TYPES["decimal"]))
+        amount = F.when(is_integer | kind.startswith("DECIMAL"), text.try_cast(TYPES["decimal"])).when(kind == "DOUBLE", text.try_cast("double").try_cast(TYPES["decimal"]))
         value = F.when(amount >= 0, amount)
-    missing = F.coalesce(missing, F.lit(True))
-    value = F.when(~missing, value)
+    return F.when(~missing, value), missing
+
+
+def cell(record: Column, name: str) -> tuple[Column, Column, Column]:
+    """(value, is missing, is invalid) of a field of a variant record.
+
+    Null, absent and blank are missing; a value of another type or out of range is invalid. Neither ever fails.
+    """
+    value, missing = _typed(*_seen(record, name), name)
     return value, missing, ~missing & value.isNull()
 
 
 def parse_json(lines: DataFrame, line: str = "line") -> DataFrame:
     """lines with one typed column per field, and the names of missing and of invalid fields. A line that is no JSON object has all fields missing."""
+    # a field's type and text, then its value, then the lists of names: each step reads columns, so nothing is worked out twice
+    seen = {n: _seen(F.col("_record"), n) for n in FIELDS}
     rows = lines.withColumn("_record", F.try_parse_json(F.col(line)))
-    cells = {name: cell(F.col("_record"), name) for name in FIELDS}
-    names = lambda i: F.filter(F.array(*[F.when(c[i], F.lit(n)) for n, c in cells.items()]), lambda x: x.isNotNull())
-    return rows.select(*lines.columns, *[c[0].cast(TYPES[KINDS[n]]).alias(n) for n, c in cells.items()], names(1).alias("missing_fields"), names(2).alias("invalid_fields"))
+    rows = rows.select(*lines.columns, *[c.alias(f"_{k}_{n}") for n, pair in seen.items() for k, c in zip(("kind", "text"), pair, strict=True)])
+    typed = {n: _typed(F.col(f"_kind_{n}"), F.col(f"_text_{n}"), n) for n in FIELDS}
+    rows = rows.select(*lines.columns, *[c.alias(f"_{k}_{n}") for n, pair in typed.items() for k, c in zip(("value", "missing"), pair, strict=True)])
+    names = lambda flag: F.filter(F.array(*[F.when(flag(n), F.lit(n)) for n in FIELDS]), lambda x: x.isNotNull())
+    missing, invalid = names(lambda n: F.col(f"_missing_{n}")), names(lambda n: ~F.col(f"_missing_{n}") & F.col(f"_value_{n}").isNull())
+    return rows.select(*lines.columns, *[F.col(f"_value_{n}").cast(TYPES[KINDS[n]]).alias(n) for n in FIELDS], missing.alias("missing_fields"), invalid.alias("invalid_fields"))
 
 
 def csv_cell(column: Column, name: str) -> tuple[Column, Column, Column]:

@@ -40,8 +40,10 @@ def append(results: DataFrame, path: str) -> None:
 def retain(history: DataFrame, limit: int) -> DataFrame:
     """history with the latest limit valid lines of each history, in place; malformed and blank lines stay."""
     rows = readout(history)
-    place = F.row_number().over(Window.partitionBy("history_id", "is_valid").orderBy(F.desc("position")))
-    return rows.withColumn("place", place).where(~F.col("is_valid") | (F.col("place") <= limit)).select("history_id", "position", "line")
+    place = F.row_number().over(Window.partitionBy("history_id").orderBy(F.desc("position")))
+    # a limit on a rank alone is applied before rows move, so a hot history costs a few rows per task
+    latest = rows.where("is_valid").select("history_id", "position", "line").withColumn("place", place).where(F.col("place") <= limit).drop("place")
+    return latest.unionByName(rows.where("not is_valid").select("history_id", "position", "line"))
 
 
 def listing(history: DataFrame) -> DataFrame:
