@@ -167,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = 40_0
     mix = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)).cast("int")
     if total > max_rows:
         known = known.where(mix("sample", 1_000_000) < int(1e6 * max_rows / total))
-    rows = documents(docs, id_col, text_col).join(known, "doc_id").select("doc_id", "toxic", mix("fold", 2).alias("fold"), "text")
+    # max_rows bounds the labels that are left, so they go to the texts
+    rows = documents(docs, id_col, text_col).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", mix("fold", 2).alias("fold"), "text")
     sample = staged(rows, "labelled")
     sizes = {(r.fold, r.toxic): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
     number = lambda toxic, *folds: sum(n for (f, t), n in sizes.items() if f in folds and (t > 0) == toxic)
