@@ -13,7 +13,7 @@ The result is the one Viterbi path of the whole transcript. Turns are rendered i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +142,32 @@ def _coded(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(add, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), "symbol int"]))
 
 
+def by_group(df: DataFrame, keys: list[str], order: str, job: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """The results of job over each group of rows, in order. Groups are small: a task holds one Arrow batch and one group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+            if not len(table):
+                continue
+            new = np.zeros(len(table), bool)
+            for k in keys:
+                for column in (table[k].is_null(), table[k].fill_null(0)):
+                    x = column.to_numpy()
+                    new[1:] |= x[1:] != x[:-1]
+            starts = np.r_[0, np.flatnonzero(new)]
+            done = [job(table.slice(a, b - a)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            rest = table.slice(int(starts[-1]))
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+        if rest is not None and len(rest):
+            yield from job(rest).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 def parse(transcript: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
     """(conv, place, role, begins, line) for every line of lines(): its role, whether it begins a turn, its text without marker.
 
@@ -167,47 +193,43 @@ def parse(transcript: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
     flat = pa.list_(pa.float64())
 
     def block_matrix(t: pa.Table) -> pa.Table:
-        t = t.sort_by("place")
         b = t["block"][0].as_py()
         m = model.matrix(t["symbol"].to_numpy(), b == 0)
         return table(conv=t["conv"][:1], block=pa.array([b], pa.int64()), run=pa.array([b // block], pa.int64()), m=pa.array([m.ravel().tolist()], flat))
 
     shape = (len(STATES), len(STATES))
     square = lambda c: [np.array(x).reshape(shape) for x in c.to_pylist()]
-    blocks = staged(coded.select("conv", "place", "block", "symbol").groupBy("conv", "block").applyInArrow(block_matrix, "conv bigint, block bigint, run bigint, m array<double>"), "blocks")
+    blocks = staged(by_group(coded.select("conv", "place", "block", "symbol"), ["conv", "block"], "place", block_matrix, "conv bigint, block bigint, run bigint, m array<double>"), "blocks")
 
     def run_matrix(t: pa.Table) -> pa.Table:
-        t = t.sort_by("block")
         out, *rest = square(t["m"])
         for m in rest:
             out = product(out, m)
         return table(conv=t["conv"][:1], run=t["run"][:1], m=pa.array([out.ravel().tolist()], flat))
 
     def run_ends(t: pa.Table) -> pa.Table:
-        t = t.sort_by("run")
         path = ends(square(t["m"]), None, None)
         return table(conv=t["conv"], run=t["run"], begin=pa.array([None, *path[:-1]], pa.int32()), end=pa.array(path, pa.int32()))
 
     # one row stands for block * block lines here
-    runs = blocks.groupBy("conv", "run").applyInArrow(run_matrix, "conv bigint, run bigint, m array<double>").groupBy("conv").applyInArrow(run_ends, "conv bigint, run bigint, begin int, end int")
+    runs = by_group(blocks, ["conv", "run"], "block", run_matrix, "conv bigint, run bigint, m array<double>")
+    runs = by_group(runs, ["conv"], "run", run_ends, "conv bigint, run bigint, begin int, end int")
 
     def block_ends(t: pa.Table) -> pa.Table:
-        t = t.sort_by("block")
         begin, end = t["begin"][0].as_py(), t["end"][0].as_py()
         path = ends(square(t["m"]), begin, end)
         return table(conv=t["conv"], block=t["block"], begin=pa.array([begin, *path[:-1]], pa.int32()), end=pa.array(path, pa.int32()))
 
     inside = blocks.alias("b").join(runs.alias("r"), same("b", "r", "conv", "run")).select("b.conv", "b.block", "b.run", "m", "begin", "end")
-    bounds = inside.groupBy("conv", "run").applyInArrow(block_ends, "conv bigint, block bigint, begin int, end int")
+    bounds = by_group(inside, ["conv", "run"], "block", block_ends, "conv bigint, block bigint, begin int, end int")
 
     def traced(t: pa.Table) -> pa.Table:
-        t = t.sort_by("place")
         path = model.trace(t["symbol"].to_numpy(), t["begin"][0].as_py(), t["end"][0].as_py())
         n = len(ROLES)
         return table(conv=t["conv"], place=t["place"], role=pa.array([ROLES[s % n] for s in path]), begins=pa.array([s < n for s in path]), line=pa.array([unmarked(x) if s < n else x for x, s in zip(t["line"].to_pylist(), path, strict=True)], pa.string()))
 
     joined = coded.alias("c").join(bounds.alias("b"), same("c", "b", "conv", "block")).select("c.conv", "c.place", "c.block", "c.symbol", "c.line", "begin", "end")
-    return joined.groupBy("conv", "block").applyInArrow(traced, "conv bigint, place bigint, role string, begins boolean, line string")
+    return by_group(joined, ["conv", "block"], "place", traced, "conv bigint, place bigint, role string, begins boolean, line string")
 
 
 def render(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
