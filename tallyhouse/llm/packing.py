@@ -22,12 +22,18 @@ from tallyhouse.llm.common import documents, staged
 from tallyhouse.llm.tokens import word_tokenizer
 
 
+#: Texts that are tokenized together.
+SLAB = 64
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     tokenizer, end = word_tokenizer(path), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         source, piece, start, length, crc = [], [], [], [], []
-        for row, text in enumerate(batch.column(1).cast(pa.binary())):
-            ids = tokenizer.ids(text.as_py()) + end
+        texts = batch.column(1).cast(pa.binary())
+        found = (ids for at in range(0, len(texts), SLAB) for ids in tokenizer.ids(texts.slice(at, SLAB).to_pylist()))
+        for row, ids in enumerate(found):
+            ids += end
             n = len(ids) // 4
             for k, at in enumerate(range(0, n, capacity)):
                 source.append(row)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import json
 import os
+import unicodedata
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -21,9 +23,9 @@ class WordTokenizer:
     them, are given to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         with open(path, encoding="utf-8") as f:
@@ -32,6 +34,9 @@ class WordTokenizer:
         folds = {x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers") or []}
         self.by_word = steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and "Lowercase" in folds
         self.special = [x["content"].encode() for x in spec.get("added_tokens") or []]
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -39,8 +44,6 @@ class WordTokenizer:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
         known, cores, tails = self.known, set(), []
         for w in words:
             core = w.rstrip(TAIL)
@@ -49,36 +52,35 @@ class WordTokenizer:
                 cores |= {core, w[len(core) :]}
             else:
                 cores.add(w)
-        cores = [c for c in cores if c not in known]
-        plain = [c for c in cores if c.isalpha()]
-        # a run of letters is one word to the tokenizer, and its last id is marked as an end
-        rows = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        rest = [c for c in cores if not c.isalpha()]
-        for row, ids in zip(rows, self._encode([b" ".join(r).decode() for r in rows]), strict=True):
-            ids = np.array(ids, "<u4")
+        plain, rest = [], []
+        for c in cores:
+            if c not in known:
+                word = c.decode()
+                (plain if word.isalpha() and (c.isascii() or (word == word.lower() and unicodedata.is_normalized("NFC", word))) else rest).append(word)
+        # a run of normal letters is one word to the tokenizer as it is, and its last id is marked as an end
+        rows = [plain[i : i + 400] for i in range(0, len(plain), 400)]
+        for row, found in zip(rows, self.letters.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(row):
                 data = ids.tobytes()
-                known.update(zip(row, (data[4 * a : 4 * b] for a, b in zip(np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True)), strict=True))
+                known.update(zip(map(str.encode, row), (data[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
             else:
                 rest += row
-        known.update(zip(rest, (np.array(ids, "<u4").tobytes() for ids in self._encode([c.decode() for c in rest])), strict=True))
+        known.update(zip(map(str.encode, rest), (np.array(ids, "<u4").tobytes() for ids in self._encode(rest)), strict=True))
         for w, core, tail in tails:
             known[w] = known[core] + known[tail]
 
-    def ids(self, data: bytes) -> bytes:
-        """The ids of a text in UTF-8, as little-endian 32-bit numbers."""
-        if not self.by_word or any(s in data for s in self.special):
-            return np.array(self._encode([data.decode()])[0], "<u4").tobytes()
-        words = data.lower().split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            self._learn(set(words).difference(self.known))
-        # a clear in between forgets words that were known before
-        if missing := set(words).difference(self.known):
-            self._learn(missing)
-        return b"".join([self.known[w] for w in words])
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text in UTF-8, as little-endian 32-bit numbers."""
+        special = [not self.by_word or any(s in t for s in self.special) for t in texts]
+        lists = [[] if x else t.lower().split() for x, t in zip(special, texts, strict=True)]
+        words = set(chain.from_iterable(lists))
+        if len(self.known) > self.limit:
+            self.known.clear()
+        self._learn(words.difference(self.known))
+        get = self.known.__getitem__
+        return [np.array(self._encode([t.decode()])[0], "<u4").tobytes() if x else b"".join(map(get, ws)) for x, t, ws in zip(special, texts, lists, strict=True)]
 
 
 @cache

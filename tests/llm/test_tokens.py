@@ -34,7 +34,9 @@ def own_ids(text):
 def test_remembered_words_give_the_library_ids():
     t = tokens.WordTokenizer(WORDS, limit=50)
     for text in [x or "" for x in TEXTS] + [mixed(k * 50) for k in range(1, 20)]:
-        assert np.frombuffer(t.ids(text.encode()), "<u4").tolist() == own_ids(text), text[:80]
+        assert np.frombuffer(t.ids([text.encode()])[0], "<u4").tolist() == own_ids(text), text[:80]
+    many = [mixed(30, k) for k in range(40)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in t.ids([x.encode() for x in many])] == [own_ids(x) for x in many]
 
 
 def test_pieces_and_sequences(spark, tmp_path):
