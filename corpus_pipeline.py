@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import exact, packing, simhash, substring, toxicity
-from tallyhouse.llm.common import row_key, staged
+from tallyhouse.llm.common import row_key, ship, staged
 
 THRESHOLD = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under THRESHOLD by a model of all labelled rows."""
+    ship(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=F.lit(True))
     return model.score(docs.select(F.struct("*").alias("row"))).where(F.col("score") < THRESHOLD).select("row.*")
 
@@ -31,6 +32,7 @@ def _one_of_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts: the longest original, then the smallest doc_id."""
+    ship(spark)
     texts = docs.select("doc_id", "text", row_key("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
     stays = exact.deduplicate(docs).where("kept").select("doc_id", "locator").distinct()
     own = texts.select("key", F.col("doc_id").alias("id"), row_key(F.coalesce("text", F.lit(""))).alias("at"))
@@ -39,6 +41,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every SimHash group: the smallest doc_id."""
+    ship(spark)
     rows = docs.select(F.struct("doc_id", row_key("doc_id", F.coalesce("text", F.lit(""))).alias("key")).alias("id"), "text")
     found = simhash.near_duplicates(rows, id_col="id")
     return _one_of_each(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.key"))
@@ -46,6 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its text without the words of passages that occur elsewhere too; n_chars follows the text."""
+    ship(spark)
     others = [c for c in docs.columns if c != "text"]
     out = substring.remove_repeats(docs.select(F.struct(*others).alias("others"), "text"), id_col="others")
     known = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
@@ -54,6 +58,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequence and place."""
+    ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

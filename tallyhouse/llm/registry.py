@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import bpe, chat, exact, forest, oracles, packing, rollup, simhash, substring, toxicity, warc
-from tallyhouse.llm.common import SPACE_CLASS, fresh_path, staged
+from tallyhouse.llm.common import SPACE_CLASS, fresh_path, ship, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,18 +73,11 @@ def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
-def _byte_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(batch.column(1), batch.column(2).to_pylist(), strict=True)
-        found = [(len(ids), hashlib.sha256(" ".join(map(str, ids.values.to_pylist())).encode()).hexdigest(), hashlib.sha256(data).hexdigest()) for ids, data in rows]
-        columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
-    return decoded.mapInArrow(_byte_digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    written = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +85,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    found = {k: _shipped(f) for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": corpus_pipeline.run}
 
 
