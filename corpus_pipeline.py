@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import exact, packing, simhash, substring, toxicity
+from tallyhouse.llm import exact, packing, similar, substring, toxicity
 from tallyhouse.llm.common import row_key, ship, staged
 
 THRESHOLD = 0.7
@@ -40,10 +40,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every SimHash group: the smallest doc_id."""
+    """One document of every group linked by five-word shingle sets of Jaccard similarity 0.8 or more: the smallest doc_id."""
     ship(spark)
     rows = docs.select(F.struct("doc_id", row_key("doc_id", F.coalesce("text", F.lit(""))).alias("key")).alias("id"), "text")
-    found = simhash.near_duplicates(rows, id_col="id")
+    found = similar.near_duplicates(rows, id_col="id", width=5, threshold=0.8)
     return _one_of_each(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.key"))
 
 
