@@ -67,6 +67,14 @@ def document(analysis: str, figures: DataFrame, extra: tuple[str, ...] = ()) ->
     return figures.agg(entries.alias("groups")).select(F.lit(analysis).alias("analysis"), F.to_json(body).alias("doc"))
 
 
+def documents(figures: DataFrame) -> DataFrame:
+    """(analysis, doc): each analysis of a long table (findings.figures) as one JSON document, in order of split and label."""
+    entry = F.struct("split", F.col("group_label").alias("order"), figure().alias("figure"), "partial_period", F.to_json("details").alias("details"))
+    entries = F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["split"].alias("split"), x["figure"].alias("figure"), x["partial_period"].alias("partial_period"), F.from_json(x["details"], "map<string,string>").alias("details")))
+    body = F.struct(F.lit("available").alias("status"), F.col("groups"))
+    return figures.groupBy("analysis").agg(entries.alias("groups")).select("analysis", F.to_json(body).alias("doc"))
+
+
 def envelope(documents: DataFrame, status: DataFrame, quality: DataFrame, result_id: str, generated_at: str) -> DataFrame:
     """(result_id, document): the whole result of a run."""
     analyses = documents.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("analysis", "doc")))).alias("analyses"))

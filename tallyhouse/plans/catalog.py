@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import STAY_BUCKETS
-from tallyhouse.operators import cancellations, guest_mix, holidays, lead_time, parsing, quality, results, room_value, seasonality, sentences, text_audit, views
+from tallyhouse.operators import cancellations, findings, guest_mix, holidays, lead_time, parsing, quality, results, room_value, seasonality, sentences, text_audit, views
 from tallyhouse.operators.figures import valid
 from tallyhouse.plans import oracles as o
 from tallyhouse.sources import bookings, raw
@@ -228,25 +228,11 @@ on_lines(
 )
 
 
-def _documents(b: DataFrame) -> DataFrame:
-    """Stored documents of the analyses, as a run over bookings leaves them."""
-    parts = [
-        results.document("lead_time", lead_time.distribution(b, "by_market_segment"), ("median_days",)),
-        results.document("cancellations", cancellations.split(b, "by_deposit_type")),
-        results.document("seasonality", seasonality.series(b, "arrival_date", "month"), ("partial_period", "mean_price")),
-        results.document("room_value", room_value.values(b), ("total", "mean")),
-        results.document("guest_mix", guest_mix.distribution(b, "country"), ("mean_nights", "mean_price")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 @query("result_json")
 def _result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parsing.parse_json(raw.json_lines(spark, sf_dir))
-    return results.envelope(_documents(bookings.from_orders(spark, sf_dir)), quality.result_status(parsed), quality.summary(parsed), "run-1", "2024-01-01T00:00:00.000Z")
+    found = findings.figures(bookings.from_orders(spark, sf_dir), bookings.calendar(spark))
+    return results.envelope(results.documents(found), quality.result_status(parsed), quality.summary(parsed), "run-1", "2024-01-01T00:00:00.000Z")
 
 
 def _view(name: str, analysis: str, figures: Callable[[DataFrame], DataFrame], sql: str, extra: tuple[tuple[str, str], ...] = ()) -> None:
