@@ -27,3 +27,11 @@ def figure_rows(documents: DataFrame, extra: tuple[tuple[str, str], ...] = ()) -
 def limitations(figures: DataFrame) -> DataFrame:
     """(analysis, figures, small_samples, partial_periods) over a table of figures."""
     return figures.groupBy("analysis").agg(F.count("*").alias("figures"), F.count_if("small_sample").alias("small_samples"), F.count_if(F.coalesce("partial_period", F.lit(False))).alias("partial_periods"))
+
+
+def whole_limitations(figures: DataFrame, availability: DataFrame) -> DataFrame:
+    """(analysis, figures, small_samples, partial_periods, reason) for each analysis of availability; one that is unavailable has its reason and no counts."""
+    counted = limitations(figures)
+    names = [c for c in counted.columns if c != "analysis"]
+    rows = availability.select("analysis", "status", "reason").join(counted, "analysis", "left")
+    return rows.select("analysis", *[F.when(F.col("status") == "available", F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(c) for c in names], "reason")

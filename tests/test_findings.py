@@ -2,6 +2,7 @@
 
 import json
 
+from tallyhouse.operators import views
 from tallyhouse.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +26,17 @@ def test_result_json(spark):
         got = {(f["group"], f["numerator"], f["denominator"], f["small_sample"]) for g in analyses[analysis]["groups"] if g["split"] == split for f in [g["figure"]]}
         want = {(r.group_label, r.numerator, r.denominator, r.small_sample) for r in catalog.QUERIES[name](spark, SF).collect()}
         assert got == want
+
+
+def test_limitations(spark):
+    rows = {r.analysis: r for r in catalog.QUERIES["limitations_whole"](spark, SF).collect()}
+    document = json.loads(catalog.QUERIES["result_json"](spark, SF).first().document)
+    for analysis, doc in document["analyses"].items():
+        groups, row = json.loads(doc)["groups"], rows[analysis]
+        if row.reason is None:
+            assert row.figures == len(groups)
+            assert row.small_samples == sum(g["figure"]["small_sample"] for g in groups)
+            assert row.partial_periods == sum(bool(g.get("partial_period")) for g in groups)
+    figures = spark.createDataFrame([("a", True, None), ("a", False, True), ("b", True, None)], "analysis string, small_sample boolean, partial_period boolean")
+    state = spark.createDataFrame([("a", "available", None), ("b", "unavailable", "no field"), ("c", "available", None)], "analysis string, status string, reason string")
+    assert sorted(map(tuple, views.whole_limitations(figures, state).collect())) == [("a", 2, 1, 1, None), ("b", 0, 0, 0, "no field"), ("c", 0, 0, 0, None)]
