@@ -1,17 +1,20 @@
 """SimHash near-duplicate groups through an inverted index over fingerprint byte positions.
 
 Two 64-bit fingerprints with at most two differing bits differ in at most two of their eight bytes, so they share at
-least six bytes at equal positions. The index posts every fingerprint under each choice of six (position, byte) pairs:
-two fingerprints meet in a posting list exactly if they share the guaranteed six. In a list the shared positional bytes
-of each candidate pair are tallied, pairs under the guaranteed count fall away, and the rest are verified by their
-differing bits. A list holds fingerprints that differ in two bytes only, so it has 65,536 members at most, and one
-fingerprint has at most 136 links in it: neither lists nor links grow with the square of a group of copies.
+least six bytes at equal positions. The index posts every fingerprint under sets of five (position, byte) pairs: eleven
+sets are enough for any six positions to hold one of them whole. Single pairs would be lists of a 256th of all
+fingerprints each. In a list the shared positional bytes of each candidate pair are tallied, pairs under the guaranteed
+six fall away, and the rest are verified by their differing bits, in the first list that both are in only.
+
+Members of a list differ in three bytes, so it has 2**24 members at most, and one fingerprint has at most 300 links in
+it. In longer lists a fingerprint's partners are looked up by their differing bits, which gives the same links without
+going through pairs: neither lists nor links grow with the square of a group of copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -23,9 +26,25 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import documents, staged, word_blocks
 from tallyhouse.llm.graph import components
 
-#: Byte positions left out of each posting key.
-LEFT_OUT = list(combinations(range(8), 2))
-MASKS = [~((0xFF << 8 * p) | (0xFF << 8 * q)) & (2**64 - 1) for p, q in LEFT_OUT]
+@cache
+def left_out(max_bits: int) -> list[tuple[int, ...]]:
+    """The byte positions that each posting key leaves out, one more than may differ: any max_bits positions are in one of the sets."""
+    open_, sets = set(combinations(range(8), max_bits)), list(combinations(range(8), max_bits + 1))
+    chosen = []
+    while open_:
+        best = max(sets, key=lambda x: sum(set(y) <= set(x) for y in open_))
+        chosen.append(best)
+        open_ = {y for y in open_ if not set(y) <= set(best)}
+    return chosen
+
+
+@cache
+def _first(max_bits: int) -> np.ndarray:
+    """For each set of differing positions, as bits, the first posting key that leaves all of them out; -1 if none does."""
+    holds = lambda x, bits: all(p in x for p in range(8) if bits >> p & 1)
+    return np.array([next((k for k, x in enumerate(left_out(max_bits)) if holds(x, bits)), -1) for bits in range(256)])
+
+
 #: Longer posting lists are searched by flipped bits instead of by neighbours.
 SHORT_LIST = 48
 
@@ -70,35 +89,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(partial(_fingerprint_batches, width=width, seed=seed), f"doc_id {kind}, fp bigint")
 
 
-def postings(prints: DataFrame) -> DataFrame:
-    """(k, key, fp): distinct fingerprints under each choice of six positional bytes; k tells which two are left out."""
-    signed = [m - 2**64 if m >= 2**63 else m for m in MASKS]
+def postings(prints: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(k, key, fp): distinct fingerprints under each set of positional bytes; k tells which are left out."""
+    masks = [sum(0xFF << 8 * p for p in range(8) if p not in x) for x in left_out(max_bits)]
+    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for k, m in enumerate(signed)])
     return prints.select("fp", F.explode(keys).alias("p")).select("p.k", "p.key", "fp")
 
 
 def _verified(a: np.ndarray, b: np.ndarray, k: np.ndarray, max_bits: int) -> np.ndarray:
-    """Which candidate pairs pass the count filter and the check of their bits, each in one posting list only."""
+    """Which candidate pairs of a list reach the guaranteed count of shared positional bytes and pass the check of their bits."""
     x = a ^ b
-    differing = (x.view(np.uint8).reshape(-1, 8) != 0)
-    shared = 8 - differing.sum(axis=1)
-    ok = (shared >= 6) & (np.bitwise_count(x) <= max_bits)
-    # the first choice of left-out positions that covers the differing ones
-    first = differing.argmax(axis=1)
-    last = 7 - differing[:, ::-1].argmax(axis=1)
-    one = first == last
-    p = np.where(one, 0, first)
-    q = np.where(one, np.maximum(first, 1), last)
-    return ok & (_PLACE[p, q] == k)
-
-
-_PLACE = np.full((8, 8), -1)
-for _i, (_p, _q) in enumerate(LEFT_OUT):
-    _PLACE[_p, _q] = _i
+    differing = x.view(np.uint8).reshape(-1, 8) != 0
+    reached = np.flatnonzero(8 - differing.sum(axis=1) >= 8 - max_bits)
+    ok = np.zeros(len(a), bool)
+    ok[reached] = np.bitwise_count(x[reached]) <= max_bits
+    return ok & (_first(max_bits)[np.packbits(differing, axis=1, bitorder="little")[:, 0]] == k)
 
 
 def _flips(k: int, max_bits: int) -> list[int]:
-    bits = [8 * p + b for p in LEFT_OUT[k] for b in range(8)]
+    bits = [8 * p + b for p in left_out(max_bits)[k] for b in range(8)]
     return [sum(1 << b for b in chosen) for n in range(1, max_bits + 1) for chosen in combinations(bits, n)]
 
 
@@ -147,11 +157,11 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
 
 
 def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints with at most max_bits (up to 2) differing bits, each once."""
-    if not 0 < max_bits <= 2:
-        raise ValueError("the index guarantees six shared bytes for one or two differing bits")
+    """(a, b): pairs of distinct fingerprints with at most max_bits (up to 3) differing bits, each once."""
+    if not 0 < max_bits <= 3:
+        raise ValueError("beyond three differing bits the guaranteed bytes are too few for short lists: see similar")
     # fingerprints sort as unsigned numbers in a list: the sign bit is flipped for the sort
-    sorted_lists = postings(prints).repartition("k", "key").sortWithinPartitions("k", "key", F.col("fp").bitwiseXOR(F.lit(-(2**63))))
+    sorted_lists = postings(prints, max_bits).repartition("k", "key").sortWithinPartitions("k", "key", F.col("fp").bitwiseXOR(F.lit(-(2**63))))
     return sorted_lists.mapInArrow(partial(_links, max_bits=max_bits), "a bigint, b bigint")
 
 
