@@ -20,11 +20,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset, on a local master only."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tallyhouse-")
     return f"file://{_own_dir}"
@@ -51,6 +53,45 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+class Folder:
+    """A folder of a store that Spark reaches. Names are relative to it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = path
+        self._new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._new(f"{self._path}/{name}")
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def names(self, name: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._at(name))) if self.exists(name) else []
+
+    def move(self, name: str, to: str) -> None:
+        """Give a file or folder its final name, in one step. to must be free."""
+        self._fs.mkdirs(self._at(to).getParent())
+        if self.exists(to) or not self._fs.rename(self._at(name), self._at(to)):
+            raise OSError(f"{to} is taken, or {name} could not be moved")
+
+    def write(self, name: str, text: str) -> None:
+        self._fs.mkdirs(self._at(name).getParent())
+        out = self._fs.create(self._at(name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def read(self, name: str) -> str:
+        opened = self._fs.open(self._at(name))
+        text = bytes(opened.readAllBytes()).decode()
+        opened.close()
+        return text
+
+    def drop(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+
 #: Shuffle files of a finished write are of no further use.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

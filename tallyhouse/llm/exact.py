@@ -1,18 +1,26 @@
 """Exact deduplication with keyed streaming state, in DataFrame and SQL functions only.
 
-Arrivals are written as small rows (digest, length, identifier, locator), and a Structured Streaming aggregation keeps,
-for each digest and without expiry, the copy that stays and the number of copies, in RocksDB on disk with its
-checkpoint in the shared folder. Texts are not part of the state: the locator (the identifier and a hash of the whole
-original text) finds the content again, and every hit is checked by full bytes against the text that stays. Copies that
-fail the check (another text with the same digest) form groups of their own by their full text.
+Each batch of arrivals is written once, under its name: its rows as they came, with digest, length and identifier. A
+Structured Streaming aggregation over the narrow columns keeps, for each digest and without expiry, the locator and
+identifier of the copy that stays and the number of copies, in RocksDB on disk with its checkpoint in the shared folder.
+A locator is a batch and a row in it, and finds the whole row again at any later time. On hits full bytes are checked:
+every row of a batch against the content of the copy that stays, in whichever batch that is, and earlier copies that
+stayed against the present one. Digests whose texts differ are kept apart by their full text.
+
+A digest that holds more than a ten-thousandth of the copies goes to the rows by broadcast (there are ten thousand such
+digests at most); only the others are shuffled by digest. Content meets a hot group's rows in salted parts.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import SPACE_CLASS, documents, fresh_path, row_key, staged
+from tallyhouse.llm.common import SPACE_CLASS, Folder, fresh_path, staged
 
 #: Settings of the stateful query.
 STATE = {
@@ -22,6 +30,13 @@ STATE = {
     # many small stores share a disk: files take the room they need, not what might be needed
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Digests with more than this part of all copies are broadcast: as many at most.
+HOT = 10_000
+#: Rows of one digest that meet its content in one part.
+SALT_ROWS = 4096
+
+_NARROW = "row bigint, doc_id bigint, digest binary, n_chars bigint, batch string"
+_BEST = "struct<less: bigint, unnamed: boolean, doc_id: bigint, batch: string, row: bigint>"
 
 
 def normalised(text: Column) -> Column:
@@ -32,89 +47,168 @@ def _digest(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
-def _rank(n_chars: str = "n_chars", doc_id: str = "doc_id") -> Column:
-    """Greatest for the copy that stays: most code points, then the smallest id; a row without an id comes last."""
-    return F.struct(F.col(n_chars), F.col(doc_id).isNotNull().alias("named"), (-F.col(doc_id)).alias("before"), F.col("locator"))
+def _best() -> Column:
+    """The copy that stays: most code points, then the smallest id (a row without one comes last), then the first locator."""
+    return F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "batch", "row"))
+
+
+def _tagged(rows: DataFrame, hits: DataFrame, how: str) -> DataFrame:
+    """rows with the hit of their digest; how is inner, or left for nulls where there is none."""
+    added = [c for c in hits.columns if c != "digest"]
+    least = (hits.agg(F.sum("copies")).first()[0] or 0) / HOT
+    marked = rows.join(F.broadcast(hits.where(F.col("copies") > least)), "digest", "left")
+    rest = marked.where("copies is null").drop(*added).join(hits.where(F.col("copies") <= least), "digest", how)
+    return marked.where("copies is not null").unionByName(rest)
 
 
 class DigestState:
-    """Digest groups over any number of ingested batches. The state lives under path and outlasts the session.
+    """Digest groups over any number of batches. The state lives under path and outlasts the session.
 
-    ingest() is idempotent for the files it has seen; rows that arrive in a later call join the groups of earlier calls.
+    One writer at a time. The path's store must rename folders in one step.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or fresh_path(spark, "digests")
-        self._arrivals = f"{self.path}/arrivals"
-
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Append the rows' digests to the arrivals and run the stateful query over what is new."""
-        rows = documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-        rows.select("doc_id", _digest(normalised(F.col("text"))).alias("digest"), F.length("text").cast("bigint").alias("n_chars"), row_key("text").alias("locator")).write.mode("append").parquet(self._arrivals)
+        self.spark, self.path = spark, path or fresh_path(spark, "digests")
+        self._folder = Folder(spark, self.path)
+
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> str:
+        """Take the rows in as a batch, and return its name.
+
+        A name that was taken in before changes nothing, whatever the rows are; a run that was lost can be repeated
+        under its name from any point, and no row counts twice. Rows of a later batch join the groups of earlier ones.
+        """
+        batch = batch or uuid.uuid4().hex
+        if not re.fullmatch(r"[\w-]+", batch, re.ASCII):
+            raise ValueError("a batch is named by letters, digits, _ and -")
+        if not self._folder.exists(f"arrivals/batch={batch}"):
+            text, written = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), f"staging/{uuid.uuid4().hex}"
+            docs.select(
+                F.monotonically_increasing_id().alias("row"),
+                F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
+                _digest(normalised(text)).alias("digest"),
+                F.length(text).cast("bigint").alias("n_chars"),
+                text.alias("content"),
+                F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("others") if len(docs.columns) > 1 else F.lit(None).cast("struct<none: int>").alias("others"),
+            ).write.parquet(f"{self.path}/{written}")
+            self._folder.move(written, f"arrivals/batch={batch}")
         self._run()
+        for name in sorted(set(self._batches("arrivals")) - set(self._batches("apart"))):
+            self._check(name)
+        return batch
+
+    def _batches(self, kind: str) -> list[str]:
+        return [x.removeprefix("batch=") for x in self._folder.names(kind)]
 
     def _run(self) -> None:
         before = {k: self.spark.conf.get(k, None) for k in STATE}
         for k, v in STATE.items():
             self.spark.conf.set(k, v)
         try:
-            stream = self.spark.readStream.schema(self.arrivals().schema).parquet(self._arrivals)
-            groups = stream.groupBy("digest").agg(F.max(_rank()).alias("best"), F.count("*").alias("copies"))
-            updates = f"{self.path}/groups"
+            # files keep the time at which they were written, and wait for any time until they are read
+            stream = self.spark.readStream.schema(_NARROW).option("maxFileAge", "36500d").parquet(f"{self.path}/arrivals")
+            groups = stream.groupBy("digest").agg(_best().alias("best"), F.count("*").alias("copies"))
 
-            def keep(batch: DataFrame, batch_id: int) -> None:
-                batch.write.mode("overwrite").parquet(f"{updates}/batch={batch_id}")
+            def keep(updates: DataFrame, turn: int) -> None:
+                updates.write.mode("overwrite").parquet(f"{self.path}/groups/turn={turn}")
 
             groups.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         finally:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
-    def arrivals(self) -> DataFrame:
-        return self.spark.read.schema("doc_id bigint, digest binary, n_chars bigint, locator bigint").parquet(self._arrivals)
+    def _updates(self) -> DataFrame:
+        return self.spark.read.schema(f"digest binary, best {_BEST}, copies bigint, turn bigint").parquet(f"{self.path}/groups")
 
     def groups(self) -> DataFrame:
-        """(digest, keep_id, keep_locator, copies): the latest state of every digest."""
-        kind = "digest binary, best struct<n_chars: bigint, named: boolean, before: bigint, locator: bigint>, copies bigint, batch bigint"
-        updates = self.spark.read.schema(kind).parquet(f"{self.path}/groups")
-        latest = updates.groupBy("digest").agg(F.max_by(F.struct("best", "copies"), "batch").alias("x"))
-        return latest.select("digest", (-F.col("x.best.before")).alias("keep_id"), F.col("x.best.locator").alias("keep_locator"), F.col("x.copies").alias("copies"))
-
+        """(digest, best, keep_id, copies): the latest state of every digest."""
+        latest = self._updates().groupBy("digest").agg(F.max_by(F.struct("best", "copies"), "turn").alias("x"))
+        return latest.select("digest", "x.best", F.col("x.best.doc_id").alias("keep_id"), F.col("x.copies").alias("copies"))
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state: DigestState | None = None) -> DataFrame:
-    """(doc_id, locator, keep_id, group_size, kept, digest) for every row of docs; digest is binary SHA-256.
+    def arrivals(self) -> DataFrame:
+        return self.spark.read.schema(_NARROW).parquet(f"{self.path}/arrivals")
+
+    def _contents(self, batch: str) -> DataFrame:
+        """(row, digest, norm) of a batch."""
+        rows = self.spark.read.schema("row bigint, digest binary, content string").parquet(f"{self.path}/arrivals/batch={batch}")
+        return rows.select("row", "digest", normalised(F.col("content")).alias("norm"))
+
+    def rows(self, batch: str, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """(row, ...): the rows of a batch as they came, under their locator's row; docs has their columns."""
+        own = self.spark.read.parquet(f"{self.path}/arrivals/batch={batch}")
+        return own.select("row", F.struct(*[(F.col("content") if c == text_col else F.col(f"others.`{c}`")).alias(c) for c in docs.columns]).alias("source"))
+
+    def found(self, pointers: DataFrame) -> DataFrame:
+        """(digest, batch, row, norm): the contents that the locators (digest, batch, row) name."""
+        names = [r.batch for r in pointers.select("batch").distinct().collect()]  # as many as batches, at most
+        parts = [pointers.where(F.col("batch") == n).join(self._contents(n).drop("digest"), "row").select("digest", "batch", "row", "norm") for n in names]
+        return reduce(DataFrame.unionByName, parts) if parts else pointers.select("digest", "batch", "row", F.lit("").alias("norm")).limit(0)
+
+    def _hits(self) -> DataFrame:
+        return staged(self.groups().where("copies > 1").select("digest", "best", "copies"), "hits")
+
+    def _check(self, batch: str) -> None:
+        """Compare the full bytes of the batch's hits, and of copies that stayed before, with the copy that stays; note digests whose texts differ."""
+        hits = self._hits()
+        own = staged(_tagged(self._contents(batch).withColumn("batch", F.lit(batch)), hits, "inner").select("digest", "batch", "row", "norm", "best", "copies"), "own")
+        stays = (F.col("batch") == F.col("best.batch")) & (F.col("row") == F.col("best.row"))
+        content = own.where(stays).select("digest", "norm", "copies")
+        others = own.where(~stays).select("digest", "row", "norm", "copies")
+        if len(self._batches("arrivals")) > 1:
+            here = own.select("digest", "best", "copies").distinct()
+            elsewhere = here.where(F.col("best.batch") != batch)
+            stood = self._updates().select("digest", F.col("best").alias("stood")).join(here, "digest").where((F.col("stood.batch") != batch) & (F.col("stood") != F.col("best")))
+            last = lambda x, c: self.found(x.select("digest", f"{c}.batch", f"{c}.row").distinct()).join(here.select("digest", "copies"), "digest")
+            content = content.unionByName(last(elsewhere, "best").select("digest", "norm", "copies"))
+            others = others.unionByName(last(stood, "stood").select("digest", "row", "norm", "copies"))
+        parts = F.ceil(F.col("copies") / SALT_ROWS).cast("int")
+        left = others.withColumn("salt", F.pmod(F.xxhash64("row"), parts).cast("int"))
+        right = content.select("digest", F.col("norm").alias("content"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        apart = left.join(right, ["digest", "salt"]).where("norm <> content").select("digest").distinct()
+        written = f"staging/{uuid.uuid4().hex}"
+        apart.write.parquet(f"{self.path}/{written}")
+        self._folder.move(written, f"apart/batch={batch}")
+
+    def results(self, batch: str) -> DataFrame:
+        """(doc_id, batch, row, keep_id, keep_batch, keep_row, group_size, kept, digest) for the rows of a batch, over all batches so far."""
+        hits = self._hits()
+        apart = self.spark.read.schema("digest binary").parquet(f"{self.path}/apart").distinct()
+        own = self.arrivals().where(F.col("batch") == batch)
+        if not apart.isEmpty():
+            hits = hits.join(apart, "digest", "left_anti")
+        found = _tagged(own, hits, "left")
+        out = ["doc_id", "batch", "row", "n_chars", "digest", "best", "copies"]
+        if not apart.isEmpty():
+            texts = reduce(DataFrame.unionByName, [self._contents(n).withColumn("batch", F.lit(n)) for n in self._batches("arrivals")]).join(apart, "digest", "left_semi")
+            texts = staged(texts.join(self.arrivals().drop("digest"), ["batch", "row"]).select("digest", "norm", "doc_id", "n_chars", "batch", "row"), "texts")
+            groups = texts.groupBy("digest", "norm").agg(_best().alias("best"), F.count("*").alias("copies"))
+            found = found.join(apart, "digest", "left_anti").select(out).unionByName(texts.where(F.col("batch") == batch).join(groups, ["digest", "norm"]).select(out))
+        alone = F.col("copies").isNull()
+        stays = lambda c: F.when(alone, F.col(c)).otherwise(F.col(f"best.{c}"))
+        return found.select(
+            "doc_id", "batch", "row",
+            stays("doc_id").alias("keep_id"), stays("batch").alias("keep_batch"), stays("row").alias("keep_row"),
+            F.coalesce("copies", F.lit(1)).cast("bigint").alias("group_size"),
+            (alone | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (-F.col("n_chars") == F.col("best.less")))).alias("kept"),
+            "digest",
+        )
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state: DigestState | None = None, batch: str | None = None) -> DataFrame:
+    """(doc_id, batch, row, keep_id, keep_batch, keep_row, group_size, kept, digest) for every row of docs; digest is binary SHA-256.
 
     Texts are equal if identical without white space; null text is empty and equal to other empty ones. Of equal texts
-    the longest original (in code points) stays, then the smallest doc_id; rows without an id lose ties. A row repeated
-    in full (same id, same text) is a copy too: all its repetitions carry kept = true, since nothing tells them apart.
-    An empty table gives no rows. doc_id must be an integer column.
+    the longest original (in code points) stays, then the smallest doc_id; rows without an id lose ties. Rows that tie
+    in both carry kept = true alike, as a row repeated in full does; the locator (keep_batch, keep_row) names one of
+    them. With a state, docs is a batch of it and the groups hold earlier batches too. An empty table gives no rows.
+    doc_id must be an integer column; other columns may have any names.
     """
     state = state or DigestState(docs.sparkSession)
-    state.ingest(docs, id_col, text_col)
-    groups = state.groups()
-    hits = groups.where("copies > 1")
-    rows = documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("locator", row_key("text"))
-    # full bytes: the content of each text that stays, found by its locator, against every hit
-    texts = rows.select("doc_id", "locator", F.length("text").cast("bigint").alias("n_chars"), normalised(F.col("text")).alias("norm"))
-    suspects = staged(texts.withColumn("digest", _digest(F.col("norm"))).join(hits, "digest"), "hits")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator"))
-    content = suspects.where(stays).groupBy("digest").agg(F.first("norm").alias("content"))
-    differing = staged(suspects.join(content, "digest").where("norm <> content").select("digest", "norm", "doc_id", "n_chars", "locator"), "apart")
-    apart = differing.groupBy("digest", "norm").agg(F.max(_rank()).alias("own"), F.count("*").alias("own_copies"))
-    regrouped = differing.join(apart, ["digest", "norm"]).select("digest", "doc_id", "locator", (-F.col("own.before")).alias("own_id"), F.col("own.locator").alias("own_locator"), "own_copies").distinct()
-    lost = differing.groupBy("digest").agg(F.count("*").alias("lost"))
-    whole = groups.join(lost, "digest", "left")
-    a, r = state.arrivals().alias("a"), regrouped.alias("r")
-    same = (F.col("a.digest") == F.col("r.digest")) & (F.col("a.locator") == F.col("r.locator")) & F.col("a.doc_id").eqNullSafe(F.col("r.doc_id"))
-    found = a.join(r, same, "left").select("a.doc_id", "a.digest", "a.locator", "own_id", "own_locator", "own_copies").join(whole, "digest")
-    own = F.col("own_copies").isNotNull()
-    keep_id, keep_locator = F.when(own, F.col("own_id")).otherwise(F.col("keep_id")), F.when(own, F.col("own_locator")).otherwise(F.col("keep_locator"))
-    return found.select(
-        "doc_id",
-        "locator",
-        keep_id.alias("keep_id"),
-        F.when(own, F.col("own_copies")).otherwise(F.col("copies") - F.coalesce("lost", F.lit(0))).cast("bigint").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(keep_id) & (F.col("locator") == keep_locator)).alias("kept"),
-        "digest",
-    )
+    return state.results(state.ingest(docs, id_col, text_col, batch))
+
+
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those of which an equal text stays: one row of every group, all columns. Null text comes back empty."""
+    state = DigestState(docs.sparkSession)
+    batch = state.ingest(docs, id_col, text_col)
+    gone = state.results(batch).where(F.col("row") != F.col("keep_row")).select("row")
+    return state.rows(batch, docs, text_col).join(gone, "row", "left_anti").select("source.*")
