@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,8 +49,28 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(target))
 
 
+#: Paths given out inside each open settled().
+_open: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def settled(spark: SparkSession, label: str, job: Callable[[], DataFrame]) -> DataFrame:
+    """What job returns, written and read back; whatever it wrote to fresh paths on the way is removed. One job at a time."""
+    path = fresh_path(spark, label)
+    _open.append([])
+    try:
+        df = job()
+        _write(df, path)
+        return spark.read.schema(df.schema).parquet(path)
+    finally:
+        for x in _open.pop():
+            Folder(spark, x).drop("")
 
 
 class Folder:
@@ -62,7 +82,7 @@ class Folder:
         self._fs = self._new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
-        return self._new(f"{self._path}/{name}")
+        return self._new(f"{self._path}/{name}" if name else self._path)
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._at(name))
@@ -98,14 +118,19 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df, written once to the shared folder and read back: its lineage is cut and survives lost executors, and its shuffle files go."""
+    path = fresh_path(df.sparkSession, label)
+    _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
-    path, before = fresh_path(spark, label), spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,10 +139,16 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def row_key(*cols: Column | str) -> Column:
-    """A key of a row's content. Rows with equal id and text share it, and get equal results."""
+    """64 bits of a row's content, for use with more bits beside them."""
     return F.xxhash64(*cols)
 
 
+def row_digest(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """128 bits that name a row's id and text. Rows with both equal share it."""
+    known = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null"))
+    return F.unhex(F.md5(F.concat(known(id_col), F.lit("\n"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))))
+
+
 def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of data in order, in lists cut at white space, so that a huge text never becomes one huge list."""
     start, n = 0, len(data)

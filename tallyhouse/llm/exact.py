@@ -87,7 +87,7 @@ class DigestState:
                 F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
                 _digest(normalised(text)).alias("digest"),
                 F.length(text).cast("bigint").alias("n_chars"),
-                text.alias("content"),
+                F.col(f"`{text_col}`").alias("content"),
                 F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("others") if len(docs.columns) > 1 else F.lit(None).cast("struct<none: int>").alias("others"),
             ).write.parquet(f"{self.path}/{written}")
             self._folder.move(written, f"arrivals/batch={batch}")
@@ -130,7 +130,7 @@ class DigestState:
     def _contents(self, batch: str) -> DataFrame:
         """(row, digest, norm) of a batch."""
         rows = self.spark.read.schema("row bigint, digest binary, content string").parquet(f"{self.path}/arrivals/batch={batch}")
-        return rows.select("row", "digest", normalised(F.col("content")).alias("norm"))
+        return rows.select("row", "digest", normalised(F.coalesce("content", F.lit(""))).alias("norm"))
 
     def rows(self, batch: str, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """(row, ...): the rows of a batch as they came, under their locator's row; docs has their columns."""
@@ -207,7 +207,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those of which an equal text stays: one row of every group, all columns. Null text comes back empty."""
+    """The rows of docs without those of which an equal text stays: one row of every group, all columns."""
     state = DigestState(docs.sparkSession)
     batch = state.ingest(docs, id_col, text_col)
     gone = state.results(batch).where(F.col("row") != F.col("keep_row")).select("row")

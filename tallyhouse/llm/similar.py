@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import documents, staged, word_blocks
+from tallyhouse.llm.common import documents, settled, staged, word_blocks
 from tallyhouse.llm.graph import components
 
 #: Positional bytes of a fingerprint.
@@ -309,7 +309,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and empty texts have the empty set, which is alike only to itself. Repeated rows each come back. An empty table gives
     no rows.
     """
-    rows = documents(docs, id_col, text_col)
+    return settled(docs.sparkSession, "near", lambda: _near_duplicates(documents(docs, id_col, text_col), width, threshold))
+
+
+def _near_duplicates(rows: DataFrame, width: int, threshold: float) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     content = F.unhex(F.md5("text"))
     prints = staged(rows.select("doc_id", content.alias("content"), "text").mapInArrow(partial(_sketch_batches, width=width), f"doc_id {kind}, content binary, node bigint, sketch binary"), "similar")

@@ -3,9 +3,10 @@
 With a set D of residues modulo P in which every difference occurs, any two equal windows of W words have, within their
 first P words, positions at the same offset that both fall on D. So it is enough to hash runs of W - P + 1 words at the
 cover positions: windows that are equal share one of these anchors at the same offset. Documents with a shared anchor
-then extend it to the windows around it, and a window is repeated if its own hash (96 bits, over exactly W words)
-occurs twice. Hashes are counted inside each task before they are shuffled, so a passage that a third of all documents
-hold sends a few rows per task, not one per occurrence.
+then extend it to the windows around it, and a window is repeated if its own hash (128 bits, over exactly W words,
+from two independent hashes of each word) occurs twice. Hashes are counted inside each task before they are shuffled, so a passage that a third of all documents
+hold sends a few rows per task, not one per occurrence. Rows are named by 96 bits of their id and text: rows repeated
+in full share a name and their places, each place once.
 """
 
 from __future__ import annotations
@@ -44,6 +45,12 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
+def double_hashes(data: bytes) -> list[np.ndarray]:
+    """Two independent hashes of each word."""
+    both = np.frombuffer(b"".join(b"".join(map(xxhash.xxh3_128_digest, words)) for words in word_blocks(data)), np.uint64).reshape(-1, 2)
+    return [np.ascontiguousarray(both[:, i]) for i in (0, 1)]
+
+
 class _Powers:
     """Powers of an odd multiplier and of its inverse modulo 2**64."""
 
@@ -68,7 +75,7 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, width: int, powers: _Po
 
 
 def _counted(hashes: list[np.ndarray], keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """Rows (hashes, key, place, n) of a slab. A hash that occurs once goes on as it is. Of one that occurs more often,
+    """Rows (hashes, key, at, n) of a slab; at is the place with more bits of the row's name above it. A hash that occurs once goes on as it is. Of one that occurs more often,
     every place is settled here: it goes on with n = 2 under a hash of its own, and one row without a key tells others."""
     order = np.lexsort(hashes[::-1])
     new = np.r_[True, np.any([h[order][1:] != h[order][:-1] for h in hashes], axis=0)] if len(order) else np.empty(0, bool)
@@ -81,12 +88,12 @@ def _counted(hashes: list[np.ndarray], keys: np.ndarray, places: np.ndarray) ->
     for i, h in enumerate(hashes):
         spread = keys[settled].view(np.uint64) * np.uint64(MULTIPLIERS[i]) + places[settled].astype(np.uint64) * np.uint64(MULTIPLIERS[1 - i])
         mixed = np.r_[h[once], spread ^ (spread >> np.uint64(29)), h[told]]
-        columns.append(pa.array((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32) if i else mixed.view(np.int64)))
+        columns.append(pa.array(mixed.view(np.int64)))
     n = np.r_[np.ones(len(once), np.int8), np.full(len(settled), 2, np.int8), np.ones(len(told), np.int8)]
     gone = np.r_[np.zeros(len(once) + len(settled), bool), np.ones(len(told), bool)]
     key = pa.array(np.r_[keys[once], keys[settled], np.zeros(len(told), np.int64)], mask=gone)
-    place = pa.array(np.r_[places[once], places[settled], np.zeros(len(told), np.int32)])
-    return pa.RecordBatch.from_arrays([*columns, key, place, pa.array(n)], names=[*(f"h{i}" for i in range(len(hashes))), "key", "place", "n"])
+    at = pa.array(np.r_[places[once], places[settled], np.zeros(len(told), np.int64)])
+    return pa.RecordBatch.from_arrays([*columns, key, at, pa.array(n)], names=[*(f"h{i}" for i in range(len(hashes))), "key", "at", "n"])
 
 
 def _slabs(found: Iterator[tuple[int, list[np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +102,7 @@ def _slabs(found: Iterator[tuple[int, list[np.ndarray], np.ndarray]]) -> Iterato
     def out() -> pa.RecordBatch:
         hashes = [np.concatenate([x[1][i] for x in held]) for i in range(len(held[0][1]))]
         keys = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[2]) for x in held])
-        return _counted(hashes, keys, np.concatenate([x[2] for x in held]).astype(np.int32))
+        return _counted(hashes, keys, np.concatenate([x[2] for x in held]))
 
     for x in found:
         held.append(x)
@@ -113,12 +120,12 @@ def _anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
     def found():
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+            for key, more, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
                 words = word_hashes(text.as_py())
                 if len(words) >= width:
                     starts = (np.arange(0, len(words) - run + 1, period)[:, None] + np.array(cover)).ravel()
                     starts = starts[starts <= len(words) - run]
-                    yield key.as_py(), [window_hashes(words, starts, run, powers)], starts
+                    yield key, [window_hashes(words, starts, run, powers)], (more << 32) + starts
 
     yield from _slabs(found())
 
@@ -130,22 +137,25 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
     def found():
         for batch in batches:
-            for key, text, places in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-                words = word_hashes(text.as_py())
+            for key, more, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
+                both = double_hashes(text.as_py())
+                words = both[0]
                 anchors = places.values.to_numpy()
                 edge = np.zeros(len(words) + 2, np.int32)
                 np.add.at(edge, np.maximum(anchors - (period - 1), 0), 1)
                 np.add.at(edge, anchors + 1, -1)
                 starts = np.flatnonzero(np.cumsum(edge)[: len(words) - width + 1] > 0)
-                yield key.as_py(), [window_hashes(words, starts, width, p) for p in powers], starts
+                yield key, [window_hashes(x, starts, width, p) for x, p in zip(both, powers, strict=True)], (more << 32) + starts
 
     yield from _slabs(found())
 
 
 def _repeated(rows: DataFrame, hashes: list[str]) -> DataFrame:
-    """(key, places) of the rows whose hashes occur twice or more."""
+    """(key, more, places) of the rows whose hashes occur twice or more; each place once, however often the row is repeated."""
     total = F.sum("n").over(Window.partitionBy(*hashes))
-    return rows.withColumn("total", total).where("total > 1 and key is not null").groupBy("key").agg(F.collect_list("place").alias("places"))
+    found = rows.withColumn("total", total).where("total > 1 and key is not null")
+    place = F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    return found.groupBy("key", F.shiftright("at", 32).cast("int").alias("more")).agg(F.collect_set(place).alias("places"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -184,18 +194,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every word that a repeated window of width words covers is removed, with the white space up to the next word, at
     every place, in one document or several. Texts of fewer than width words stay as they are; null text is empty. Rows
-    repeated in full repeat each other's windows. key is a hash of id and text that names the row's content. An empty
-    table gives no rows.
+    repeated in full repeat each other's windows. key is a hash of id and text. An empty table gives no rows. Texts have
+    less than 2**31 words.
     """
     rows = documents(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.select("doc_id", row_key("doc_id", "text").alias("key"), "text")
-    anchors = rows.select("key", "text").mapInArrow(partial(_anchors, width=width), "h0 bigint, key bigint, place int, n tinyint")
+    rows = rows.select("doc_id", row_key("doc_id", "text").alias("key"), F.hash("text", "doc_id").alias("more"), "text")
+    anchors = rows.select("key", "more", "text").mapInArrow(partial(_anchors, width=width), "h0 bigint, key bigint, at bigint, n tinyint")
     # each step is written before the next: the disk holds the shuffle files of one step at a time
     shared = staged(_repeated(anchors, ["h0"]), "anchors")
-    around = rows.join(shared, "key").select("key", "text", "places")
-    windows = around.mapInArrow(partial(_windows, width=width), "h0 bigint, h1 int, key bigint, place int, n tinyint")
+    around = rows.join(shared, ["key", "more"]).select("key", "more", "text", "places")
+    windows = around.mapInArrow(partial(_windows, width=width), "h0 bigint, h1 bigint, key bigint, at bigint, n tinyint")
     repeated = staged(_repeated(windows, ["h0", "h1"]), "windows")
-    return rows.join(repeated, "key", "left").select("doc_id", "key", "text", "places").mapInArrow(
+    return rows.join(repeated, ["key", "more"], "left").select("doc_id", "key", "text", "places").mapInArrow(
         partial(_cut, width=width), f"doc_id {kind}, key bigint, n_words bigint, n_removed bigint, kept_text string"
     )

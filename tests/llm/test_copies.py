@@ -165,3 +165,21 @@ def test_empty_tables_nulls_and_repeated_rows(spark, rows):
     docs = spark.createDataFrame([Row(doc_id=i, text=t, keep_id=1, fp="x", key="k", digest=2) for i, t in rows] or [], "doc_id bigint, text string, keep_id int, fp string, key string, digest int")
     for op in (exact.deduplicate, simhash.near_duplicates, substring.remove_repeats):
         assert op(docs).count() == len(rows)
+
+
+def test_repeated_rows_have_each_place_once(spark):
+    """Rows repeated in full: what moves grows with their number, not with its square."""
+    text = " ".join(f"w{i}" for i in range(100))
+    counted = lambda n: substring._repeated(spark.createDataFrame([(1, 7, i % 66, 1) for i in range(66 * n)], "h0 bigint, key bigint, at bigint, n tinyint"), ["h0"]).first().places
+    assert sorted(counted(20)) == list(range(66))
+    docs = spark.createDataFrame([(1, text)] * 300 + [(2, "short")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.n_removed, r["count"]) for r in substring.remove_repeats(docs).groupBy("doc_id", "n_removed").count().collect()} == {(1, 100, 300), (2, 0, 1)}
+
+
+def test_colliding_row_names(spark, monkeypatch):
+    """Rows that share half of their name keep their own windows."""
+    monkeypatch.setattr(substring, "row_key", lambda *c: F.lit(5).cast("bigint"))
+    texts = awkward(4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {(i, sum(gone)) for i, (_, gone) in enumerate(brute_repeats(texts))}
+    assert {(r.doc_id, r.n_removed) for r in substring.remove_repeats(docs).collect()} == want
