@@ -11,44 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import exact, packing, similar, substring, toxicity
-from tallyhouse.llm.common import row_key, ship, staged
+from tallyhouse.llm.common import row_digest, settled, ship
 
 THRESHOLD = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under THRESHOLD by a model of all labelled rows."""
+    """Documents that score under THRESHOLD by a model of labelled rows. Null and empty texts are scored as empty and stay; without labels nothing is learned, and scores rest on the seed lexicon."""
     ship(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=F.lit(True))
     return model.score(docs.select(F.struct("*").alias("row"))).where(F.col("score") < THRESHOLD).select("row.*")
 
 
-def _one_of_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of docs whose key (of doc_id and text) is chosen, one of each; chosen may repeat a key."""
-    keys = chosen.groupBy("key").agg(F.count("*").alias("copies"))
-    rows = docs.select(F.struct("*").alias("row"), row_key("doc_id", F.coalesce("text", F.lit(""))).alias("key")).join(keys, "key")
-    return rows.where("copies = 1").select("row").unionByName(rows.where("copies > 1").dropDuplicates(["key"]).select("row")).select("row.*")
-
-
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of equal texts: the longest original, then the smallest doc_id."""
+    """One document of every group of equal texts: the longest original, then the smallest doc_id. Null counts as empty."""
     ship(spark)
-    texts = docs.select("doc_id", "text", row_key("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
-    stays = exact.deduplicate(docs).where("kept").select("doc_id", "locator").distinct()
-    own = texts.select("key", F.col("doc_id").alias("id"), row_key(F.coalesce("text", F.lit(""))).alias("at"))
-    return _one_of_each(docs, own.join(stays, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("locator"))).select("key"))
+    return exact.first_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group linked by five-word shingle sets of Jaccard similarity 0.8 or more: the smallest doc_id."""
+    """One document of every group linked by five-word shingle sets of Jaccard similarity 0.8 or more: the smallest doc_id.
+
+    Rows without an id come before those with one. Texts without words are alike, null included. Rows repeated in full
+    are one.
+    """
     ship(spark)
-    rows = docs.select(F.struct("doc_id", row_key("doc_id", F.coalesce("text", F.lit(""))).alias("key")).alias("id"), "text")
-    found = similar.near_duplicates(rows, id_col="id", width=5, threshold=0.8)
-    return _one_of_each(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.key"))
+    named = docs.select(F.struct("*").alias("row"), F.struct("doc_id", row_digest().alias("key")).alias("id"), "text")
+    found = similar.near_duplicates(named.select("id", "text"), id_col="id", width=5, threshold=0.8)
+    stays = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.key").alias("key")).agg(F.count("*").alias("copies"))
+    rows = named.select("row", F.col("id.key").alias("key")).join(stays, "key")
+    return rows.where("copies = 1").select("row").unionByName(rows.where("copies > 1").dropDuplicates(["key"]).select("row")).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its text without the words of passages that occur elsewhere too; n_chars follows the text."""
+    """Every document, its text without the words of passages that occur elsewhere too; n_chars follows the text. Null text becomes empty."""
     ship(spark)
     others = [c for c in docs.columns if c != "text"]
     out = substring.remove_repeats(docs.select(F.struct(*others).alias("others"), "text"), id_col="others")
@@ -57,7 +53,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and place."""
+    """The pieces of all documents with their sequence and place. Empty and null texts are one piece of the end token."""
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -78,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole documents table; each stage's rows are written before the next begins."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
