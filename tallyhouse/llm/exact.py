@@ -7,8 +7,8 @@ A locator is a batch and a row in it, and finds the whole row again at any later
 every row of a batch against the content of the copy that stays, in whichever batch that is, and earlier copies that
 stayed against the present one. Digests whose texts differ are kept apart by their full text.
 
-A digest that holds more than a ten-thousandth of the copies goes to the rows by broadcast (there are ten thousand such
-digests at most); only the others are shuffled by digest. Content meets a hot group's rows in salted parts.
+A digest of over a thousand copies that holds more than a ten-thousandth of all of them goes to the rows by broadcast
+(there are ten thousand such digests at most); only the others are shuffled by digest. Content meets a hot group's rows in salted parts.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ STATE = {
     # many small stores share a disk: files take the room they need, not what might be needed
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Digests with more than this part of all copies are broadcast: as many at most.
-HOT = 10_000
+#: Digests with more than this part of all copies are broadcast, ten thousand at most, if they have so many copies.
+HOT, HOT_COPIES = 10_000, 1000
 #: Rows of one digest that meet its content in one part.
 SALT_ROWS = 4096
 
@@ -55,7 +55,7 @@ def _best() -> Column:
 def _tagged(rows: DataFrame, hits: DataFrame, how: str) -> DataFrame:
     """rows with the hit of their digest; how is inner, or left for nulls where there is none."""
     added = [c for c in hits.columns if c != "digest"]
-    least = (hits.agg(F.sum("copies")).first()[0] or 0) / HOT
+    least = max(HOT_COPIES, (hits.agg(F.sum("copies")).first()[0] or 0) / HOT)
     marked = rows.join(F.broadcast(hits.where(F.col("copies") > least)), "digest", "left")
     rest = marked.where("copies is null").drop(*added).join(hits.where(F.col("copies") <= least), "digest", how)
     return marked.where("copies is not null").unionByName(rest)
