@@ -4,11 +4,14 @@ Changes are signed rows: +1 for a document that comes, -1 for one that goes; a r
 the new one with +1. A batch is aggregated to one delta row for each source, language and tokenizer version, so a hot
 source costs no more than any other, and written under its batch id. A batch counts once it is committed: the delta
 table is written first and its marker last, and a batch id that is committed is never applied again. Totals are sums of
-committed deltas, so the order of batches does not matter; compact() folds them into one.
+committed deltas, so the order of batches does not matter. compact() folds them into one table; a manifest that names
+the table and the batches in it takes effect in one step, and what it replaces is removed afterwards only.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import fresh_path
+from tallyhouse.llm.common import Folder, fresh_path
 from tallyhouse.llm.tokens import rank_encoding
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -59,12 +62,10 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or fresh_path(spark, "rollup")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._at = lambda p: hadoop.Path(p)
-        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._folder = Folder(spark, self.path)
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._at(f"{self.path}/commits/{batch}"))
+        return self._folder.exists(f"commits/{batch}")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply the signed rows (source, lang, tokenizer, n_tokens, sign) as batch. False if it was committed before: then nothing changes.
@@ -78,29 +79,44 @@ class TokenRollup:
         sign = F.col("sign").cast("bigint")
         delta = changes.groupBy(*KEYS).agg(F.sum(sign).alias("documents"), F.sum(sign * n).alias("tokens"))
         delta.write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
-        self._fs.mkdirs(self._at(f"{self.path}/commits"))
-        self._fs.createNewFile(self._at(f"{self.path}/commits/{batch}"))
+        self._folder.write(f"commits/{batch}", "")
         return True
 
-    def _names(self) -> list[str]:
-        folder = self._at(f"{self.path}/commits")
-        return [x.getPath().getName() for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+    def _folded(self) -> tuple[str | None, list[str]]:
+        """The folded table and the batches in it, by the latest manifest."""
+        manifests = self._folder.names("manifests")
+        if not manifests:
+            return None, []
+        found = json.loads(self._folder.read(f"manifests/{manifests[-1]}"))
+        return found["table"], found["batches"]
 
     def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, documents, tokens) of all committed batches; groups that have come to nothing are left out."""
-        paths = [f"{self.path}/deltas/{x}" for x in self._names() if self._fs.exists(self._at(f"{self.path}/deltas/{x}"))]
-        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
+        """(source, lang, tokenizer, documents, tokens) of all committed batches; groups that have come to nothing are left out.
+
+        A committed batch whose delta is gone is an error.
+        """
+        table, folded = self._folded()
+        open_ = sorted(set(self._folder.names("commits")) - set(folded))
+        names = [*([table] if table else []), *(f"deltas/{x}" for x in open_)]
+        if lost := [x for x in names if not self._folder.exists(x)]:
+            raise FileNotFoundError(f"committed, but gone: {', '.join(lost)}")
+        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.path}/{x}" for x in names]) if names else self.spark.createDataFrame([], DELTA)
         return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
 
-    def compact(self, batch: str) -> None:
-        """Fold the committed deltas into one, under the name batch. The old markers stay, so that their batches are still known.
+    def compact(self, name: str) -> None:
+        """Fold the committed deltas into one table. The markers stay, so that their batches are still known.
 
-        The folded table is complete before the first old delta goes; no reader or writer may run meanwhile.
+        A run that is lost at any point changes no totals and can be repeated. No reader or writer may run meanwhile.
         """
-        old = [x for x in self._names() if self._fs.exists(self._at(f"{self.path}/deltas/{x}"))]
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/folded/{batch}")
-        for x in old:
-            self._fs.delete(self._at(f"{self.path}/deltas/{x}"), True)
-        self._fs.mkdirs(self._at(f"{self.path}/deltas"))
-        self._fs.rename(self._at(f"{self.path}/folded/{batch}"), self._at(f"{self.path}/deltas/{batch}"))
-        self._fs.createNewFile(self._at(f"{self.path}/commits/{batch}"))
+        batches = self._folder.names("commits")
+        table = f"folded/{name}-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{self.path}/{table}")
+        last = self._folder.names("manifests")[-1:]
+        written = f"staging/{uuid.uuid4().hex}"
+        self._folder.write(written, json.dumps({"table": table, "batches": batches}))
+        self._folder.move(written, f"manifests/{int(last[0]) + 1 if last else 0:012d}")
+        for x in self._folder.names("folded"):
+            if f"folded/{x}" != table:
+                self._folder.drop(f"folded/{x}")
+        for x in set(self._folder.names("deltas")) & set(batches):
+            self._folder.drop(f"deltas/{x}")
