@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import SPACE_CLASS, Folder, fresh_path, staged
+from tallyhouse.llm.common import SPACE_CLASS, Folder, fresh_path, meet, staged
 
 #: Settings of the stateful query.
 STATE = {
@@ -30,8 +30,6 @@ STATE = {
     # many small stores share a disk: files take the room they need, not what might be needed
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Digests with more than this part of all copies are broadcast, ten thousand at most, if they have so many copies.
-HOT, HOT_COPIES = 10_000, 1000
 #: Rows of one digest that meet its content in one part.
 SALT_ROWS = 4096
 
@@ -52,15 +50,6 @@ def _best() -> Column:
     return F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "batch", "row"))
 
 
-def _tagged(rows: DataFrame, hits: DataFrame, how: str) -> DataFrame:
-    """rows with the hit of their digest; how is inner, or left for nulls where there is none."""
-    added = [c for c in hits.columns if c != "digest"]
-    least = max(HOT_COPIES, (hits.agg(F.sum("copies")).first()[0] or 0) / HOT)
-    marked = rows.join(F.broadcast(hits.where(F.col("copies") > least)), "digest", "left")
-    rest = marked.where("copies is null").drop(*added).join(hits.where(F.col("copies") <= least), "digest", how)
-    return marked.where("copies is not null").unionByName(rest)
-
-
 class DigestState:
     """Digest groups over any number of batches. The state lives under path and outlasts the session.
 
@@ -149,7 +138,7 @@ class DigestState:
     def _check(self, batch: str) -> None:
         """Compare the full bytes of the batch's hits, and of copies that stayed before, with the copy that stays; note digests whose texts differ."""
         hits = self._hits()
-        own = staged(_tagged(self._contents(batch).withColumn("batch", F.lit(batch)), hits, "inner").select("digest", "batch", "row", "norm", "best", "copies"), "own")
+        own = staged(meet(self._contents(batch).withColumn("batch", F.lit(batch)), hits, "digest", "inner").select("digest", "batch", "row", "norm", "best", "copies"), "own")
         stays = (F.col("batch") == F.col("best.batch")) & (F.col("row") == F.col("best.row"))
         content = own.where(stays).select("digest", "norm", "copies")
         others = own.where(~stays).select("digest", "row", "norm", "copies")
@@ -175,7 +164,7 @@ class DigestState:
         own = self.arrivals().where(F.col("batch") == batch)
         if not apart.isEmpty():
             hits = hits.join(apart, "digest", "left_anti")
-        found = _tagged(own, hits, "left")
+        found = meet(own, hits, "digest", "left")
         out = ["doc_id", "batch", "row", "n_chars", "digest", "best", "copies"]
         if not apart.isEmpty():
             texts = reduce(DataFrame.unionByName, [self._contents(n).withColumn("batch", F.lit(n)) for n in self._batches("arrivals")]).join(apart, "digest", "left_semi")

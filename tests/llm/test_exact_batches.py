@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import exact
+from tallyhouse.llm import common, exact
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -70,7 +70,7 @@ def test_awkward_ids_and_columns(spark):
 def test_one_group_of_most_rows(spark, monkeypatch):
     """A hot group is broadcast by its digest and compared in salted parts."""
     monkeypatch.setattr(exact, "SALT_ROWS", 16)
-    monkeypatch.setattr(exact, "HOT_COPIES", 100)
+    monkeypatch.setattr(common, "HOT_COPIES", 100)
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("same text")).otherwise(F.concat(F.lit("t"), (F.col("id") % 60).cast("string"))).alias("text"))
     got = {(r.keep_id, r.group_size, r["count"]) for r in exact.deduplicate(docs).groupBy("keep_id", "group_size").count().collect()}
     assert got == {(1, 200, 200)} | {(i, 5, 5) for i in range(0, 60, 3)}
