@@ -5,7 +5,8 @@ import random
 import corpus_pipeline as cp
 import pytest
 from pyspark.sql import functions as F
-from test_copies import WS, brute_components, brute_fingerprint, brute_repeats, words_of
+from test_copies import WS, brute_repeats, words_of
+from test_similar import brute
 
 from tallyhouse.llm import toxicity
 
@@ -68,7 +69,7 @@ def test_stages(spark, corpus):
     docs, rows = spark.createDataFrame(want, SCHEMA), want
     out = cp.drop_near_copies(spark, docs, path)
     ids = [-1 if r[0] is None else r[0] for r in rows]
-    roots = brute_components(ids, [brute_fingerprint(r[1]) for r in rows])
+    roots = brute(ids, [r[1] for r in rows])
     want = [r for r, i, root in zip(rows, ids, roots, strict=True) if i == root]
     assert as_rows(out) == sorted(want, key=str) and out.columns == docs.columns and len(want) < len(rows)
 
