@@ -5,8 +5,9 @@ first P words, positions at the same offset that both fall on D. So it is enough
 cover positions: windows that are equal share one of these anchors at the same offset. Documents with a shared anchor
 then extend it to the windows around it, and a window is repeated if its own hash (128 bits, over exactly W words,
 from two independent hashes of each word) occurs twice. Hashes are counted inside each task before they are shuffled, so a passage that a third of all documents
-hold sends a few rows per task, not one per occurrence. Rows are named by 96 bits of their id and text: rows repeated
-in full share a name and their places, each place once.
+hold sends a few rows per task, not one per occurrence. Anchors go by 64 bits of a row's id and text, since a
+place too many only means windows that are counted in vain; windows go by 96. Rows repeated in full share a name and
+their places, each place once.
 """
 
 from __future__ import annotations
@@ -120,12 +121,12 @@ def _anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
     def found():
         for batch in batches:
-            for key, more, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 words = word_hashes(text.as_py())
                 if len(words) >= width:
                     starts = (np.arange(0, len(words) - run + 1, period)[:, None] + np.array(cover)).ravel()
                     starts = starts[starts <= len(words) - run]
-                    yield key, [window_hashes(words, starts, run, powers)], (more << 32) + starts
+                    yield key, [window_hashes(words, starts, run, powers)], starts
 
     yield from _slabs(found())
 
@@ -141,6 +142,7 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                 both = double_hashes(text.as_py())
                 words = both[0]
                 anchors = places.values.to_numpy()
+                anchors = anchors[anchors < len(words)]
                 edge = np.zeros(len(words) + 2, np.int32)
                 np.add.at(edge, np.maximum(anchors - (period - 1), 0), 1)
                 np.add.at(edge, anchors + 1, -1)
@@ -151,7 +153,7 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
 
 def _repeated(rows: DataFrame, hashes: list[str]) -> DataFrame:
-    """(key, more, places) of the rows whose hashes occur twice or more; each place once, however often the row is repeated."""
+    """(key, more, places), more being the upper half of at, of the rows whose hashes occur twice or more; each place once, however often the row is repeated."""
     total = F.sum("n").over(Window.partitionBy(*hashes))
     found = rows.withColumn("total", total).where("total > 1 and key is not null")
     place = F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")
@@ -200,10 +202,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = documents(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.select("doc_id", row_key("doc_id", "text").alias("key"), F.hash("text", "doc_id").alias("more"), "text")
-    anchors = rows.select("key", "more", "text").mapInArrow(partial(_anchors, width=width), "h0 bigint, key bigint, at bigint, n tinyint")
+    anchors = rows.select("key", "text").mapInArrow(partial(_anchors, width=width), "h0 bigint, key bigint, at bigint, n tinyint")
     # each step is written before the next: the disk holds the shuffle files of one step at a time
     shared = staged(_repeated(anchors, ["h0"]), "anchors")
-    around = rows.join(shared, ["key", "more"]).select("key", "more", "text", "places")
+    around = rows.join(shared.drop("more"), "key").select("key", "more", "text", "places")
     windows = around.mapInArrow(partial(_windows, width=width), "h0 bigint, h1 bigint, key bigint, at bigint, n tinyint")
     repeated = staged(_repeated(windows, ["h0", "h1"]), "windows")
     return rows.join(repeated, ["key", "more"], "left").select("doc_id", "key", "text", "places").mapInArrow(
