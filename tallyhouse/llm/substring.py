@@ -146,7 +146,7 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                 edge = np.zeros(len(words) + 2, np.int32)
                 np.add.at(edge, np.maximum(anchors - (period - 1), 0), 1)
                 np.add.at(edge, anchors + 1, -1)
-                starts = np.flatnonzero(np.cumsum(edge)[: len(words) - width + 1] > 0)
+                starts = np.flatnonzero(np.cumsum(edge)[: max(0, len(words) - width + 1)] > 0)
                 yield key, [window_hashes(x, starts, width, p) for x, p in zip(both, powers, strict=True)], (more << 32) + starts
 
     yield from _slabs(found())
