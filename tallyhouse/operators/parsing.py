@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyhouse.sources.bookings import FIELDS, KINDS, TYPES
 
-_EDGES = r"^\s+|\s+$"
+#: White space that is no part of a cell.
+_EDGES = " \t\n\x0b\f\r"
 
 
 def _date(text: Column, pattern: str, shape: str) -> Column:
@@ -15,9 +16,22 @@ def _date(text: Column, pattern: str, shape: str) -> Column:
     return F.when(F.year(day) >= 1, day)
 
 
-def _seen(record: Column, name: str) -> tuple[Column, Column]:
-    """(type, stripped text) of a field of a variant record; the type of an absent field is null."""
-    return F.schema_of_variant(F.variant_get(record, f"$.{name}", "variant")), F.regexp_replace(F.try_variant_get(record, f"$.{name}", "string"), _EDGES, "")
+def _record(line: Column) -> Column:
+    """A line that is a JSON object as a struct of variants, one per field, in one pass over the line; null for other lines."""
+    is_object = F.try_parse_json(line).isNotNull() & line.rlike(r"^[ \t\r\n]*\{(?s:.*)\}[ \t\r\n]*$")
+    fields = ", ".join(f"{n} variant" for n in FIELDS)
+    return F.from_json(F.when(is_object, line), fields, {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"})
+
+
+def _seen(field: Column) -> tuple[Column, Column]:
+    """(type, stripped text) of a variant; the type of an absent field is null."""
+    return F.schema_of_variant(field), F.btrim(F.try_variant_get(field, "$", "string"), F.lit(_EDGES))
+
+
+def _amount(text: Column) -> Column:
+    """Decimal text as a price; null beyond the places or digits that a price has, since a rounded price is not the one given."""
+    value = text.try_cast(TYPES["decimal"])
+    return F.when(text.try_cast("decimal(38,18)") == value, value)
 
 
 def _typed(kind: Column, text: Column, name: str) -> tuple[Column, Column]:
@@ -36,7 +50,9 @@ def _typed(kind: Column, text: Column, name: str) -> tuple[Column, Column]:
     elif KINDS[name] == "date":
         value = F.when(is_text, _date(text, "yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"))
     else:
-        amount = F.when(is_integer | kind.startswith("DECIMAL"), text.try_cast(TYPES["decimal"])).when(kind == "DOUBLE", text.try_cast("double").try_cast(TYPES["decimal"]))
+        double = text.try_cast("double")
+        rounded = double.try_cast(TYPES["decimal"])
+        amount = F.when(is_integer | kind.startswith("DECIMAL"), _amount(text)).when((kind == "DOUBLE") & (rounded.cast("double") == double), rounded)
         value = F.when(amount >= 0, amount)
     return F.when(~missing, value), missing
 
@@ -44,17 +60,18 @@ def _typed(kind: Column, text: Column, name: str) -> tuple[Column, Column]:
 def cell(record: Column, name: str) -> tuple[Column, Column, Column]:
     """(value, is missing, is invalid) of a field of a variant record.
 
-    Null, absent and blank are missing; a value of another type or out of range is invalid. Neither ever fails.
+    Null, absent and blank are missing; a value of another type, out of range, or a price of more than six places is
+    invalid. Neither ever fails.
     """
-    value, missing = _typed(*_seen(record, name), name)
+    value, missing = _typed(*_seen(F.variant_get(record, f"$.{name}", "variant")), name)
     return value, missing, ~missing & value.isNull()
 
 
 def parse_json(lines: DataFrame, line: str = "line") -> DataFrame:
     """lines with one typed column per field, and the names of missing and of invalid fields. A line that is no JSON object has all fields missing."""
     # a field's type and text, then its value, then the lists of names: each step reads columns, so nothing is worked out twice
-    seen = {n: _seen(F.col("_record"), n) for n in FIELDS}
-    rows = lines.withColumn("_record", F.try_parse_json(F.col(line)))
+    seen = {n: _seen(F.col(f"_record.{n}")) for n in FIELDS}
+    rows = lines.withColumn("_record", _record(F.col(line)))
     rows = rows.select(*lines.columns, *[c.alias(f"_{k}_{n}") for n, pair in seen.items() for k, c in zip(("kind", "text"), pair, strict=True)])
     typed = {n: _typed(F.col(f"_kind_{n}"), F.col(f"_text_{n}"), n) for n in FIELDS}
     rows = rows.select(*lines.columns, *[c.alias(f"_{k}_{n}") for n, pair in typed.items() for k, c in zip(("value", "missing"), pair, strict=True)])
@@ -65,7 +82,7 @@ def parse_json(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def csv_cell(column: Column, name: str) -> tuple[Column, Column, Column]:
     """(value, is missing, is invalid) of a text cell: days as dd-mm-yyyy, flags as 0/1/true/false, whole numbers as -?digits."""
-    text = F.regexp_replace(column, _EDGES, "")
+    text = F.btrim(column, F.lit(_EDGES))
     missing = text.isNull() | (text == "")
     whole = F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint"))
     kind = KINDS[name]
@@ -78,7 +95,7 @@ def csv_cell(column: Column, name: str) -> tuple[Column, Column, Column]:
     elif kind == "date":
         value = _date(text, "dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$")
     else:
-        amount = F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), text.try_cast(TYPES["decimal"]))
+        amount = F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), _amount(text))
         value = F.when(amount >= 0, amount)
     value = F.when(~missing, value)
     return value, missing, ~missing & value.isNull()
