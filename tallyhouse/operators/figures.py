@@ -13,9 +13,9 @@ def valid(df: DataFrame, *fields: str) -> DataFrame:
     return df.dropna(subset=list(fields))
 
 
-def rates(df: DataFrame, label: Column, flag: Column, minimum: int = MIN_GROUP_SIZE) -> DataFrame:
-    """(group_label, numerator, denominator, small_sample): the true flags among each group; the group's size decides."""
-    out = df.groupBy(label.alias("group_label")).agg(F.count_if(flag).alias("numerator"), F.count("*").alias("denominator"))
+def rates(df: DataFrame, label: Column, flag: Column, *measures: Column, minimum: int = MIN_GROUP_SIZE) -> DataFrame:
+    """(group_label, numerator, denominator, measures..., small_sample): the true flags among each group; the group's size decides."""
+    out = df.groupBy(label.alias("group_label")).agg(F.count_if(flag).alias("numerator"), F.count("*").alias("denominator"), *measures)
     return out.withColumn("small_sample", is_small(F.col("denominator"), minimum))
 
 
@@ -26,9 +26,15 @@ def counts(df: DataFrame, label: Column, *measures: Column, minimum: int = MIN_G
     return out.withColumn("denominator", F.sum("numerator").over(whole)).withColumn("small_sample", is_small(F.col("numerator"), minimum))
 
 
-def with_span(figures: DataFrame, df: DataFrame, day: str) -> DataFrame:
-    """figures with the first and last day observed in df."""
-    return figures.join(F.broadcast(df.agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"))))
+def span(day: str) -> list[Column]:
+    """Measures of each group for with_span()."""
+    return [F.min(day).alias("first_in"), F.max(day).alias("last_in")]
+
+
+def with_span(figures: DataFrame) -> DataFrame:
+    """figures, which have the measures of span(), with the first and last day observed in all groups."""
+    whole = Window.partitionBy(F.lit(1))  # over groups, not records
+    return figures.withColumn("first_day", F.min("first_in").over(whole)).withColumn("last_day", F.max("last_in").over(whole))
 
 
 def partial(bounds: tuple[Column, Column]) -> Column:

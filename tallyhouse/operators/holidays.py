@@ -11,51 +11,61 @@ from tallyhouse.operators.figures import valid
 WINDOWS = (1, 3, 7)
 
 
-def _known_years(rows: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
-    """(year, has_data) of the years in the data: a holiday of another year never counts."""
-    years = rows.groupBy(F.year(day).alias("year")).agg(F.count("*").alias("records"))
-    return years.join(calendar.groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n")), "year", "left").select("year", "records", F.col("n").isNotNull().alias("has_data"))
+def _per_day(bookings: DataFrame, day: str, with_status: bool) -> DataFrame:
+    """(day, events, known, canceled): the one pass over the records."""
+    none = F.max(F.lit(0).cast("bigint"))
+    known, canceled = (F.count("is_canceled"), F.count_if("is_canceled")) if with_status else (none, none)
+    return valid(bookings, day).groupBy(F.col(day).alias("day")).agg(F.count("*").alias("events"), known.alias("known"), canceled.alias("canceled"))
 
 
-def day_classes(bookings: DataFrame, calendar: DataFrame, day: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """(day, kind, distance) for every day of the observed span.
+def _classified(per_day: DataFrame, calendar: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """(day, kind, distance, year, events, known, canceled, year_records, has_data) for every day of the observed span.
 
-    kind is holiday, before, after or baseline; distance is to the nearest holiday. A day as far from a holiday before
-    it as from one after it counts as a holiday; beyond the largest window a day is baseline, with a null distance.
+    Holidays of a year count if the data has records in it. Windows run over days, not records.
     """
-    rows = valid(bookings, day)
-    years = _known_years(rows, calendar, day).where("has_data")
-    holidays = calendar.join(F.broadcast(years), F.year("date") == F.col("year"), "left_semi").select(F.col("date").alias("day"), F.lit(True).alias("is_holiday")).distinct()
-    span = rows.agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    spine = span.select(F.explode(F.sequence("a", "b")).alias("day"))
-    # holidays of the years in the data may lie outside the span, so they take part before the span is cut out
-    days = spine.withColumn("observed", F.lit(True)).join(holidays, "day", "full")
-    order = Window.partitionBy(F.lit(1)).orderBy("day")  # days, not records
-    holiday = F.when(F.col("is_holiday"), F.col("day"))
+    counted = [F.col(c).cast("bigint").alias(c) for c in ("events", "known", "canceled")]
+    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("events", "known", "canceled")]
+    marks = per_day.select("day", *counted, F.lit(False).alias("marked")).unionByName(calendar.select(F.col("date").alias("day"), *nothing, F.lit(True).alias("marked")))
+    marks = marks.groupBy("day").agg(*[F.max(c).alias(c) for c in ("events", "known", "canceled")], F.bool_or("marked").alias("marked"))
+    of_year = Window.partitionBy(F.year("day"))
+    marks = marks.withColumn("in_data", F.sum("events").over(of_year).isNotNull()).where("in_data")
+    whole = Window.partitionBy(F.lit(1))
+    seen = F.when(F.col("events").isNotNull(), F.col("day"))
+    marks = marks.withColumn("first_day", F.min(seen).over(whole)).withColumn("last_day", F.max(seen).over(whole)).withColumn("next", F.lead("day").over(whole.orderBy("day")))
+    # each mark with the days up to the next one
+    days = marks.withColumn("each", F.explode(F.sequence("day", F.coalesce(F.date_sub("next", 1), F.col("day")))))
+    own = F.col("each") == F.col("day")
+    days = days.select(F.col("each").alias("day"), *[F.when(own, F.col(c)).alias(c) for c in ("events", "known", "canceled")], (own & F.col("marked")).alias("marked"), "first_day", "last_day")
+    days = days.withColumn("year", F.year("day")).withColumn("year_records", F.sum("events").over(of_year)).withColumn("has_data", F.bool_or("marked").over(of_year))
+    order = whole.orderBy("day")
+    holiday = F.when(F.col("marked"), F.col("day"))
     last = F.last(holiday, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     following = F.first(holiday, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = days.select("day", "observed", F.datediff("day", last).alias("since"), F.datediff(following, "day").alias("until")).where("observed")
+    near = days.withColumn("since", F.datediff("day", last)).withColumn("until", F.datediff(following, "day")).where(F.col("day").between(F.col("first_day"), F.col("last_day")))
     distance = F.least("since", "until")
     inside = distance <= max(windows)
     kind = F.when(~inside | distance.isNull(), "baseline").when((distance == 0) | F.coalesce(F.col("since") == F.col("until"), F.lit(False)), "holiday").when(distance == F.col("until"), "before").otherwise("after")
-    return near.select("day", kind.alias("kind"), F.when(inside, distance).cast("bigint").alias("distance"))
+    return near.select("day", kind.alias("kind"), F.when(inside, distance).cast("bigint").alias("distance"), "year", "events", "known", "canceled", "year_records", "has_data")
+
+
+def day_classes(bookings: DataFrame, calendar: DataFrame, day: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """(day, kind, distance) for every day of the observed span.
+
+    kind is holiday, before, after or baseline; distance is to the nearest holiday. A day as far from a holiday before
+    it as from one after it counts as a holiday; beyond the largest window a day is baseline, with a null distance.
+    """
+    return _classified(_per_day(bookings, day, False), calendar, windows).select("day", "kind", "distance")
 
 
 def daily(bookings: DataFrame, calendar: DataFrame, day: str, with_status: bool, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """(day, kind, distance, weekday, events, known, canceled): days of years with a calendar; days without records have zeros."""
-    rows = valid(bookings, day)
-    none = F.lit(0).cast("bigint")
-    events = rows.groupBy(F.col(day).alias("day")).agg(
-        F.count("*").alias("events"), (F.count("is_canceled") if with_status else F.max(none)).alias("known"), (F.count_if("is_canceled") if with_status else F.max(none)).alias("canceled")
-    )
-    without = _known_years(rows, calendar, day).where("not has_data").select("year")
-    days = day_classes(bookings, calendar, day, windows).join(F.broadcast(without), F.year("day") == F.col("year"), "left_anti")
-    return days.join(events, "day", "left").fillna(0, ["events", "known", "canceled"]).withColumn("weekday", F.weekday("day") + 1)
+    days = _classified(_per_day(bookings, day, with_status), calendar, windows).where("has_data or year_records is null")
+    return days.select("day", "kind", "distance", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("events", "known", "canceled")], (F.weekday("day") + 1).alias("weekday"))
 
 
 def _groups(table: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """A day's memberships: holiday, and each window of its side that reaches it."""
-    sides = F.array(*[F.lit(w) for w in windows])
+    """A day's memberships: holiday, and each window of its side that reaches it; a window given twice is one."""
+    sides = F.array(*[F.lit(w) for w in sorted(set(windows))])
     wide = F.when(F.col("kind") == "holiday", F.array(F.lit(None).cast("int"))).otherwise(F.filter(sides, lambda w: F.col("distance") <= w))
     return table.where("kind <> 'baseline'").withColumn("window_days", F.explode(wide))
 
@@ -93,10 +103,8 @@ def direction(table: DataFrame, windows: tuple[int, ...] = WINDOWS, minimum: int
 
 def coverage(bookings: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
     """(year, has_data, records, days): every year in the data, with its records and its days inside the span."""
-    rows = valid(bookings, day)
-    span = rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    days = span.groupBy(F.year("day").alias("year")).agg(F.count("*").alias("days"))
-    return _known_years(rows, calendar, day).join(days, "year")
+    days = _classified(_per_day(bookings, day, False), calendar, WINDOWS)
+    return days.where("year_records is not null").groupBy("year").agg(F.bool_or("has_data").alias("has_data"), F.max("year_records").alias("records"), F.count("*").alias("days"))
 
 
 def baseline(table: DataFrame, minimum: int = MIN_GROUP_SIZE) -> DataFrame:
@@ -105,9 +113,8 @@ def baseline(table: DataFrame, minimum: int = MIN_GROUP_SIZE) -> DataFrame:
     return out.withColumn("small_sample", is_small(F.col("days"), minimum))
 
 
-def listing(spark, calendar: DataFrame, first: int, last: int) -> DataFrame:
-    """(year, status, reason, holidays): the calendar of each requested year, or why there is none."""
-    years = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
+def listing(years: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(year, status, reason, holidays): the calendar of each requested year, or why there is none. years has one column year."""
     days = calendar.groupBy(F.year("date").alias("year")).agg(F.sort_array(F.collect_list(F.struct("date", "name"))).alias("holidays"))
     has = F.col("holidays").isNotNull()
     return years.join(days, "year", "left").select("year", F.when(has, "available").otherwise("unavailable").alias("status"), F.when(~has, "NO_CALENDAR_DATA").alias("reason"), "holidays")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import MIN_GROUP_SIZE, mean_half_up, month_bounds, month_key, week_bounds, week_key
-from tallyhouse.operators.figures import counts, partial, valid, with_span
+from tallyhouse.operators.figures import counts, partial, span, valid, with_span
 
 GRAINS = {"month": (month_key, month_bounds), "week": (week_key, week_bounds)}
 
@@ -17,10 +17,10 @@ def series(bookings: DataFrame, day: str, grain: str, minimum: int = MIN_GROUP_S
     rows = valid(bookings, day)
     out = counts(
         rows, key(F.col(day)), F.count("is_canceled").alias("known"), F.count_if("is_canceled").alias("canceled"), F.count("price_per_night").alias("priced"),
-        F.sum("price_per_night").alias("price_total"), F.min(day).alias("any_day"), minimum=minimum,
+        F.sum("price_per_night").alias("price_total"), *span(day), minimum=minimum,
     )
-    out = with_span(out, rows, day).withColumn("partial_period", partial(bounds(F.col("any_day"))))
-    return out.withColumn("mean_price", mean_half_up(F.col("price_total"), F.col("priced"))).drop("price_total", "any_day", "first_day", "last_day")
+    out = with_span(out).withColumn("partial_period", partial(bounds(F.col("first_in"))))
+    return out.withColumn("mean_price", mean_half_up(F.col("price_total"), F.col("priced"))).drop("price_total", "first_in", "last_in", "first_day", "last_day")
 
 
 def incomplete_years(bookings: DataFrame, day: str) -> DataFrame:
@@ -31,8 +31,14 @@ def incomplete_years(bookings: DataFrame, day: str) -> DataFrame:
 
 def summary(bookings: DataFrame, day: str) -> DataFrame:
     """One row: records, first_day, last_day, months, weeks, partial_periods."""
-    rows = valid(bookings, day)
-    periods = [series(bookings, day, g).select(F.lit(g).alias("grain"), "partial_period") for g in GRAINS]
-    found = periods[0].unionByName(periods[1]).agg(F.count_if(F.col("grain") == "month").alias("months"), F.count_if(F.col("grain") == "week").alias("weeks"), F.count_if("partial_period").alias("partial_periods"))
-    span = rows.agg(F.count("*").alias("records"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
-    return span.join(F.broadcast(found))
+    # one pass over the records; periods are made of days
+    days = valid(bookings, day).groupBy(F.col(day).alias("day")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(F.lit(1))
+    days = days.withColumn("first_day", F.min("day").over(whole)).withColumn("last_day", F.max("day").over(whole))
+    fraction = {g: partial(bounds(F.col("day"))) for g, (_, bounds) in GRAINS.items()}
+    keys = {g: key(F.col("day")) for g, (key, _) in GRAINS.items()}
+    cut = [F.size(F.collect_set(F.when(fraction[g], keys[g]))) for g in GRAINS]
+    return days.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
+        F.count_distinct(keys["month"]).alias("months"), F.count_distinct(keys["week"]).alias("weeks"), (cut[0] + cut[1]).cast("bigint").alias("partial_periods"),
+    )

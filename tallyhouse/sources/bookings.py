@@ -25,7 +25,8 @@ TYPES = {"text": "string", "identifier": "string", "integer": "bigint", "boolean
 def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One booking per order, with customer and nation attributes. Nulls, zeros, mismatches and repeated ids are part of the mapping."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    joined = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    # an order without a customer or nation is a booking without their attributes
+    joined = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     gap = (k * 7 + (k % 13) * 11) % 260
     unless = lambda m, value: F.when(k % m != 0, value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -56,7 +57,11 @@ CASE t WHEN 1 THEN 'not json at all' WHEN 8 THEN '```json' || chr(10) ELSE '' EN
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tallyhouse-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tallyhouse-')}"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
