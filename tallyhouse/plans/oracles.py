@@ -195,9 +195,9 @@ nums AS (SELECT answer_id, unnest(""" + " || ".join(f"regexp_extract_all(texts,
 bad AS (SELECT DISTINCT answer_id FROM nums JOIN n USING (answer_id) WHERE CAST(replace(x, ',', '') AS DECIMAL(18,6)) NOT IN (c, n)),
 audit AS (SELECT answer_id, structure,
   NOT (""" + " OR ".join(f"contains(lower(texts), '{w}')" for w in CAUSAL_WORDS) + """) AS causal,
-  NOT regexp_matches(texts, '(?i)\\b(""" + "|".join(r"\s+".join([*p.split()[:-1], p.split()[-1].removesuffix("e") + r"\w*"]) for p in PROMISES) + """)') AS promise,
+  NOT regexp_matches(texts, '(?i)\\b(""" + PROMISES + """)') AS promise,
   CASE WHEN structure THEN answer_id NOT IN (SELECT answer_id FROM bad) END AS figures_known, z IN (c, n) AS sample_size,
-  z >= 30 OR contains(lower(e), 'small sample') AS small_sample, regexp_matches(g, '(?i)\\b(""" + "|".join(HEDGES) + """)\\b') AS hypothesis FROM a5)"""
+  z >= 30 OR contains(lower(e), 'small sample') AS small_sample, regexp_matches(g, '(?i)\\b(""" + HEDGES + """)\\b') AS hypothesis FROM a5)"""
 VERDICT = """CASE WHEN NOT structure THEN 'structure' WHEN NOT causal THEN 'causal' WHEN NOT promise THEN 'promise' WHEN NOT figures_known THEN 'figures'
 WHEN NOT sample_size THEN 'sample_size' WHEN NOT small_sample THEN 'small_sample' WHEN NOT hypothesis THEN 'hypothesis' END"""
 
