@@ -77,6 +77,18 @@ def mean_half_up(total: Column, count: Column) -> Column:
 
 
 def share(numerator: Column, denominator: Column) -> Column:
-    """A share as text: n/a, or per cent with one decimal, half up on the exact ratio."""
+    """A share as text: n/a, or per cent with one decimal, half up on the exact ratio, unlike share_text()."""
     tenths = F.floor((numerator * 2000 + denominator) / (denominator * 2))
     return F.when(denominator > 0, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))).otherwise("n/a")
+
+
+def share_text(numerator: Column, denominator: Column) -> Column:
+    """A share as per cent with one decimal, n/a without a denominator: the ratio as a double, ties to even on its exact value."""
+    per_cent = F.call_function("format_number", numerator.cast("double") / denominator * 100, F.lit("0.0"))
+    return F.when(denominator > 0, F.concat(per_cent, F.lit("%"))).otherwise("n/a")
+
+
+def ratio_text(numerator: Column, denominator: Column) -> Column:
+    """n of d (share); counts that are not known are called so."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
+    return F.concat(known(numerator), F.lit(" of "), known(denominator), F.lit(" ("), F.coalesce(F.when(numerator.isNotNull(), share_text(numerator, denominator)), F.lit("n/a")), F.lit(")"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +36,51 @@ def _holiday_parts(bookings: DataFrame, calendar: DataFrame, side: str) -> list[
     ]
 
 
-def figures(bookings: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(analysis, split, group_label, numerator, denominator, small_sample, partial_period, details) of the six analyses.
+def _analysis_parts(bookings: DataFrame, calendar: DataFrame, analysis: str) -> list[DataFrame]:
+    if analysis == "lead_time":
+        return [*(_part(analysis, s or "overall", lead_time.distribution(bookings, s)) for s in (None, *lead_time.splits())), _part(analysis, "date_comparison", lead_time.date_comparison(bookings))]
+    if analysis == "cancellations":
+        return [_part(analysis, "overall", cancellations.overall(bookings)), *(_part(analysis, s, cancellations.split(bookings, s)) for s in cancellations.splits())]
+    if analysis == "seasonality":
+        return [_part(analysis, f"{side}s_{g}ly", seasonality.series(bookings, day, g)) for side, day in SIDES.items() for g in seasonality.GRAINS]
+    if analysis == "room_value":
+        return [_part(analysis, "values", room_value.values(bookings)), _part(analysis, "stay_lengths", room_value.stay_lengths(bookings))]
+    if analysis == "guest_mix":
+        return [_part(analysis, a, guest_mix.distribution(bookings, a)) for a in guest_mix.ATTRIBUTES]
+    return [p for side in SIDES for p in _holiday_parts(bookings, calendar, side)]
+
+
+ANALYSES = ("lead_time", "cancellations", "seasonality", "room_value", "guest_mix", "holidays")
+
+
+def figures(bookings: DataFrame, calendar: DataFrame, analyses: tuple[str, ...] = ANALYSES) -> DataFrame:
+    """(analysis, split, group_label, numerator, denominator, small_sample, partial_period, details) of the analyses.
 
     partial_period is null where groups are not periods; details holds a split's further columns as text.
     """
-    parts = [_part("lead_time", s or "overall", lead_time.distribution(bookings, s)) for s in (None, *lead_time.splits())]
-    parts.append(_part("lead_time", "date_comparison", lead_time.date_comparison(bookings)))
-    parts.append(_part("cancellations", "overall", cancellations.overall(bookings)))
-    parts += [_part("cancellations", s, cancellations.split(bookings, s)) for s in cancellations.splits()]
-    parts += [_part("seasonality", f"{side}s_{g}ly", seasonality.series(bookings, day, g)) for side, day in SIDES.items() for g in seasonality.GRAINS]
-    parts += [_part("room_value", "values", room_value.values(bookings)), _part("room_value", "stay_lengths", room_value.stay_lengths(bookings))]
-    parts += [_part("guest_mix", a, guest_mix.distribution(bookings, a)) for a in guest_mix.ATTRIBUTES]
-    parts += [p for side in SIDES for p in _holiday_parts(bookings, calendar, side)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [p for a in analyses for p in _analysis_parts(bookings, calendar, a)])
+
+
+def needs() -> list[tuple[str, str, tuple[str, ...], tuple[str, ...]]]:
+    """(analysis, split, fields that a record must have, fields that the reason names) of every split."""
+    stay = ("stays_in_weekend_nights", "stays_in_week_nights")
+    out = [("lead_time", "overall", ("lead_time",)), *(("lead_time", s, ("lead_time", f)) for s, f in lead_time.SPLIT_FIELDS.items())]
+    out += [("lead_time", "date_comparison", ("lead_time", *SIDES.values())), ("cancellations", "overall", ("is_canceled",))]
+    out += [("cancellations", s, ("is_canceled", f)) for s, f in cancellations.SPLIT_FIELDS.items()]
+    out += [("seasonality", f"{side}s_{g}ly", (day,)) for side, day in SIDES.items() for g in seasonality.GRAINS]
+    out += [("room_value", "stay_lengths", stay)] + [("guest_mix", a, guest_mix.needed(a)) for a in guest_mix.ATTRIBUTES]
+    out += [("holidays", f"{side}_{x}", (day,)) for side, day in SIDES.items() for x in ("comparison", "by_weekday", "baseline")]
+    return [*((a, s, f, f) for a, s, f in out), ("room_value", "values", (*stay, "price_per_night"), ("price_per_night",))]
+
+
+def part_status(bookings: DataFrame) -> DataFrame:
+    """(analysis, split, status, reason): a split is unavailable if no record holds a value in every field that it needs. One pass."""
+    parts = needs()
+    sets = list(dict.fromkeys(f for _, _, f, _ in parts))
+    every = lambda fields: reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields])
+    counted = bookings.agg(*[F.count_if(every(f)).alias(f"n{i}") for i, f in enumerate(sets)])
+    quoted = lambda fields: ", ".join(f"'{f}'" for f in fields)
+    rows = [F.struct(F.lit(a).alias("analysis"), F.lit(s).alias("split"), F.col(f"n{sets.index(f)}").alias("n"), F.lit(f"No record holds a valid value in every required field: {quoted(named)}").alias("reason")) for a, s, f, named in parts]
+    out = counted.select(F.inline(F.array(*rows)))
+    none = F.col("n") == 0
+    return out.select("analysis", "split", F.when(none, "unavailable").otherwise("available").alias("status"), F.when(none, F.col("reason")).alias("reason"))

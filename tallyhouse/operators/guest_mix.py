@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import MIN_GROUP_SIZE, mean_half_up
 from tallyhouse.operators.figures import counts, valid
+from tallyhouse.sources.bookings import KINDS
 
 ATTRIBUTES = ("total_guests", "country", "meal", "assigned_room_type", "is_repeated_guest", "required_car_parking_spaces", "total_of_special_requests")
 
@@ -35,3 +36,11 @@ def distribution(bookings: DataFrame, attribute: str, minimum: int = MIN_GROUP_S
     out = out.withColumn("mean_nights", mean_half_up(F.col("nights_total"), F.col("nights_known"))).withColumn("mean_price", mean_half_up(F.col("price_total"), F.col("priced")))
     stated = lambda c: F.when(~F.col("small_sample"), F.col(c)).alias(c)
     return out.select("group_label", "numerator", "denominator", "small_sample", *map(stated, ("nights_known", "mean_nights", "known", "canceled", "priced", "mean_price")))
+
+
+def positions(bookings: DataFrame, attribute: str, minimum: int = MIN_GROUP_SIZE) -> DataFrame:
+    """distribution() with position, from 1: groups in the order of the attribute's own type, whole numbers by value, false before true."""
+    numeric = attribute == "total_guests" or KINDS[attribute] == "integer"
+    key = F.col("group_label").try_cast("bigint") if numeric else F.col("group_label")
+    whole = Window.partitionBy(F.lit(1)).orderBy(key)  # over groups, not records
+    return distribution(bookings, attribute, minimum).withColumn("position", F.row_number().over(whole).cast("bigint"))

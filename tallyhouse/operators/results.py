@@ -33,8 +33,8 @@ def storable(results: DataFrame, status: str = "status") -> DataFrame:
 
 
 def append(results: DataFrame, path: str) -> None:
-    """Append the storable results to a table partitioned by run date."""
-    storable(results).withColumn("run_date", F.to_date("generated_at")).write.mode("append").partitionBy("run_date").parquet(path)
+    """Append the storable results to a table partitioned by run date, which is null where generated_at cannot be read."""
+    storable(results).withColumn("run_date", F.try_to_timestamp("generated_at").cast("date")).write.mode("append").partitionBy("run_date").parquet(path)
 
 
 def retain(history: DataFrame, limit: int) -> DataFrame:
@@ -67,12 +67,25 @@ def document(analysis: str, figures: DataFrame, extra: tuple[str, ...] = ()) ->
     return figures.agg(entries.alias("groups")).select(F.lit(analysis).alias("analysis"), F.to_json(body).alias("doc"))
 
 
-def documents(figures: DataFrame) -> DataFrame:
-    """(analysis, doc): each analysis of a long table (findings.figures) as one JSON document, in order of split and label."""
+def documents(figures: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(analysis, doc): each analysis of a long table (findings.figures) as one JSON document, in order of split and label.
+
+    parts (findings.part_status) adds the splits that are unavailable with their reasons, in place of figures; an
+    analysis without any available split is unavailable itself.
+    """
     entry = F.struct("split", F.col("group_label").alias("order"), figure().alias("figure"), "partial_period", F.to_json("details").alias("details"))
     entries = F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["split"].alias("split"), x["figure"].alias("figure"), x["partial_period"].alias("partial_period"), F.from_json(x["details"], "map<string,string>").alias("details")))
-    body = F.struct(F.lit("available").alias("status"), F.col("groups"))
-    return figures.groupBy("analysis").agg(entries.alias("groups")).select("analysis", F.to_json(body).alias("doc"))
+    if parts is None:
+        body = F.struct(F.lit("available").alias("status"), F.col("groups"))
+        return figures.groupBy("analysis").agg(entries.alias("groups")).select("analysis", F.to_json(body).alias("doc"))
+    gone = F.col("status") == "unavailable"
+    lists = parts.groupBy("analysis").agg(
+        F.sort_array(F.collect_list(F.when(gone, F.struct("split", "status", "reason")))).alias("unavailable"), F.bool_and(gone).alias("none"), F.min_by("reason", "split").alias("reason")
+    )
+    shown = figures.join(F.broadcast(parts.where(gone).select("analysis", "split")), ["analysis", "split"], "left_anti").groupBy("analysis").agg(entries.alias("groups"))
+    state = F.when(F.col("none"), "unavailable").otherwise("available")
+    body = F.struct(state.alias("status"), F.when(F.col("none"), F.col("reason")).alias("reason"), F.when(~F.col("none"), F.col("groups")).alias("groups"), "unavailable")
+    return lists.join(shown, "analysis", "left").select("analysis", F.to_json(body).alias("doc"))
 
 
 def envelope(documents: DataFrame, status: DataFrame, quality: DataFrame, result_id: str, generated_at: str) -> DataFrame:

@@ -11,6 +11,31 @@ LEAD_TIME_DIFFERENCE = "The supplied lead time differed from the days between bo
 CANCELLATION_SPLIT = "Cancellation share by %s: %d of %d bookings were cancelled overall; groups are shown with their counts and small groups are flagged."
 GUEST_MIX_OMITTED = "No comparison is stated for group '%s'; it is a small sample of %d records."
 ROOM_VALUE_GROUP = "Estimated value of %d %s bookings: total %s, mean %s in the price units of the input (an estimate, not realized revenue)."
+HOLIDAY_COMPARED = {
+    "higher": "Mean %s per day was higher %s (%.2f) than on baseline days of the same weekdays (%.2f); this is an observed association only.",
+    "lower": "Mean %s per day was lower %s (%.2f) than on baseline days of the same weekdays (%.2f); this is an observed association only.",
+    "same": "Mean %s per day was the same %s (%.2f) as on baseline days of the same weekdays (%.2f); this is an observed association only.",
+}
+HOLIDAY_WITHHELD = "No comparison is stated %s; a group is a small sample."
+HOLIDAY_WINDOW, HOLIDAY_ITSELF = "in the %d-day window %s holidays", "on holidays"
+SEASON_SUMMARY = (
+    "%d %s were observed from %s to %s, in %d months and %d ISO weeks; %d of these periods are partial. This describes the observed data only."
+)
+
+
+def holiday_comparison(measure: str, kind: Column, window: Column, direction: Column, mean: Column, baseline: Column) -> Column:
+    """The sentence of a group of holidays.direction(); means are rounded by the formatter."""
+    subject = F.when(kind == "holiday", HOLIDAY_ITSELF).otherwise(F.format_string(HOLIDAY_WINDOW, window, kind))
+    out = F.when(direction == "withheld", F.format_string(HOLIDAY_WITHHELD, subject))
+    for word, template in HOLIDAY_COMPARED.items():
+        out = out.when(direction == word, F.format_string(template, F.lit(measure), subject, mean, baseline))
+    return out
+
+
+def season_summary(measure: str, row: str = "") -> Column:
+    """The sentence of a row of seasonality.summary()."""
+    c = lambda n: F.col(f"{row}{n}")
+    return F.format_string(SEASON_SUMMARY, c("records"), F.lit(measure), c("first_day").cast("string"), c("last_day").cast("string"), c("months"), c("weeks"), c("partial_periods"))
 
 
 def lead_time_median(median: Column, count: Column) -> Column:

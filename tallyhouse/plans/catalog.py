@@ -144,8 +144,7 @@ SELECT y.year, CASE WHEN holidays IS NULL THEN 'unavailable' ELSE 'available' EN
 def _holiday_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing of every year with orders and the year after."""
     years = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.explode(F.array(F.year("o_orderdate"), F.year("o_orderdate") + 1)).alias("year")).distinct()
-    days = holidays.listing(spark, bookings.calendar(spark), 1900, 2100)
-    return days.join(years, "year", "left_semi").withColumn("holidays", F.array_join(F.transform("holidays", lambda h: h["date"].cast("string")), ","))
+    return holidays.listing(years, bookings.calendar(spark)).withColumn("holidays", F.array_join(F.transform("holidays", lambda h: h["date"].cast("string")), ","))
 
 
 # ---- typed parsing
@@ -231,8 +230,9 @@ on_lines(
 @query("result_json")
 def _result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parsing.parse_json(raw.json_lines(spark, sf_dir))
-    found = findings.figures(bookings.from_orders(spark, sf_dir), bookings.calendar(spark))
-    return results.envelope(results.documents(found), quality.result_status(parsed), quality.summary(parsed), "run-1", "2024-01-01T00:00:00.000Z")
+    b = bookings.from_orders(spark, sf_dir)
+    found = results.documents(findings.figures(b, bookings.calendar(spark)), findings.part_status(b))
+    return results.envelope(found, quality.result_status(parsed), quality.summary(parsed), "run-1", "2024-01-01T00:00:00.000Z")
 
 
 def _view(name: str, analysis: str, figures: Callable[[DataFrame], DataFrame], sql: str, extra: tuple[tuple[str, str], ...] = ()) -> None:
@@ -351,3 +351,5 @@ on_bookings(
     "SELECT 'cancellations' AS analysis, '[' || string_agg('{\"group\":\"' || group_label || '\",\"numerator\":' || numerator || ',\"denominator\":' || denominator || ',\"small_sample\":' || small_sample || '}', ',' ORDER BY group_label) || ']' AS context FROM (" + o.cancel_split("by_market_segment") + ")",
     lambda b: text_audit.prompt_context(cancellations.split(b, "by_market_segment").withColumn("analysis", F.lit("cancellations"))),
 )
+
+from tallyhouse.plans import whole  # noqa: E402,F401  its queries are registered too, with these as their base
