@@ -2,8 +2,9 @@
 
 A long text is cut into chunks that overlap. Each chunk is split into pre-tokens on its own, in parallel; where a chunk
 and the start of the next one agree on a pre-token boundary inside their overlap, both splits run on alike, so the text
-is stitched there, and the pieces between stitches are encoded in parallel. A text with an overlap without such a
-boundary (a run of letters as long as the overlap) is encoded in one piece. Decoding joins the ids' raw bytes.
+is stitched there, and the pieces between stitches are encoded in parallel. Chunks with an overlap without such a
+boundary (a run of letters as long as the overlap, which is one pre-token) are joined to one piece, the others not.
+Decoding joins the ids' raw bytes.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache, partial
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,17 +30,21 @@ def _pattern(pattern: str):
 
 
 def boundaries(text: str, pattern: str, low: int, high: int) -> set[int]:
-    """Pre-token boundaries in [low, high) at which a piece can end: after a letter, before white space.
+    """Pre-token boundaries in [low, high) at which a piece can end: where a letter or digit is followed by white space,
+    punctuation or the other kind. Wherever a split begins, it has a boundary there.
 
-    A boundary at the end of text is none, since more text could move it.
+    Apostrophes and marks are left out, as patterns take them to letters; so is the end of text, since more text could
+    move it.
     """
     found = set()
     for m in _pattern(pattern).finditer(text):
         at = m.end()
         if at >= high:
             break
-        if at >= low and at < len(text) and text[at - 1].isalpha() and text[at] in " \n":
-            found.add(at)
+        if at >= low and at < len(text):
+            before, after = unicodedata.category(text[at - 1])[0], unicodedata.category(text[at])[0]
+            if before in "LN" and (text[at] in " \n" or after in "LNPS" and after != before and text[at] not in "'\u2019"):
+                found.add(at)
     return found
 
 
@@ -79,12 +86,11 @@ def _stitches(batches: Iterator[pa.RecordBatch], pattern: str, size: int, overla
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(places, pa.int32())], names=["uid", "chunk", "last", "stitch"])
 
 
-def _spans(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str, size: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 64):
             part = batch.slice(at, 64)
-            texts = [t[begin : len(t) if end is None else size + end] for t, begin, end in zip(*(part.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), _encoded(texts, ranks, pattern)], names=["uid", "doc_id", "chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], _encoded(part.column(3).to_pylist(), ranks, pattern)], names=["uid", "doc_id", "chunk", "ids"])
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 32_768, overlap: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,19 +105,20 @@ def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 32_768, overl
     long = rows.where(F.length("text") > chunk).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     cut = staged(long.mapInArrow(partial(_chunks, size=chunk, overlap=overlap), f"uid bigint, doc_id {kind}, chunk int, last boolean, text string"), "chunks").repartition("uid", "chunk")
     stitches = cut.select("uid", "chunk", "last", "text").mapInArrow(partial(_stitches, pattern=pattern, size=chunk, overlap=overlap), "uid bigint, chunk int, last boolean, stitch int")
-    text_rows = Window.partitionBy("uid")
-    spans = stitches.select(
-        "uid", "chunk", F.coalesce(F.lag("stitch").over(text_rows.orderBy("chunk")), F.lit(0)).alias("begin"), F.col("stitch").alias("end"),
-        F.max(~F.col("last") & F.col("stitch").isNull()).over(text_rows).alias("apart"),
-    )
-    spans = staged(spans, "spans")
-    joined = cut.join(spans, ["uid", "chunk"])
-    encoded = joined.where("not apart").select("uid", "doc_id", "chunk", "text", "begin", "end").mapInArrow(partial(_spans, ranks=ranks, pattern=pattern, size=chunk), f"uid bigint, doc_id {kind}, chunk int, ids array<int>")
+    in_order = Window.partitionBy("uid").orderBy("chunk")
+    spans = stitches.withColumn("begin", F.lag("stitch").over(in_order))
+    spans = spans.withColumn("piece", F.sum(F.col("begin").isNotNull().cast("int")).over(in_order)).withColumn("chunks", F.count("*").over(Window.partitionBy("uid", "piece")))
+    spans = staged(spans.select("uid", "chunk", "piece", "chunks", F.coalesce("begin", F.lit(0)).alias("begin"), F.col("stitch").alias("end")), "spans")
+    # a chunk's own part of its piece: up to the stitch, to the next chunk's start, or to the end of the text
+    length = F.when(F.col("end").isNotNull(), F.lit(chunk) + F.col("end") - F.col("begin")).when(F.col("last"), F.lit(2**31 - 1)).otherwise(F.lit(chunk) - F.col("begin"))
+    parts = cut.join(spans, ["uid", "chunk"]).select("uid", "doc_id", "chunk", "piece", "chunks", F.substring("text", F.col("begin") + 1, length).alias("text"))
+    own = F.array_sort(F.collect_list(F.struct("chunk", "text")))
+    joined = parts.where("chunks > 1").groupBy("uid", "piece").agg(F.first("doc_id").alias("doc_id"), F.min("chunk").alias("chunk"), F.array_join(F.transform(own, lambda x: x["text"]), "").alias("text"))
+    pieces = parts.where("chunks = 1").select("uid", "doc_id", "chunk", "text").unionByName(joined.drop("piece"))
+    encoded = pieces.mapInArrow(partial(_pieces, ranks=ranks, pattern=pattern), f"uid bigint, doc_id {kind}, chunk int, ids array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
     stitched = encoded.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids")).select("doc_id", "ids")
-    own = F.array_sort(F.collect_list(F.struct("chunk", F.expr(f"substring(text, 1, {chunk})").alias("text"))))
-    apart = joined.where("apart").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_join(F.transform(own, lambda x: x["text"]), "").alias("text")).select("doc_id", "text")
-    return short.unionByName(stitched).unionByName(apart.mapInArrow(whole, f"doc_id {kind}, ids array<int>"))
+    return short.unionByName(stitched)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str) -> Iterator[pa.RecordBatch]:
