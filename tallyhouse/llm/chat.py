@@ -108,7 +108,11 @@ def lines(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str
 
 
 def learn(transcript: DataFrame) -> Model:
-    """A model of lines() with known roles: counts over all of them, by turns (roles by role before) and lines."""
+    """A model of lines() with known roles: counts over all of them, by turns (roles by role before) and lines.
+
+    Lines whose role is null or unknown are not counted. Turns without a conversation or number give their lines and
+    lengths, but no order. Counts are smoothed by one, so an empty table gives a model in which all is equally likely.
+    """
     known = transcript.where(F.col("role").isin(*ROLES))
     coded = _coded(known.select("conv", "turn", "line_no", "line", "role"))
     n = len(ROLES)
@@ -236,7 +240,8 @@ def render(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv, place, role, part, text): canonical turns of parse(), in pieces of at most block lines.
 
     A piece that begins a turn opens with <|role|>, and one that ends it closes with <|end|>; place is the first line of
-    the piece. The pieces of a transcript, joined in order, are its canonical text.
+    the piece. The pieces of a transcript, joined in order, are its canonical text. Empty lines are kept; lines without a
+    conversation are one transcript; an empty table gives no rows.
     """
     rows = parsed.withColumn("block", F.floor(F.col("place") / block))
     after = rows.groupBy("conv", "block").agg(F.min_by("begins", "place").alias("next_begins")).select(F.col("conv").alias("c"), (F.col("block") - 1).alias("b"), "next_begins")

@@ -57,7 +57,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0))  # a row without an id is not held out, nor labelled
     out = toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), usable=fold != 1)
     return out.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

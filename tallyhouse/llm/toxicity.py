@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = 40_0
     total = known.count()
     mix = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)).cast("int")
     if total > max_rows:
-        known = known.where(mix("sample", 1_000_000) < int(1e6 * max_rows / total))
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 62)) < int((1 << 62) * max_rows / total))
     # max_rows bounds the labels that are left, so they go to the texts
     rows = documents(docs, id_col, text_col).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", mix("fold", 2).alias("fold"), "text")
     sample = staged(rows, "labelled")
