@@ -167,14 +167,16 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
 HOT, HOT_COPIES = 10_000, 1000
 
 
-def meet(rows: DataFrame, groups: DataFrame, key: str, how: str) -> DataFrame:
+def meet(rows: DataFrame, groups: DataFrame, key: str, how: str, total: int | None = None) -> DataFrame:
     """rows with the group of their key; groups have a column copies, the number of rows of the key, and each key once.
 
-    how is inner, or left for nulls where there is no group. Keys of hot groups go to the rows by broadcast, and their
+    how is inner, or left for nulls where there is no group; total is the sum of copies, if known, or more. Keys of hot groups go to the rows by broadcast, and their
     rows stay where they are; the other keys are shuffled, at any size of the groups.
     """
     added = [c for c in groups.columns if c != key]
-    least = max(HOT_COPIES, (groups.agg(F.sum("copies")).first()[0] or 0) / HOT)
+    if total is None:
+        total = groups.agg(F.sum("copies")).first()[0] or 0
+    least = max(HOT_COPIES, total / HOT)
     marked = rows.join(F.broadcast(groups.where(F.col("copies") > least)), key, "left")
     rest = marked.where("copies is null").drop(*added).join(groups.where(F.col("copies") <= least).hint("merge"), key, how)
     return marked.where("copies is not null").unionByName(rest)

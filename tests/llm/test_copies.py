@@ -81,6 +81,17 @@ def test_links_in_dense_lists(spark, n):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_components_around_a_hub(spark, monkeypatch):
+    from tallyhouse.llm import common
+
+    monkeypatch.setattr(common, "HOT_COPIES", 50)
+    for hub in (0, 9999):
+        links = [(hub, i) for i in range(1, 400)] + [(399, 500), (600, 601)]
+        got = {(r.node, r.root) for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b").collect()}
+        least = min(hub, 1)
+        assert got == {(n, least) for n in (*range(1, 400), hub, 500)} | {(600, 600), (601, 600)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (105, 101), (7, 7)]
     got = {(r.node, r.root) for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b").collect()}
