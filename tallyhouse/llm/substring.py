@@ -3,7 +3,7 @@
 With a set D of residues modulo P in which every difference occurs, any two equal windows of W words have, within their
 first P words, positions at the same offset that both fall on D. So it is enough to hash runs of W - P + 1 words at the
 cover positions: windows that are equal share one of these anchors at the same offset. Documents with a shared anchor
-then extend it to the windows around it, and a window is repeated if its own hash (128 bits, over exactly W words,
+then extend it to the windows around it, and a window is repeated if its own hash (96 bits, over exactly W words,
 from two independent hashes of each word) occurs twice. Hashes are counted inside each task before they are shuffled, so a passage that a third of all documents
 hold sends a few rows per task, not one per occurrence. Anchors go by 64 bits of a row's id and text, since a
 place too many only means windows that are counted in vain; windows go by 96. Rows repeated in full share a name and
@@ -89,7 +89,7 @@ def _counted(hashes: list[np.ndarray], keys: np.ndarray, places: np.ndarray) ->
     for i, h in enumerate(hashes):
         spread = keys[settled].view(np.uint64) * np.uint64(MULTIPLIERS[i]) + places[settled].astype(np.uint64) * np.uint64(MULTIPLIERS[1 - i])
         mixed = np.r_[h[once], spread ^ (spread >> np.uint64(29)), h[told]]
-        columns.append(pa.array(mixed.view(np.int64)))
+        columns.append(pa.array((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32) if i else mixed.view(np.int64)))
     n = np.r_[np.ones(len(once), np.int8), np.full(len(settled), 2, np.int8), np.ones(len(told), np.int8)]
     gone = np.r_[np.zeros(len(once) + len(settled), bool), np.ones(len(told), bool)]
     key = pa.array(np.r_[keys[once], keys[settled], np.zeros(len(told), np.int64)], mask=gone)
@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # each step is written before the next: the disk holds the shuffle files of one step at a time
     shared = staged(_repeated(anchors, ["h0"]), "anchors")
     around = rows.join(shared.drop("more"), "key").select("key", "more", "text", "places")
-    windows = around.mapInArrow(partial(_windows, width=width), "h0 bigint, h1 bigint, key bigint, at bigint, n tinyint")
+    windows = around.mapInArrow(partial(_windows, width=width), "h0 bigint, h1 int, key bigint, at bigint, n tinyint")
     repeated = staged(_repeated(windows, ["h0", "h1"]), "windows")
     return rows.join(repeated, ["key", "more"], "left").select("doc_id", "key", "text", "places").mapInArrow(
         partial(_cut, width=width), f"doc_id {kind}, key bigint, n_words bigint, n_removed bigint, kept_text string"
