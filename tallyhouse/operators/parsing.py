@@ -159,6 +159,30 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", ";").option("header", True).csv(path)
 
 
+def read_csv_strictly(spark: SparkSession, path: str) -> DataFrame:
+    """read_csv(), refused as a whole if it cannot be read, a line has more or fewer cells than the header, or there are no records."""
+    try:
+        names = read_csv(spark, path).columns
+        rows = spark.read.schema(", ".join(f"`{n}` string" for n in [*names, "_bad"])).option("sep", ";").option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_bad").option("columnPruning", False).csv(path)
+        # Spark reads the column of bad lines beside another one only
+        bad, any_, _ = rows.agg(F.count("_bad"), F.count("*"), F.max(f"`{names[0]}`")).first() if names else (0, 0, None)
+    except Exception as e:
+        code = "INPUT_NOT_FOUND" if "PATH_NOT_FOUND" in str(e) else "INPUT_UNREADABLE"
+        raise InputError(code, path) from e
+    if bad:
+        raise InputError("INPUT_INVALID_CSV", path)
+    if not any_:
+        raise InputError("INPUT_EMPTY", path)
+    return rows.drop("_bad")
+
+
+def with_valid_records(parsed: DataFrame) -> DataFrame:
+    """parsed, refused if no record holds a valid value."""
+    if parsed.where(F.size("missing_fields") + F.size("invalid_fields") < len(FIELDS)).isEmpty():
+        raise InputError("NO_VALID_RECORDS", "no booking record holds a valid value")
+    return parsed
+
+
 def input_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(file, sha256) of each input file's bytes."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))

@@ -66,11 +66,15 @@ def check(parsed: DataFrame, minimum: int = 30) -> DataFrame:
     )
 
 
+def _failed() -> Column:
+    """The first rule that fails, over the columns of check()."""
+    flags = [F.col("structure"), F.col("causal"), F.col("promise"), F.col("figures_known"), F.col("sample_size"), F.col("small_sample"), F.col("hypothesis")]
+    return F.coalesce(*[F.when(~flag, F.lit(rule)) for rule, flag in zip(RULES, flags, strict=True)])
+
+
 def verdict(checked: DataFrame) -> DataFrame:
     """(answer_id, accepted, first_failed_rule)."""
-    flags = [F.col("structure"), F.col("causal"), F.col("promise"), F.col("figures_known"), F.col("sample_size"), F.col("small_sample"), F.col("hypothesis")]
-    failed = F.coalesce(*[F.when(~flag, F.lit(rule)) for rule, flag in zip(RULES, flags, strict=True)])
-    return checked.select("answer_id", failed.isNull().alias("accepted"), failed.alias("first_failed_rule"))
+    return checked.select("answer_id", _failed().isNull().alias("accepted"), _failed().alias("first_failed_rule"))
 
 
 def causal_words(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -79,12 +83,12 @@ def causal_words(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumn("causal_word", F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in CAUSAL_WORDS]))
 
 
-def insight_status(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(answer_id, status, reason): available, unavailable with GUARDRAIL_REJECTED or BAD_STRUCTURE, or not_applicable without an answer."""
-    rows = answers.select("answer_id", "answer_text").join(verdicts, "answer_id", "left")
-    none = F.col("answer_text").isNull()
-    reason = F.when(none | F.col("accepted"), None).when(F.col("first_failed_rule") == "structure", "BAD_STRUCTURE").otherwise("GUARDRAIL_REJECTED")
-    return rows.select("answer_id", F.when(none, "not_applicable").when(F.col("accepted"), "available").otherwise("unavailable").alias("status"), reason.alias("reason"))
+def insight_status(checked: DataFrame, *keep: str) -> DataFrame:
+    """(answer_id, status, reason, keep...) from check(): available, unavailable with GUARDRAIL_REJECTED or BAD_STRUCTURE, or not_applicable without an answer."""
+    none, failed = F.col("answer_text").isNull(), _failed()
+    status = F.when(none, "not_applicable").when(failed.isNull(), "available").otherwise("unavailable")
+    reason = F.when(none | failed.isNull(), None).when(failed == "structure", "BAD_STRUCTURE").otherwise("GUARDRAIL_REJECTED")
+    return checked.select("answer_id", status.alias("status"), reason.alias("reason"), *keep)
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

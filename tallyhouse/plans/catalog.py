@@ -332,7 +332,7 @@ for _name, _flag in (("structure", "structure"), ("causal", "causal"), ("promise
     query(f"audit_{_name}", f"WITH {o.ANSWERS} SELECT answer_id, {_flag} AS holds FROM audit")(lambda spark, sf_dir, f=_flag: _audit(spark, sf_dir).select("answer_id", F.col(f).alias("holds")))
 query("audit_verdict", f"WITH {o.ANSWERS} SELECT answer_id, {o.VERDICT} IS NULL AS accepted, {o.VERDICT} AS first_failed_rule FROM audit")(lambda spark, sf_dir: text_audit.verdict(_audit(spark, sf_dir)))
 _STATUS = f"WITH {o.ANSWERS}, v AS (SELECT answer_id, {o.VERDICT} AS rule FROM audit) SELECT answer_id, CASE WHEN rule IS NULL THEN 'available' ELSE 'unavailable' END AS status, CASE rule WHEN 'structure' THEN 'BAD_STRUCTURE' ELSE CASE WHEN rule IS NOT NULL THEN 'GUARDRAIL_REJECTED' END END AS reason FROM v"
-query("insight_status", _STATUS)(lambda spark, sf_dir: text_audit.insight_status(raw.answers(spark, sf_dir), text_audit.verdict(_audit(spark, sf_dir))))
+query("insight_status", _STATUS)(lambda spark, sf_dir: text_audit.insight_status(_audit(spark, sf_dir)))
 
 
 @query(
@@ -340,8 +340,7 @@ query("insight_status", _STATUS)(lambda spark, sf_dir: text_audit.insight_status
     f"WITH {o.ANSWERS}, v AS (SELECT answer_id, {o.VERDICT} AS rule FROM audit) SELECT answer_id, CASE WHEN rule IS NULL THEN 'available' ELSE 'unavailable' END AS state, CASE WHEN rule IS NULL THEN g END AS suggestion, CASE WHEN rule IS NULL THEN z END AS sample_size FROM v JOIN a5 USING (answer_id)",
 )
 def _view_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = text_audit.parse(raw.answers(spark, sf_dir))
-    rows = parsed.select("answer_id", "suggestions").join(text_audit.insight_status(parsed, text_audit.verdict(text_audit.check(parsed))), "answer_id")
+    rows = text_audit.insight_status(_audit(spark, sf_dir), "suggestions")
     shown = F.explode_outer(F.when(F.col("status") == "available", F.col("suggestions")))
     return rows.select("answer_id", F.col("status").alias("state"), shown.alias("s")).select("answer_id", "state", "s.suggestion", "s.sample_size")
 

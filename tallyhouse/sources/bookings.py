@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT_FIELDS = ("hotel", "meal", "country", "market_segment", "assigned_room_type", "deposit_type", "customer_type")
-IDENTIFIER_FIELDS = ("booking_id", "agent")
-COUNT_FIELDS = (
-    "lead_time", "stays_in_weekend_nights", "stays_in_week_nights", "adults", "children", "babies", "previous_cancellations",
-    "booking_changes", "required_car_parking_spaces", "total_of_special_requests",
-)
-FLAG_FIELDS = ("is_canceled", "is_repeated_guest")
-DATE_FIELDS = ("booking_date", "arrival_date")
-PRICE_FIELD = "price_per_night"
-KINDS = (
-    dict.fromkeys(TEXT_FIELDS, "text") | dict.fromkeys(IDENTIFIER_FIELDS, "identifier") | dict.fromkeys(COUNT_FIELDS, "integer")
-    | dict.fromkeys(FLAG_FIELDS, "boolean") | dict.fromkeys(DATE_FIELDS, "date") | {PRICE_FIELD: "decimal"}
-)
+#: The fields of a booking record and their kinds.
+KINDS = {
+    "booking_id": "identifier",
+    "hotel": "text",
+    "is_canceled": "boolean",
+    "lead_time": "integer",
+    "booking_date": "date",
+    "arrival_date": "date",
+    "stays_in_weekend_nights": "integer",
+    "stays_in_week_nights": "integer",
+    "adults": "integer",
+    "children": "integer",
+    "babies": "integer",
+    "meal": "text",
+    "country": "text",
+    "market_segment": "text",
+    "is_repeated_guest": "boolean",
+    "previous_cancellations": "integer",
+    "assigned_room_type": "text",
+    "booking_changes": "integer",
+    "deposit_type": "text",
+    "agent": "identifier",
+    "customer_type": "text",
+    "price_per_night": "decimal",
+    "required_car_parking_spaces": "integer",
+    "total_of_special_requests": "integer",
+}
 FIELDS = sorted(KINDS)
 TYPES = {"text": "string", "identifier": "string", "integer": "bigint", "boolean": "boolean", "date": "date", "decimal": "decimal(18,6)"}
 

@@ -88,3 +88,24 @@ def test_fences(spark, fenced, fine):
     answer = {"executive_summary": "Shares are observed.", "improvement_suggestions": [{"suggestion": "It may help.", "evidence": "5 of 9, a small sample", "sample_size": 9}]}
     df = spark.createDataFrame([(1, fenced.replace("{}", json.dumps(answer)))], "answer_id int, answer_text string")
     assert text_audit.parse(df).first().structure == fine
+
+
+def test_inputs_that_are_refused(spark, tmp_path):
+    from tallyhouse.operators.parsing import InputError, read_csv_strictly, with_valid_records
+
+    def code(text):
+        (tmp_path / "in.csv").write_text(text)
+        try:
+            return read_csv_strictly(spark, f"file://{tmp_path}/in.csv").count()
+        except InputError as e:
+            return e.code
+
+    assert code("booking_id;meal\n1;BB\n2;\n") == 2
+    assert code("booking_id;meal\n1;BB;x\n") == "INPUT_INVALID_CSV" and code("booking_id;meal\n1\n") == "INPUT_INVALID_CSV"
+    assert code("booking_id;meal\n") == "INPUT_EMPTY"
+    with pytest.raises(InputError, match="INPUT_NOT_FOUND"):
+        read_csv_strictly(spark, f"file://{tmp_path}/none.csv")
+    lines = lambda *x: parse_json(spark.createDataFrame([(i,) for i in x], "line string"))
+    assert with_valid_records(lines("nothing", '{"meal":"BB"}')).count() == 2
+    with pytest.raises(InputError, match="NO_VALID_RECORDS"):
+        with_valid_records(lines("nothing", '{"meal":5}', '{"zz":"BB"}'))
