@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.sources.bookings import FIELDS
@@ -38,13 +38,18 @@ def duplicate_ids(df: DataFrame) -> DataFrame:
 
 
 def summary(parsed: DataFrame) -> DataFrame:
-    """One row: records, date spans, duplicate ids, zero prices, missing and invalid cells."""
-    out = parsed.agg(
-        F.count("*").alias("records"), F.min("booking_date").alias("first_booking"), F.max("booking_date").alias("last_booking"), F.min("arrival_date").alias("first_arrival"),
-        F.max("arrival_date").alias("last_arrival"), F.count_if(F.col("price_per_night") == 0).alias("zero_prices"),
-        F.coalesce(F.sum(F.size("missing_fields")), F.lit(0)).cast("bigint").alias("missing_cells"), F.coalesce(F.sum(F.size("invalid_fields")), F.lit(0)).cast("bigint").alias("invalid_cells"),
+    """One row: records, date spans, duplicate ids, zero prices, missing and invalid cells. One pass: sums by id, then over all."""
+    days = {"booking": "booking_date", "arrival": "arrival_date"}
+    per_id = parsed.groupBy("booking_id").agg(
+        F.count("*").alias("n"), *[f(day).alias(f"{word}_{name}") for name, day in days.items() for word, f in (("first", F.min), ("last", F.max))],
+        F.count_if(F.col("price_per_night") == 0).alias("zero"), F.sum(F.size("missing_fields")).alias("missing"), F.sum(F.size("invalid_fields")).alias("invalid"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return per_id.agg(
+        total("n").alias("records"), *[f(f"{word}_{name}").alias(f"{word}_{name}") for name in days for word, f in (("first", F.min), ("last", F.max))],
+        total("zero").alias("zero_prices"), total("missing").alias("missing_cells"), total("invalid").alias("invalid_cells"),
+        total(F.when(F.col("booking_id").isNotNull(), F.col("n") - 1)).alias("duplicates"),
     )
-    return out.join(F.broadcast(duplicate_ids(parsed)))
 
 
 def usable_fields(parsed: DataFrame) -> DataFrame:
@@ -53,13 +58,19 @@ def usable_fields(parsed: DataFrame) -> DataFrame:
 
 def availability(parsed: DataFrame) -> DataFrame:
     """(analysis, status, reason, missing_fields) of the six analyses, from the counts per field."""
+    return _availability(parsed).drop("invalid")
+
+
+def _availability(parsed: DataFrame) -> DataFrame:
+    """availability() with the invalid values of all fields on every row."""
     spark = parsed.sparkSession
     needs = [(a, n, f, kind) for a, all_of, any_of in REQUIREMENTS for kind, fields in ((True, all_of), (False, any_of)) for n, f in enumerate(fields)]
     table = spark.createDataFrame(needs, "analysis string, place int, field string, all_of boolean")
-    state = field_counts(parsed).select("field", (F.col("valid") == 0).alias("unusable"), (F.col("missing") == F.col("records")).alias("absent"))
+    whole = F.sum("invalid").over(Window.partitionBy(F.lit(1)))  # over fields
+    state = field_counts(parsed).select("field", (F.col("valid") == 0).alias("unusable"), (F.col("missing") == F.col("records")).alias("absent"), whole.alias("invalid"))
     joined = table.join(F.broadcast(state), "field")
     gone = F.sort_array(F.collect_list(F.when(F.col("unusable"), F.struct(~F.col("all_of"), "place", "field", "absent", "all_of"))))
-    grouped = joined.groupBy("analysis").agg(gone.alias("gone"), F.count_if(~F.col("all_of")).alias("options"), F.count_if(~F.col("all_of") & F.col("unusable")).alias("options_gone"))
+    grouped = joined.groupBy("analysis").agg(F.max("invalid").alias("invalid"), gone.alias("gone"), F.count_if(~F.col("all_of")).alias("options"), F.count_if(~F.col("all_of") & F.col("unusable")).alias("options_gone"))
     required = F.filter("gone", lambda x: x["all_of"])
     unmet = (F.col("options") > 0) & (F.col("options") == F.col("options_gone"))
     fails = (F.size(required) > 0) | unmet
@@ -70,14 +81,13 @@ def availability(parsed: DataFrame) -> DataFrame:
     every = F.concat(F.lit("At least one of these fields is required and all are "), state_word, F.lit(": "), quoted)
     return grouped.select(
         "analysis", F.when(fails, "unavailable").otherwise("available").alias("status"), F.when(fails, F.when(F.size(required) > 0, one).otherwise(every)).alias("reason"),
-        F.transform("gone", lambda x: x["field"]).alias("missing_fields"),
+        F.transform("gone", lambda x: x["field"]).alias("missing_fields"), "invalid",
     )
 
 
 def result_status(parsed: DataFrame, notices: tuple[str, ...] = ()) -> DataFrame:
     """(status): completed, or completed_with_warnings if an analysis is unavailable, a value invalid, or a notice warns."""
-    unavailable = availability(parsed).agg(F.count_if(F.col("status") == "unavailable").alias("unavailable"))
-    invalid = field_counts(parsed).agg(F.sum("invalid").alias("invalid"))
+    out = _availability(parsed).agg(F.count_if(F.col("status") == "unavailable").alias("unavailable"), F.max("invalid").alias("invalid"))
     noticed = any(n in WARNING_NOTICES for n in notices)
     warns = (F.col("unavailable") > 0) | (F.col("invalid") > 0) | F.lit(noticed)
-    return unavailable.join(F.broadcast(invalid)).select(F.when(warns, "completed_with_warnings").otherwise("completed").alias("status"), "unavailable", "invalid")
+    return out.select(F.when(warns, "completed_with_warnings").otherwise("completed").alias("status"), "unavailable", "invalid")
