@@ -9,11 +9,10 @@ Decoding joins the ids' raw bytes.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import cache, partial
 
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
 import regex
