@@ -9,7 +9,7 @@ from tallyhouse.operators import findings, guest_mix, holidays, results, room_va
 from tallyhouse.plans import catalog
 from tallyhouse.plans import oracles as o
 from tallyhouse.plans.catalog import ORACLES, on_bookings, query, with_calendar
-from tallyhouse.sources import bookings, raw
+from tallyhouse.sources import bookings
 
 # ---- views of every split
 
