@@ -6,7 +6,7 @@ cover positions: windows that are equal share one of these anchors at the same o
 then extend it to the windows around it, and a window is repeated if its own hash (96 bits, over exactly W words,
 from two independent hashes of each word) occurs twice. Hashes are counted inside each task before they are shuffled, so a passage that a third of all documents
 hold sends a few rows per task, not one per occurrence. Anchors go by 64 bits of a row's id and text, since a
-place too many only means windows that are counted in vain; windows go by 96. Rows repeated in full share a name and
+place too many only means windows that are counted in vain; windows go by 80. Rows repeated in full share a name and
 their places, each place once.
 """
 
@@ -201,7 +201,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = documents(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.select("doc_id", row_key("doc_id", "text").alias("key"), F.hash("text", "doc_id").alias("more"), "text")
+    rows = rows.select("doc_id", row_key("doc_id", "text").alias("key"), F.hash("text", "doc_id").bitwiseAND(0xFFFF).alias("more"), "text")
     anchors = rows.select("key", "text").mapInArrow(partial(_anchors, width=width), "h0 bigint, key bigint, at bigint, n tinyint")
     # each step is written before the next: the disk holds the shuffle files of one step at a time
     shared = staged(_repeated(anchors, ["h0"]), "anchors")
