@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, chat, exact, forest, oracles, packing, rollup, simhash, substring, toxicity, warc
+from tallyhouse.llm import bpe, chat, exact, fim, forest, mixing, oracles, packing, resample, rollup, simhash, substring, toxicity, warc
 from tallyhouse.llm.common import SPACE_CLASS, fresh_path, ship, staged
 
 
@@ -84,6 +84,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its fill-in-middle form, and the text that its output and form give back."""
+    out = fim.transform(_table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20).withColumn("output_sha256", F.sha2("output", 256))
+    restored = fim.restore(out)
+    return restored.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's texts."""
+    out = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25, least_words=20, longest=2, buckets=10_000, seed=7)
+    return out.drop("n_words")
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights of their sources."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0, seed=13).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
