@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import documents, staged, word_blocks
+from tallyhouse.llm.common import documents, meet, staged, word_blocks
 from tallyhouse.llm.graph import components
 
 @cache
@@ -173,9 +173,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never names a component unless no row of it has an id. Repeated rows each come back. An empty table gives no rows.
     """
     prints = staged(fingerprints(docs, id_col, text_col, width, seed), "simhash")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_copy")), "simhash-distinct")
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_copy"), F.count("*").alias("copies")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), max_bits), "a", "b")
     member = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = member.groupBy("root").agg(F.min("first_copy").alias("component_id"))
-    named = member.join(smallest, "root").select("fp", "first_copy", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "first_copy")
+    named = staged(member.join(smallest, "root").select("fp", "first_copy", "component_id", "copies"), "simhash-groups")
+    return meet(prints, named, "fp", "inner").select("doc_id", "fp", "component_id", "first_copy")

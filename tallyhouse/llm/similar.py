@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import documents, settled, staged, word_blocks
+from tallyhouse.llm.common import documents, meet, settled, staged, word_blocks
 from tallyhouse.llm.graph import components
 
 #: Positional bytes of a fingerprint.
@@ -119,13 +119,12 @@ def list_keys(sketches: np.ndarray, lists: range, bits: int) -> np.ndarray:
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sketches = [], []
+        names, sketches = [], []
         for t in batch.column(2).cast(pa.binary()):
             found = shingles(t.as_py(), width)
-            nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
+            names.append(xxhash.xxh3_128_digest(found.tobytes()))
             sketches.append(wide_fingerprint(found).tobytes() + len(found).to_bytes(4, "little"))
-        ids = pa.array(np.array(nodes, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, pa.array(sketches, pa.binary())], names=["doc_id", "content", "node", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in (names, sketches))], names=["doc_id", "content", "set", "sketch"])
 
 
 def _posted(batches: Iterator[pa.RecordBatch], lists: range, bits: int) -> Iterator[pa.RecordBatch]:
@@ -305,9 +304,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, node, component_id) for every row of docs.
 
     component_id is the smallest doc_id that links of similarity threshold or more reach; node stands for the text's
-    shingle set. A pair at exactly the threshold is missed about once in a thousand, more alike ones hardly ever. Null
-    and empty texts have the empty set, which is alike only to itself. Repeated rows each come back. An empty table gives
-    no rows.
+    shingle set, which is named by 128 bits. A pair at exactly the threshold is missed about once in 400 by the chances
+    of its bits, more alike ones hardly ever. Null and empty texts have the empty set, which is alike only to itself.
+    Repeated rows each come back. An empty table gives no rows.
     """
     return settled(docs.sparkSession, "near", lambda: _near_duplicates(documents(docs, id_col, text_col), width, threshold))
 
@@ -315,14 +314,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _near_duplicates(rows: DataFrame, width: int, threshold: float) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     content = F.unhex(F.md5("text"))
-    prints = staged(rows.select("doc_id", content.alias("content"), "text").mapInArrow(partial(_sketch_batches, width=width), f"doc_id {kind}, content binary, node bigint, sketch binary"), "similar")
-    distinct = staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("sketch").alias("sketch"), F.min("content").alias("content")), "similar-sets")
+    prints = staged(rows.select("doc_id", content.alias("content"), "text").mapInArrow(partial(_sketch_batches, width=width), f"doc_id {kind}, content binary, set binary, sketch binary"), "similar")
+    # a set's number is given once, as the table is written, so no two sets share one
+    sets = prints.groupBy("set").agg(F.min("doc_id").alias("first_id"), F.any_value("sketch").alias("sketch"), F.min("content").alias("content"), F.count("*").alias("copies"))
+    distinct = staged(sets.withColumn("node", F.monotonically_increasing_id()), "similar-sets")
     bits, lists = plan(distinct.count(), threshold)
     turns = [range(lists * i // ROUNDS, lists * (i + 1) // ROUNDS) for i in range(ROUNDS)]
 
     def links(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(distinct.select("node", "content"), "node")
-        texts = rows.select(content.alias("content"), "text").join(wanted, "content").select("node", "text").dropDuplicates(["node"])
+        both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = staged(both.join(distinct.select("node", "content", "copies"), "node"), "similar-wanted")
+        # a content that many rows have stays where its rows are, and one of them is taken
+        texts = meet(rows.select(content.alias("content"), "text"), wanted, "content", "inner").select("node", "text").dropDuplicates(["node"])
         return staged(verified(pairs, staged(texts, "similar-texts"), width, threshold), "similar-links")
 
     def named(roots: DataFrame, *columns: str) -> DataFrame:
@@ -333,6 +336,7 @@ def _near_duplicates(rows: DataFrame, width: int, threshold: float) -> DataFrame
     found = [staged(candidates(rooted, turn, bits, threshold, False), "similar-pairs") for turn in turns]
     for more in found[1:]:
         found[0] = found[0].unionByName(more)
-    member = named(components(first.unionByName(links(found[0])), "a", "b"), "first_id")
+    member = named(components(first.unionByName(links(found[0])), "a", "b"), "first_id", "set", "copies")
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.select("doc_id", "node").join(member.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+    groups = staged(member.join(smallest, "root").select("set", "node", "component_id", "copies"), "similar-groups")
+    return meet(prints.select("doc_id", "set"), groups, "set", "inner").select("doc_id", "node", "component_id")

@@ -60,3 +60,16 @@ def test_near_duplicates(spark):
     stage = cp.drop_near_copies(spark, docs, "")
     assert sorted(r.doc_id for r in stage.collect()) == [i for i, root in enumerate(want) if i == root]
     assert similar.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_hot_texts_and_sets_named_by_128_bits(spark, monkeypatch):
+    """One text in most rows, and sets whose 64-bit hashes would be equal, keep their own links."""
+    from tallyhouse.llm import common, similar
+
+    monkeypatch.setattr(common, "HOT_COPIES", 5)
+    hot, near = "one text in most of all the rows here " * 3, "one text in most of all the rows here " * 3 + "now"
+    rows = [(i, hot) for i in range(60)] + [(100, near), (101, "something else altogether in this one row"), (102, None), (103, "")]
+    docs = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id bigint, text string, node int, set string")
+    out = similar.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: 0 for i in range(60)} | {100: 0, 101: 101, 102: 102, 103: 102}
+    assert len(out) == len(rows) and len({r.node for r in out}) == 4
