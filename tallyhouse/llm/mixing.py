@@ -3,7 +3,7 @@
 Every source has a target in words; its documents have the same expected number of copies, target by size. Documents of
 a source stand in a fixed order, their expected copies are summed up along it, one random offset is added, and a
 document is emitted once for every whole number that its stretch of the sum crosses. The order is by blocks of a hash of
-the id, and by size within a block, so that short and long documents are taken alike; a block is some ten thousands of
+the id, and by size within a block, so that short and long documents are taken alike; a block is a few thousand
 rows, so no task holds a source, and the sum at the start of a block follows from the number of rows before it.
 """
 
@@ -47,7 +47,7 @@ def words(text: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 13, block_rows: int = 50_000,
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 13, block_rows: int = 4096,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row of docs; taken is copies times size, in words.

@@ -60,7 +60,7 @@ f AS (SELECT *, most * open <= weight * remains AS filled FROM s),
 l AS (SELECT *, (SELECT first(remains / open ORDER BY most / weight, source NULLS LAST) FROM f WHERE NOT filled) AS level FROM f),
 t AS (SELECT *, CASE WHEN filled THEN most ELSE level * weight END AS target, CASE WHEN source_size = 0 THEN 0 WHEN filled THEN 2.0 ELSE level * weight / source_size END AS rate,
   CAST('0x' || sha256('13:' || coalesce(source, 'null'))[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS offs FROM l),
-p AS (SELECT d.*, source_size, target, rate, offs, row_number() OVER (PARTITION BY d.source ORDER BY draw % CAST(ceil(copies / 50000.0) AS BIGINT), size, doc_id) AS place
+p AS (SELECT d.*, source_size, target, rate, offs, row_number() OVER (PARTITION BY d.source ORDER BY draw % CAST(ceil(copies / 4096.0) AS BIGINT), size, doc_id) AS place
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(offs + rate * place) - floor(offs + rate * (place - 1))) AS BIGINT) AS taken FROM p
 """,
