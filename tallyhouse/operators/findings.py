@@ -1,53 +1,56 @@
-"""The figures of all six analyses, every split and side, as one long table."""
+"""The figures of all six analyses, every split and side, as one long table, from one pass over the bookings."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import is_small
-from tallyhouse.operators import cancellations, guest_mix, holidays, lead_time, room_value, seasonality
+from tallyhouse.operators import cancellations, cube, guest_mix, holidays, lead_time, seasonality
+from tallyhouse.operators.cube import SIDES
 
-SIDES = {"booking": "booking_date", "arrival": "arrival_date"}
-_COMMON = ("group_label", "numerator", "denominator", "small_sample", "partial_period")
+_COMMON = ("run", "split", "group_label", "numerator", "denominator", "small_sample", "partial_period")
 
 
-def _part(analysis: str, split: str, figures: DataFrame) -> DataFrame:
-    """One split's figures in the long form; columns of its own become details."""
+def _part(analysis: str, split: Column, figures: DataFrame) -> DataFrame:
+    """Figures of one or more splits in the long form; columns of their own become details."""
     own = [c for c in figures.columns if c not in _COMMON]
     pairs = [x for c in own for x in (F.lit(c), F.col(c).cast("string"))]
     details = F.create_map(*pairs) if pairs else F.lit(None)
     partial = F.col("partial_period") if "partial_period" in figures.columns else F.lit(None).cast("boolean")
     counts = [F.col(c).cast("bigint").alias(c) for c in ("numerator", "denominator")]
-    return figures.select(F.lit(analysis).alias("analysis"), F.lit(split).alias("split"), "group_label", *counts, "small_sample", partial.alias("partial_period"), details.cast("map<string,string>").alias("details"))
+    return figures.select(F.lit(analysis).alias("analysis"), split.alias("split"), "group_label", *counts, "small_sample", partial.alias("partial_period"), details.cast("map<string,string>").alias("details"))
 
 
-def _holiday_parts(bookings: DataFrame, calendar: DataFrame, side: str) -> list[DataFrame]:
-    daily = holidays.daily(bookings, calendar, SIDES[side], side == "arrival")
-    window = F.concat("kind", F.coalesce(F.concat(F.lit("_"), F.col("window_days").cast("string"), F.lit("_days")), F.lit("")))
-    shape = lambda t, label: t.select(label.alias("group_label"), F.col("events").alias("numerator"), F.col("days").alias("denominator"), *[c for c in t.columns if c not in ("events", "days")])
-    weekdays = holidays.by_weekday(daily).withColumn("small_sample", is_small(F.col("days")))
-    return [
-        _part("holidays", f"{side}_comparison", shape(holidays.comparison(daily), window)),
-        _part("holidays", f"{side}_by_weekday", shape(weekdays, F.concat(window, F.lit("_"), holidays.weekday_name(F.col("weekday"))))),
-        _part("holidays", f"{side}_baseline", shape(holidays.baseline(daily), F.lit("baseline"))),
-    ]
+def group_name() -> Column:
+    """The name of a group of holidays.tallies(): its kind, with its window."""
+    return F.concat("kind", F.coalesce(F.concat(F.lit("_"), F.col("window_days").cast("string"), F.lit("_days")), F.lit("")))
 
 
-def _analysis_parts(bookings: DataFrame, calendar: DataFrame, analysis: str) -> list[DataFrame]:
+def _holidays(table: DataFrame, calendar: DataFrame, side: str) -> DataFrame:
+    sums = holidays.tallies(holidays.usable_days(holidays.classified(cube.per_day(table, side), calendar)))
+    part = F.when(F.col("kind") == "baseline", "baseline").when(F.col("weekday").isNull(), "comparison").otherwise("by_weekday")
+    label = F.concat_ws("_", group_name(), F.when(F.col("weekday").isNotNull(), holidays.weekday_name(F.col("weekday"))))
+    own = [c for c in sums.columns if c not in ("run", "events", "days")]
+    rows = sums.where("kind <> 'baseline' or weekday is null").select(part.alias("part"), label.alias("group_label"), F.col("events").alias("numerator"), F.col("days").alias("denominator"), is_small(F.col("days")).alias("small_sample"), *own)
+    return _part("holidays", F.concat(F.lit(f"{side}_"), F.col("part")), rows).withColumn("details", F.map_filter("details", lambda k, _: k != "part"))
+
+
+def _parts(table: DataFrame, calendar: DataFrame, analysis: str) -> list[DataFrame]:
+    split = F.col("split")
     if analysis == "lead_time":
-        return [*(_part(analysis, s or "overall", lead_time.distribution(bookings, s)) for s in (None, *lead_time.splits())), _part(analysis, "date_comparison", lead_time.date_comparison(bookings))]
+        return [_part(analysis, split, cube.lead_times(table)), _part(analysis, F.lit("date_comparison"), cube.date_comparison(table))]
     if analysis == "cancellations":
-        return [_part(analysis, "overall", cancellations.overall(bookings)), *(_part(analysis, s, cancellations.split(bookings, s)) for s in cancellations.splits())]
+        return [_part(analysis, split, cube.cancellations(table))]
     if analysis == "seasonality":
-        return [_part(analysis, f"{side}s_{g}ly", seasonality.series(bookings, day, g)) for side, day in SIDES.items() for g in seasonality.GRAINS]
+        return [_part(analysis, F.concat("side", F.lit("s_"), "grain", F.lit("ly")), cube.seasons(table))]
     if analysis == "room_value":
-        return [_part(analysis, "values", room_value.values(bookings)), _part(analysis, "stay_lengths", room_value.stay_lengths(bookings))]
+        return [_part(analysis, F.lit("values"), cube.values(table)), _part(analysis, F.lit("stay_lengths"), cube.stay_lengths(table))]
     if analysis == "guest_mix":
-        return [_part(analysis, a, guest_mix.distribution(bookings, a)) for a in guest_mix.ATTRIBUTES]
-    return [p for side in SIDES for p in _holiday_parts(bookings, calendar, side)]
+        return [_part(analysis, F.col("attribute"), cube.guests(table))]
+    return [_holidays(table, calendar, side) for side in SIDES]
 
 
 ANALYSES = ("lead_time", "cancellations", "seasonality", "room_value", "guest_mix", "holidays")
@@ -56,9 +59,11 @@ ANALYSES = ("lead_time", "cancellations", "seasonality", "room_value", "guest_mi
 def figures(bookings: DataFrame, calendar: DataFrame, analyses: tuple[str, ...] = ANALYSES) -> DataFrame:
     """(analysis, split, group_label, numerator, denominator, small_sample, partial_period, details) of the analyses.
 
-    partial_period is null where groups are not periods; details holds a split's further columns as text.
+    partial_period is null where groups are not periods; details holds a split's further columns as text. The bookings
+    are read once, whatever the number of analyses.
     """
-    return reduce(DataFrame.unionByName, [p for a in analyses for p in _analysis_parts(bookings, calendar, a)])
+    table = cube.measured(bookings)
+    return reduce(DataFrame.unionByName, [p for a in analyses for p in _parts(table, calendar, a)])
 
 
 def needs() -> list[tuple[str, str, tuple[str, ...], tuple[str, ...]]]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.sources.bookings import FIELDS, KINDS, TYPES
+from tallyhouse.sources.raw import table_of
 
 #: White space that is no part of a cell.
 _EDGES = " \t\n\x0b\f\r"
@@ -17,10 +20,10 @@ def _date(text: Column, pattern: str, shape: str) -> Column:
 
 
 def _record(line: Column) -> Column:
-    """A line that is a JSON object as a struct of variants, one per field, in one pass over the line; null for other lines."""
-    is_object = F.try_parse_json(line).isNotNull() & line.rlike(r"^[ \t\r\n]*\{(?s:.*)\}[ \t\r\n]*$")
-    fields = ", ".join(f"{n} variant" for n in FIELDS)
-    return F.from_json(F.when(is_object, line), fields, {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"})
+    """A line that is a JSON object, as a variant, by its one parse; null for other lines."""
+    # the parser does not look behind the first value
+    text = F.btrim(line, F.lit(" \t\r\n"))
+    return F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")), F.try_parse_json(line))
 
 
 def _seen(field: Column) -> tuple[Column, Column]:
@@ -34,50 +37,97 @@ def _amount(text: Column) -> Column:
     return F.when(text.try_cast("decimal(38,18)") == value, value)
 
 
-def _typed(kind: Column, text: Column, name: str) -> tuple[Column, Column]:
-    """(value, is missing) by the type and text that _seen() gave."""
+def _value(of_kind: str, kind: Column, text: Column, exact: Column) -> Column:
+    """The value of a cell that is not missing, by the type and text that _seen() gave; null if it is invalid. exact is the cell as the line has it, for numbers beyond a variant's."""
     is_text, is_integer = kind == "STRING", kind == "BIGINT"
-    missing = F.coalesce((kind == "VOID") | (is_text & (text == "")), F.lit(True))
     number = F.when(is_integer, text.try_cast("bigint"))
-    if KINDS[name] == "text":
-        value = F.when(is_text, text)
-    elif KINDS[name] == "identifier":
-        value = F.when(is_text | is_integer, text)
-    elif KINDS[name] == "integer":
-        value = F.when(number >= 0, number)
-    elif KINDS[name] == "boolean":
-        value = F.when(kind == "BOOLEAN", text == "true").when(number.isin(0, 1), number == 1)
-    elif KINDS[name] == "date":
-        value = F.when(is_text, _date(text, "yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"))
-    else:
-        double = text.try_cast("double")
-        rounded = double.try_cast(TYPES["decimal"])
-        amount = F.when(is_integer | kind.startswith("DECIMAL"), _amount(text)).when((kind == "DOUBLE") & (rounded.cast("double") == double), rounded)
-        value = F.when(amount >= 0, amount)
-    return F.when(~missing, value), missing
+    if of_kind == "text":
+        return F.when(is_text, text)
+    if of_kind == "identifier":
+        beyond = F.when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.when(exact.rlike(r"^-?\d+$"), exact))
+        return F.when(is_text | is_integer, text).otherwise(beyond)
+    if of_kind == "integer":
+        return F.when(number >= 0, number)
+    if of_kind == "boolean":
+        return F.when(kind == "BOOLEAN", text == "true").when(number.isin(0, 1), number == 1)
+    if of_kind == "date":
+        return F.when(is_text, _date(text, "yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"))
+    double = text.try_cast("double")
+    rounded = double.try_cast(TYPES["decimal"])
+    amount = F.when(is_integer | kind.startswith("DECIMAL"), _amount(text)).when((kind == "DOUBLE") & (rounded.cast("double") == double), rounded)
+    return F.when(amount >= 0, amount)
+
+
+def _is_missing(kind: Column, text: Column) -> Column:
+    return F.coalesce((kind == "VOID") | ((kind == "STRING") & (text == "")), F.lit(True))
+
+
+def _exact(line: Column, name: Column | str) -> Column:
+    """A number of a JSON object as whole-number text, however long; read from the line again only where a variant has it as no 64-bit integer."""
+    return F.get_json_object(line, f"$.{name}") if isinstance(name, str) else F.call_function("get_json_object", line, F.concat(F.lit("$."), name))
 
 
-def cell(record: Column, name: str) -> tuple[Column, Column, Column]:
-    """(value, is missing, is invalid) of a field of a variant record.
+def cell(record: Column, name: str, line: Column) -> tuple[Column, Column, Column]:
+    """(value, is missing, is invalid) of a field of a variant record and the line that it came from.
 
     Null, absent and blank are missing; a value of another type, out of range, or a price of more than six places is
-    invalid. Neither ever fails.
+    invalid. Neither ever fails. Identifiers may be whole numbers of any size, counts up to 64 bits.
     """
-    value, missing = _typed(*_seen(F.variant_get(record, f"$.{name}", "variant")), name)
+    kind, text = _seen(F.variant_get(record, f"$.{name}", "variant"))
+    missing = _is_missing(kind, text)
+    value = F.when(~missing, _value(KINDS[name], kind, text, _exact(line, name)))
     return value, missing, ~missing & value.isNull()
 
 
-def parse_json(lines: DataFrame, line: str = "line") -> DataFrame:
-    """lines with one typed column per field, and the names of missing and of invalid fields. A line that is no JSON object has all fields missing."""
-    # a field's type and text, then its value, then the lists of names: each step reads columns, so nothing is worked out twice
-    seen = {n: _seen(F.col(f"_record.{n}")) for n in FIELDS}
+def parse_json(lines: DataFrame, line: str = "line", with_issue: bool = False) -> DataFrame:
+    """lines with one typed column per field, and the names of missing, of invalid and of unknown fields.
+
+    A line that is no JSON object has all fields missing; with_issue adds the code of load_issues() or BLANK as issue. Fields of one kind are read by one function over all of them,
+    not by one expression each, so the generated code stays small enough for the JVM to compile.
+    """
     rows = lines.withColumn("_record", _record(F.col(line)))
-    rows = rows.select(*lines.columns, *[c.alias(f"_{k}_{n}") for n, pair in seen.items() for k, c in zip(("kind", "text"), pair, strict=True)])
-    typed = {n: _typed(F.col(f"_kind_{n}"), F.col(f"_text_{n}"), n) for n in FIELDS}
-    rows = rows.select(*lines.columns, *[c.alias(f"_{k}_{n}") for n, pair in typed.items() for k, c in zip(("value", "missing"), pair, strict=True)])
-    names = lambda flag: F.filter(F.array(*[F.when(flag(n), F.lit(n)) for n in FIELDS]), lambda x: x.isNotNull())
-    missing, invalid = names(lambda n: F.col(f"_missing_{n}")), names(lambda n: ~F.col(f"_missing_{n}") & F.col(f"_value_{n}").isNull())
-    return rows.select(*lines.columns, *[F.col(f"_value_{n}").cast(TYPES[KINDS[n]]).alias(n) for n in FIELDS], missing.alias("missing_fields"), invalid.alias("invalid_fields"))
+    blank = F.coalesce(F.trim(line) == "", F.lit(True))
+    issue = F.when(blank, "BLANK").when(F.col("_record").isNull(), F.when(F.try_parse_json(line).isNull() | F.startswith(F.ltrim(line, F.lit(" \t\r\n")), F.lit("{")), "RECORD_INVALID_JSON").otherwise("RECORD_NOT_OBJECT"))
+    more = [issue.alias("issue")] if with_issue else []
+    by_kind = {kind: [f for f in FIELDS if KINDS[f] == kind] for kind in TYPES}
+
+    def seen(names: list[str], kind: str) -> Column:
+        cells = F.array(*[F.struct(F.lit(n).alias("name"), F.variant_get("_record", f"$.{n}", "variant").alias("v")) for n in names])
+        typed = F.transform(cells, lambda c: F.struct(c["name"].alias("name"), *[x.alias(a) for x, a in zip(_seen(c["v"]), ("kind", "text"), strict=True)]))
+        typed = F.transform(typed, lambda c: F.struct(c["name"].alias("name"), _is_missing(c["kind"], c["text"]).alias("missing"), _value(kind, c["kind"], c["text"], _exact(F.col(line), c["name"])).alias("value")))
+        return F.transform(typed, lambda c: F.struct(c["name"].alias("name"), c["missing"].alias("missing"), F.when(~c["missing"], c["value"]).cast(TYPES[kind]).alias("value")))
+
+    keys = F.map_keys(F.try_variant_get("_record", "$", "map<string,variant>"))
+    unknown = F.coalesce(F.array_sort(F.array_except(keys, F.array(*map(F.lit, FIELDS)))), F.array().cast("array<string>"))
+    rows = rows.select(*lines.columns, *[seen(names, kind).alias(f"_{kind}") for kind, names in by_kind.items()], unknown.alias("unknown_fields"), *more)
+    state = F.concat(*[F.transform(f"_{kind}", lambda c: F.struct(c["name"].alias("name"), c["missing"].alias("missing"), c["value"].isNull().alias("none"))) for kind in by_kind])
+    names = lambda test: F.array_sort(F.transform(F.filter(state, test), lambda c: c["name"]))
+    missing, invalid = names(lambda c: c["missing"]), names(lambda c: ~c["missing"] & c["none"])
+    values = {f: F.col(f"_{kind}")[i]["value"] for kind, own in by_kind.items() for i, f in enumerate(own)}
+    return rows.select(*lines.columns, *[values[f].alias(f) for f in FIELDS], missing.alias("missing_fields"), invalid.alias("invalid_fields"), "unknown_fields", *(["issue"] if with_issue else []))
+
+
+def load(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The typed records of lines, written once; the whole input is refused if a line is no record, there are none, or none holds a valid value.
+
+    Everything that a refusal needs is observed while the records are written: one parse and one pass serve both. The
+    pass has no shuffle, so a task that is tried again is counted once.
+    """
+    seen = Observation("load")
+    rows = parse_json(lines, line, with_issue=True)
+    valid = (F.size("missing_fields") + F.size("invalid_fields")) < len(FIELDS)
+    codes = ("RECORD_INVALID_JSON", "RECORD_NOT_OBJECT")
+    watched = rows.observe(seen, F.count_if(F.col("issue").isNull()).alias("records"), F.count_if(valid).alias("valid"), *[F.count_if(F.col("issue") == c).alias(c) for c in codes])
+    records = table_of(watched.where("issue is null").drop("issue", line), "records")
+    found = seen.get
+    for code in codes:
+        if found[code]:
+            raise InputError("INPUT_INVALID_JSON" if code == codes[0] else code, f"{found[code]} lines")
+    if not found["records"]:
+        raise InputError("INPUT_EMPTY", "there is no record")
+    if not found["valid"]:
+        raise InputError("NO_VALID_RECORDS", "no booking record holds a valid value")
+    return records
 
 
 def csv_cell(column: Column, name: str) -> tuple[Column, Column, Column]:
@@ -186,3 +236,9 @@ def with_valid_records(parsed: DataFrame) -> DataFrame:
 def input_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(file, sha256) of each input file's bytes."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def input_digest(spark: SparkSession, path: str) -> str:
+    """One SHA-256 of an input of one or more files: of a single file's bytes, or of the files' own digests in order of name."""
+    files = [r.sha256 for r in input_fingerprint(spark, path).orderBy("file").collect()]  # one row per file
+    return files[0] if len(files) == 1 else hashlib.sha256("".join(files).encode()).hexdigest()

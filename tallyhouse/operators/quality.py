@@ -20,15 +20,18 @@ WARNING_NOTICES = ("CONFIG_UNKNOWN_KEYS", "INSIGHTS_UNAVAILABLE")
 
 
 def field_counts(parsed: DataFrame) -> DataFrame:
-    """(field, missing, invalid, valid, records) for every field, zeros too: one pass over the records."""
-    facts = parsed.agg(
-        F.count("*").alias("records"),
-        *[F.count_if(F.array_contains("missing_fields", f)).alias(f"m_{f}") for f in FIELDS],
-        *[F.count_if(F.array_contains("invalid_fields", f)).alias(f"i_{f}") for f in FIELDS],
-        *[F.count(f).alias(f"v_{f}") for f in FIELDS],
-    )
-    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"m_{f}").alias("missing"), F.col(f"i_{f}").alias("invalid"), F.col(f"v_{f}").alias("valid")) for f in FIELDS]))
-    return facts.select(rows.alias("x"), "records").select("x.field", "x.missing", "x.invalid", "x.valid", "records")
+    """(field, missing, invalid, valid, records) for every field, zeros too, by one pass over the records.
+
+    Only the cells that are not as they should be are counted one by one; every other cell is a valid one.
+    """
+    of = lambda kind: F.transform(f"{kind}_fields", lambda f: F.struct(f.alias("field"), F.lit(kind).alias("kind")))
+    record = F.array(F.struct(F.lit("").alias("field"), F.lit("record").alias("kind")))
+    seen = parsed.select(F.explode(F.concat(record, of("missing"), of("invalid"))).alias("x")).groupBy("x.field").agg(*[F.count_if(F.col("x.kind") == k).alias(k) for k in ("record", "missing", "invalid")])
+    # a row per field, so these two steps are over two dozen rows
+    all_ = seen.groupBy().agg(F.coalesce(F.sum("record"), F.lit(0)).alias("records"), F.map_from_entries(F.collect_list(F.struct("field", F.struct("missing", "invalid")))).alias("counts"))
+    rows = all_.select("records", "counts", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
+    count = lambda kind: F.coalesce(F.try_element_at("counts", F.col("field"))[kind], F.lit(0).cast("bigint"))
+    return rows.select("field", count("missing").alias("missing"), count("invalid").alias("invalid"), (F.col("records") - count("missing") - count("invalid")).alias("valid"), "records")
 
 
 def duplicate_ids(df: DataFrame) -> DataFrame:
@@ -63,14 +66,18 @@ def availability(parsed: DataFrame) -> DataFrame:
 
 def _availability(parsed: DataFrame) -> DataFrame:
     """availability() with the invalid values of all fields on every row."""
-    spark = parsed.sparkSession
+    return assessed(field_counts(parsed).withColumn("run", F.lit(""))).drop("run")
+
+
+def assessed(counts: DataFrame) -> DataFrame:
+    """(run, analysis, status, reason, missing_fields, invalid) of each run's counts per field (run, field, missing, invalid, valid, records); invalid is over all fields."""
     needs = [(a, n, f, kind) for a, all_of, any_of in REQUIREMENTS for kind, fields in ((True, all_of), (False, any_of)) for n, f in enumerate(fields)]
-    table = spark.createDataFrame(needs, "analysis string, place int, field string, all_of boolean")
-    whole = F.sum("invalid").over(Window.partitionBy(F.lit(1)))  # over fields
-    state = field_counts(parsed).select("field", (F.col("valid") == 0).alias("unusable"), (F.col("missing") == F.col("records")).alias("absent"), whole.alias("invalid"))
-    joined = table.join(F.broadcast(state), "field")
+    table = counts.sparkSession.createDataFrame(needs, "analysis string, place int, field string, all_of boolean")
+    whole = F.sum("invalid").over(Window.partitionBy("run"))  # over fields
+    state = counts.select("run", "field", (F.col("valid") == 0).alias("unusable"), (F.col("missing") == F.col("records")).alias("absent"), whole.alias("invalid"))
+    joined = state.join(F.broadcast(table), "field")
     gone = F.sort_array(F.collect_list(F.when(F.col("unusable"), F.struct(~F.col("all_of"), "place", "field", "absent", "all_of"))))
-    grouped = joined.groupBy("analysis").agg(F.max("invalid").alias("invalid"), gone.alias("gone"), F.count_if(~F.col("all_of")).alias("options"), F.count_if(~F.col("all_of") & F.col("unusable")).alias("options_gone"))
+    grouped = joined.groupBy("run", "analysis").agg(F.max("invalid").alias("invalid"), gone.alias("gone"), F.count_if(~F.col("all_of")).alias("options"), F.count_if(~F.col("all_of") & F.col("unusable")).alias("options_gone"))
     required = F.filter("gone", lambda x: x["all_of"])
     unmet = (F.col("options") > 0) & (F.col("options") == F.col("options_gone"))
     fails = (F.size(required) > 0) | unmet
@@ -80,7 +87,7 @@ def _availability(parsed: DataFrame) -> DataFrame:
     one = F.concat(F.lit("Required field is "), state_word, F.lit(": "), quoted)
     every = F.concat(F.lit("At least one of these fields is required and all are "), state_word, F.lit(": "), quoted)
     return grouped.select(
-        "analysis", F.when(fails, "unavailable").otherwise("available").alias("status"), F.when(fails, F.when(F.size(required) > 0, one).otherwise(every)).alias("reason"),
+        "run", "analysis", F.when(fails, "unavailable").otherwise("available").alias("status"), F.when(fails, F.when(F.size(required) > 0, one).otherwise(every)).alias("reason"),
         F.transform("gone", lambda x: x["field"]).alias("missing_fields"), "invalid",
     )
 

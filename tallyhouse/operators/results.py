@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.places import placed
+from tallyhouse.sources.raw import remove, table_of, there
+
 #: The fields of a stored result, and the statuses that are stored.
 ENVELOPE = ("schema_version", "result_id", "generated_at", "status", "input", "data_quality", "analyses", "notices")
 STORED = ("completed", "completed_with_warnings")
@@ -33,8 +36,42 @@ def storable(results: DataFrame, status: str = "status") -> DataFrame:
 
 
 def append(results: DataFrame, path: str) -> None:
-    """Append the storable results to a table partitioned by run date, which is null where generated_at cannot be read."""
-    storable(results).withColumn("run_date", F.try_to_timestamp("generated_at").cast("date")).write.mode("append").partitionBy("run_date").parquet(path)
+    """Append the storable results that a table does not hold yet to it; it is partitioned by run date, null where generated_at cannot be read.
+
+    Results are known by result_id: one that the table holds is left out, so an append that is tried again adds nothing,
+    and of several with one id one is stored. Results without an id are always stored. One writer at a time.
+    """
+    spark = results.sparkSession
+    new = storable(results).withColumn("run_date", F.try_to_timestamp("generated_at").cast("date"))
+    named = new.where("result_id is not null").dropDuplicates(["result_id"])
+    if there(spark, path):
+        named = named.join(spark.read.schema(new.schema).parquet(path).select("result_id").where("result_id is not null"), "result_id", "left_anti").select(*new.columns)
+    # what is to be added is settled before the table that it was compared with changes
+    table_of(named.unionByName(new.where("result_id is null")), "new-results").write.mode("append").partitionBy("run_date").parquet(path)
+
+
+def prune(spark: SparkSession, path: str, limit: int) -> None:
+    """Keep the latest limit results of a table of append(), by generated_at, later result_id first where times are equal; unreadable times are the oldest.
+
+    Dates are counted first. Dates that stay whole are not touched, dates that go whole are removed, and of the one date
+    that the limit falls into the rows that stay are written anew. Tried again, it finds nothing to do.
+    """
+    if not there(spark, path):
+        return
+    table = spark.read.parquet(path)
+    # one row per date
+    newest = F.col("run_date").desc_nulls_last()
+    dates = table.groupBy("run_date").agg(F.count("*").alias("n"))
+    dates = dates.withColumn("after", F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy(newest)) - F.col("n"))
+    for day, n, after in dates.where(F.col("after") + F.col("n") > limit).orderBy(newest).select("run_date", "n", "after").collect():
+        name = f"run_date={'__HIVE_DEFAULT_PARTITION__' if day is None else day}"
+        if after >= limit:
+            remove(spark, f"{path}/{name}")
+            continue
+        own = table.where(F.col("run_date").eqNullSafe(F.lit(day)))
+        time = F.try_to_timestamp("generated_at").desc_nulls_last()
+        kept = table_of(own.orderBy(time, F.desc("result_id")).limit(limit - after), "kept-results")
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
 
 
 def retain(history: DataFrame, limit: int) -> DataFrame:
@@ -47,12 +84,15 @@ def retain(history: DataFrame, limit: int) -> DataFrame:
 
 
 def listing(history: DataFrame) -> DataFrame:
-    """(history_id, place, position, result_id, generated_at, supported): valid results, newest first; of equal times the later line; unreadable times last."""
-    rows = readout(history).where("is_valid")
-    time = F.try_to_timestamp("generated_at")
-    place = F.row_number().over(Window.partitionBy("history_id").orderBy(time.desc_nulls_last(), F.desc("position")))
+    """(history_id, place, position, result_id, generated_at, supported): valid results, newest first; of equal times the later line; unreadable times last.
+
+    Places come from ranges of the whole order, so a history of most lines is spread over many tasks.
+    """
+    rows = readout(history).where("is_valid").withColumn("time", F.try_to_timestamp("generated_at"))
     supported = F.coalesce(F.split_part("version", F.lit("."), F.lit(1)) == "1", F.lit(False))
-    return rows.select("history_id", place.cast("bigint").alias("place"), "position", "result_id", "generated_at", supported.alias("supported"))
+    rows = rows.select("history_id", "position", "result_id", "generated_at", supported.alias("supported"), "time")
+    out = placed(rows, "history_id", [F.col("time").desc_nulls_last(), F.desc("position")])
+    return out.select("history_id", "place", "position", "result_id", "generated_at", "supported")
 
 
 def figure(numerator: str = "numerator", denominator: str = "denominator") -> Column:

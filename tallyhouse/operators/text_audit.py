@@ -10,17 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Word lists, limits, and the patterns of promises (with their endings), hedges, and amounts in per cent or currency.
+from tallyhouse.functions import descent
+
+#: Word lists and limits.
 CAUSAL_WORDS = ("caused", "because", "due to", "effect of", "leads to", "drives")
+PROMISES = ("will increase", "will grow", "will raise", "will boost", "guarantee", "ensure", "certainly", "definitely", "forecast", "predict")
+HEDGES = ("may", "might", "could", "suggests", "consider testing")
 SMALL_SAMPLE = "small sample"
 MAX_SUMMARY, MAX_TEXT, MAX_SUGGESTIONS = 600, 400, 5
-PROMISES = r"will\s+increas\w*|will\s+grow\w*|will\s+rais\w*|will\s+boost\w*|guarante\w*|ensur\w*|certainly\w*|definitely\w*|forecast\w*|predict\w*"
-HEDGES = "may|might|could|suggests|consider testing"
-AMOUNTS = (
-    r"(?i)(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(?:%|percent)",
-    r"(?:[$€£¥₹]|\b(?:USD|EUR|GBP|KHR|DKK|SEK|NOK|CHF|JPY|CNY|THB|VND|AUD|CAD|INR)\b)\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)",
-    r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(?:[$€£¥₹]|\b(?:USD|EUR|GBP|KHR|DKK|SEK|NOK|CHF|JPY|CNY|THB|VND|AUD|CAD|INR)\b)",
-)
+#: The signs and codes of currencies.
+SIGNS = ("$", "€", "£", "¥", "₹")
+CODES = ("USD", "EUR", "GBP", "KHR", "DKK", "SEK", "NOK", "CHF", "JPY", "CNY", "THB", "VND", "AUD", "CAD", "INR")
+#: The fields that hold sample sizes, besides counts of days.
+SIZE_FIELDS = ("numerator", "denominator", "records_used")
 RULES = ("structure", "causal", "promise", "figures", "sample_size", "small_sample", "hypothesis")
 
 
@@ -35,6 +37,59 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _any(values: tuple[str, ...], test) -> Column:
+    return F.exists(F.array(*map(F.lit, values)), test)
+
+
+def _words_apart(text: Column) -> Column:
+    """A text in small letters whose words stand between single blanks: every other character but a blank is a bar between blanks."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"(?U)[^\w ]", " | "), F.lit(" "))
+
+
+def promises(text: Column) -> Column:
+    """Whether a text has a phrase of PROMISES, with any ending: a final e goes, and what begins with the rest is an inflection."""
+    known = _words_apart(F.regexp_replace(text, r"(?U)\s+", " "))
+    return _any(PROMISES, lambda p: F.contains(known, F.concat(F.lit(" "), F.regexp_replace(p, "e$", ""))))
+
+
+def hedged(text: Column) -> Column:
+    """Whether a text has a phrase of HEDGES, as whole words with one blank between them."""
+    known = _words_apart(text)
+    return _any(HEDGES, lambda p: F.contains(known, F.concat(F.lit(" "), p, F.lit(" "))))
+
+
+#: Where a number run is set apart in a text; no text has this character afterwards.
+_MARK = "\x01"
+
+
+def canonical(number: Column) -> Column:
+    """A number's one way of writing: no commas, no zeros that say nothing. Equal numbers of any size and any number of places are equal texts."""
+    plain = F.regexp_replace(F.replace(number, F.lit(",")), r"^0+(?=\d)", "")
+    return F.when(F.contains(plain, F.lit(".")), F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))).otherwise(plain)
+
+
+def amounts(text: Column) -> Column:
+    """The numbers of a text that stand before a per cent sign or word, or beside a sign or code of a currency, canonical.
+
+    The text is split into runs of digits with points and commas between them and what lies between the runs; a run's
+    neighbours say whether it is an amount. Groups of thousands are three digits after a comma. Of a run that is no
+    number as a whole, what fits next to the sign counts. A code is a word of its own.
+    """
+    apart = F.split(F.regexp_replace(F.translate(text, _MARK, " "), r"(\d+(?:[.,]\d+)*)", rf"{_MARK}$1{_MARK}"), _MARK)
+    places = F.filter(F.sequence(F.lit(0), F.size(apart) - 1), lambda i: i % 2 == 1)
+    number = r"(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
+
+    def beside(i: Column) -> Column:
+        before, run, after = F.get(apart, i - 1), F.get(apart, i), F.get(apart, i + 1)
+        behind, ahead = F.regexp_replace(after, r"(?U)^\s+", ""), F.regexp_replace(before, r"(?U)\s+$", "")
+        code = lambda side, where: F.regexp_extract(side, where, 1).isin(*CODES)
+        counts_before = F.startswith(F.lower(behind), F.lit("%")) | F.startswith(F.lower(behind), F.lit("percent")) | F.left(behind, F.lit(1)).isin(*SIGNS) | code(after, r"(?U)^\s+(\w+)")
+        counts_after = F.right(ahead, F.lit(1)).isin(*SIGNS) | code(before, r"(?U)(\w+)\s+$")
+        return F.array(F.when(counts_before, F.regexp_extract(run, f"({number})$", 1)), F.when(counts_after, F.regexp_extract(run, f"^({number})", 1)))
+
+    return F.transform(F.filter(F.flatten(F.transform(places, beside)), lambda n: n.isNotNull()), canonical)
+
+
 def parse(answers: DataFrame) -> DataFrame:
     """answers (answer_id, answer_text, ...) with summary, suggestions and structure (false: it is not as asked for)."""
     text = _stripped(F.col("answer_text"))
@@ -50,20 +105,19 @@ def parse(answers: DataFrame) -> DataFrame:
 
 
 def check(parsed: DataFrame, minimum: int = 30) -> DataFrame:
-    """parsed (with figures array<decimal(18,6)> and sizes array<bigint>) with one flag per rule (true: it holds), null after a structure that fails."""
+    """parsed (with figures and sizes, as facts() gives them) with one flag per rule (true: it holds), null after a structure that fails."""
     texts = F.concat(F.array("summary"), F.flatten(F.transform("suggestions", lambda s: F.array(s["suggestion"], s["evidence"]))))
     rows = parsed.withColumn("texts", F.when(F.col("structure"), texts))
-    numbers = F.flatten(F.transform("texts", lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in AMOUNTS])))
-    amounts = F.transform(numbers, lambda n: F.replace(n, F.lit(",")).try_cast("decimal(18,6)"))
+    each = lambda test: F.when(F.col("structure"), F.forall("suggestions", test))
     return rows.select(
         *parsed.columns,
-        (~F.exists("texts", lambda t: F.exists(F.array(*map(F.lit, CAUSAL_WORDS)), lambda w: F.contains(F.lower(t), w)))).alias("causal"),
-        (~F.exists("texts", lambda t: t.rlike(rf"(?i)(?U)\b(?:{PROMISES})"))).alias("promise"),
-        (F.size(F.array_except(amounts, F.col("figures"))) == 0).alias("figures_known"),
-        F.when(F.col("structure"), F.forall("suggestions", lambda s: F.array_contains("sizes", s["sample_size"]))).alias("sample_size"),
-        F.when(F.col("structure"), F.forall("suggestions", lambda s: (s["sample_size"] >= minimum) | F.contains(F.lower(s["evidence"]), F.lit(SMALL_SAMPLE)))).alias("small_sample"),
-        F.when(F.col("structure"), F.forall("suggestions", lambda s: s["suggestion"].rlike(rf"(?i)(?U)\b(?:{HEDGES})\b"))).alias("hypothesis"),
-    )
+        (~F.exists("texts", lambda t: _any(CAUSAL_WORDS, lambda w: F.contains(F.lower(t), w)))).alias("causal"),
+        (~F.exists("texts", promises)).alias("promise"),
+        (F.size(F.array_except(F.flatten(F.transform("texts", amounts)), F.col("figures"))) == 0).alias("figures_known"),
+        each(lambda s: F.array_contains("sizes", s["sample_size"])).alias("sample_size"),
+        each(lambda s: (s["sample_size"] >= minimum) | F.contains(F.lower(s["evidence"]), F.lit(SMALL_SAMPLE))).alias("small_sample"),
+        each(lambda s: hedged(s["suggestion"])).alias("hypothesis"),
+    )
 
 
 def _failed() -> Column:
@@ -96,28 +150,34 @@ def status_counts(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status", "reason").agg(F.count("*").alias("answers"))
 
 
+def _is_size(key: Column) -> Column:
+    days = F.endswith(key, F.lit("_days")) & ~F.startswith(key, F.lit("median_")) & ~F.startswith(key, F.lit("mean_"))
+    return key.isin(*SIZE_FIELDS) | days
+
+
 def facts(findings: DataFrame, text: str = "findings_text") -> DataFrame:
-    """findings with figures (every number in the text) and sizes (its sample sizes), as check() takes them.
+    """findings with figures (every number in the text, canonical) and sizes (its sample sizes), as check() takes them.
 
-    The text is JSON with findings and data_quality. Sample sizes are whole numbers, alone or in a list, under
-    numerator, denominator, records_used or a name that ends in _days, medians and means apart, and the record count.
+    The text is JSON with findings and data_quality. Sample sizes are whole numbers, alone or in lists, under numerator,
+    denominator, records_used or a name that ends in _days, medians and means apart, and the record count. What is an
+    object under such a name is not looked into.
     """
-    record = F.try_parse_json(text)
-    found = F.coalesce(F.to_json(F.try_variant_get(record, "$.findings", "variant")), F.lit(""))
-    whole = r"-?\d+(?![\d.eE])"
-    named = rf'"(?!median_|mean_)(?:numerator|denominator|records_used|[^"\\]*_days)":({whole}|\[[^\[\]{{}}]*\])'
-    inside = F.flatten(F.transform(F.regexp_extract_all(found, F.lit(named), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(rf"(?:^|[\[,])({whole})(?=$|[,\]])"), F.lit(1))))
-    count = F.try_variant_get(record, "$.data_quality.record_count", "bigint")
-    sizes = F.concat(F.transform(inside, lambda x: x.try_cast("bigint")), F.when(count.isNotNull(), F.array(count)).otherwise(F.array().cast("array<bigint>")))
-    figures = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.try_cast("decimal(18,6)"))
+    record, json = F.try_parse_json(text), F.col(text)
+    seen = descent.nodes(F.try_variant_get(record, "$.findings", "variant"), descent.levels(json), lambda n: _is_size(n["key"]) & descent.is_object(n["value"]))
+    sized = F.filter(seen, lambda n: _is_size(n["key"]) & descent.is_integer(n["value"]))
+    count = descent.whole(F.try_variant_get(record, "$.data_quality", "variant"), "record_count")
+    sizes = F.concat(F.transform(sized, lambda n: F.try_variant_get(n["value"], "$", "bigint")), F.array(count))
+    figures = F.transform(F.regexp_extract_all(json, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), canonical)
     distinct = lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull())))
     return findings.withColumn("figures", distinct(figures)).withColumn("sizes", distinct(sizes))
 
 
 def finding_words(findings: DataFrame, text: str = "findings_text") -> DataFrame:
-    """findings with causal_words: the causal words in any key or string of a JSON text, in list order."""
-    strings = F.lower(F.array_join(F.regexp_extract_all(F.col(text), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), "\n"))
-    return findings.withColumn("causal_words", F.filter(F.array(*map(F.lit, CAUSAL_WORDS)), lambda w: F.contains(strings, w)))
+    """findings with causal_words: the causal words in any key or string of a JSON text, in list order. What is no JSON has none."""
+    seen = descent.nodes(F.try_parse_json(text), descent.levels(F.col(text)), lambda n: F.lit(False))
+    own = F.flatten(F.transform(seen, lambda n: F.array(n["key"], F.when(F.schema_of_variant(n["value"]) == "STRING", F.try_variant_get(n["value"], "$", "string")))))
+    strings = F.transform(F.filter(own, lambda s: s.isNotNull()), F.lower)
+    return findings.withColumn("causal_words", F.filter(F.array(*map(F.lit, CAUSAL_WORDS)), lambda w: F.exists(strings, lambda s: F.contains(s, w))))
 
 
 def prompt_context(findings: DataFrame, longest: int = 60) -> DataFrame:

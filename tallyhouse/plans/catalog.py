@@ -11,40 +11,9 @@ from tallyhouse.functions.columns import STAY_BUCKETS
 from tallyhouse.operators import cancellations, findings, guest_mix, holidays, lead_time, parsing, quality, results, room_value, seasonality, sentences, text_audit, views
 from tallyhouse.operators.figures import valid
 from tallyhouse.plans import oracles as o
+from tallyhouse.plans.registry import BOTH_DATES, ORACLES, QUERIES, on_bookings, on_history, on_lines, query, with_calendar
 from tallyhouse.sources import bookings, raw
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-BOTH_DATES = {"booking": "booking_date", "arrival": "arrival_date"}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def on_bookings(name: str, sql: str | None, job: Callable[[DataFrame], DataFrame]) -> None:
-    query(name, sql)(lambda spark, sf_dir: job(bookings.from_orders(spark, sf_dir)))
-
-
-def on_lines(name: str, sql: str | None, job: Callable[[DataFrame], DataFrame]) -> None:
-    query(name, sql)(lambda spark, sf_dir: job(raw.json_lines(spark, sf_dir)))
-
-
-def on_history(name: str, sql: str | None, job: Callable[[DataFrame], DataFrame]) -> None:
-    query(name, sql)(lambda spark, sf_dir: job(raw.history(spark, sf_dir)))
-
-
-def with_calendar(name: str, sql: str | None, job: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    query(name, sql)(lambda spark, sf_dir: job(bookings.from_orders(spark, sf_dir), bookings.calendar(spark)))
-
-
 # ---- lead times
 
 on_bookings("lead_time_overall", o.lead_time("'all'"), lambda b: lead_time.distribution(b))
@@ -152,7 +121,7 @@ def _holiday_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _name, _field in (("text", "meal"), ("identifier", "agent"), ("integer", "lead_time"), ("boolean", "is_canceled"), ("date", "arrival_date"), ("decimal", "price_per_night")):
 
     def _typed(lines: DataFrame, field: str = _field) -> DataFrame:
-        value, missing, invalid = parsing.cell(F.try_parse_json("line"), field)
+        value, missing, invalid = parsing.cell(F.try_parse_json("line"), field, F.col("line"))
         return lines.select("position", value.alias("value"), missing.alias("missing"), invalid.alias("invalid"))
 
     on_lines(f"typed_{_name}", o.typed(_field), _typed)
@@ -227,14 +196,6 @@ on_lines(
 )
 
 
-@query("result_json")
-def _result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parsing.parse_json(raw.json_lines(spark, sf_dir))
-    b = bookings.from_orders(spark, sf_dir)
-    found = results.documents(findings.figures(b, bookings.calendar(spark)), findings.part_status(b))
-    return results.envelope(found, quality.result_status(parsed), quality.summary(parsed), "run-1", "2024-01-01T00:00:00.000Z")
-
-
 def _view(name: str, analysis: str, figures: Callable[[DataFrame], DataFrame], sql: str, extra: tuple[tuple[str, str], ...] = ()) -> None:
     names = ", ".join(n for n, _ in extra)
     text = f"SELECT '{analysis}' AS analysis, group_label AS label, numerator AS records, denominator AS \"of\", {o.share('numerator', 'denominator')} AS share, small_sample{', ' + names if names else ''} FROM ({sql})"
@@ -315,7 +276,7 @@ _SENTENCES = " UNION ALL ".join(
     [
         f"SELECT {_printf(sentences.LEAD_TIME_DIFFERENCE, 'numerator', 'denominator')} AS text FROM ({ORACLES['lead_time_date_comparison']})",
         f"SELECT {_printf(sentences.LEAD_TIME_MEDIAN, 'CASE WHEN median_days = floor(median_days) THEN CAST(CAST(median_days AS BIGINT) AS VARCHAR) ELSE CAST(median_days AS VARCHAR) END', 'numerator')} FROM ({ORACLES['lead_time_by_segment']})",
-        f"SELECT {_printf(sentences.ROOM_VALUE_GROUP, 'numerator', 'replace(group_label, chr(95), chr(32))', 'total', 'mean')} FROM ({ORACLES['room_value']})",
+        f"SELECT {_printf(sentences.ROOM_VALUE_GROUP, 'numerator', "CASE group_label WHEN 'canceled' THEN 'cancelled' WHEN 'not_canceled' THEN 'not cancelled' ELSE 'cancellation status unknown' END", 'total', 'mean')} FROM ({ORACLES['room_value']})",
         f"SELECT {_printf(sentences.CANCELLATION_SPLIT, 'chr(39)', 'CAST(sum(numerator) AS BIGINT)', 'CAST(sum(denominator) AS BIGINT)').replace('CAST(chr(39) AS VARCHAR)', repr('deposit type'))} FROM ({ORACLES['cancel_by_deposit_type']})",
         f"SELECT {_printf(sentences.GUEST_MIX_OMITTED, 'group_label', 'numerator')} FROM ({ORACLES['guest_mix_country']}) WHERE small_sample",
     ]
@@ -325,7 +286,7 @@ on_bookings("findings_wording", f"SELECT text, CAST(NULL AS VARCHAR) AS causal_w
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_audit.check(text_audit.parse(raw.answers(spark, sf_dir)))
+    return text_audit.check(text_audit.parse(text_audit.facts(raw.answers(spark, sf_dir))))
 
 
 for _name, _flag in (("structure", "structure"), ("causal", "causal"), ("promise", "promise"), ("figures", "figures_known"), ("sample_size", "sample_size"), ("small_sample", "small_sample"), ("hypothesis", "hypothesis")):
@@ -350,5 +311,3 @@ on_bookings(
     "SELECT 'cancellations' AS analysis, '[' || string_agg('{\"group\":\"' || group_label || '\",\"numerator\":' || numerator || ',\"denominator\":' || denominator || ',\"small_sample\":' || small_sample || '}', ',' ORDER BY group_label) || ']' AS context FROM (" + o.cancel_split("by_market_segment") + ")",
     lambda b: text_audit.prompt_context(cancellations.split(b, "by_market_segment").withColumn("analysis", F.lit("cancellations"))),
 )
-
-from tallyhouse.plans import whole  # noqa: E402,F401  its queries are registered too, with these as their base

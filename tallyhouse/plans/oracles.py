@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from tallyhouse.operators.quality import REQUIREMENTS
 from tallyhouse.operators.results import ENVELOPE
-from tallyhouse.operators.text_audit import AMOUNTS, CAUSAL_WORDS, HEDGES, MAX_SUGGESTIONS, MAX_SUMMARY, MAX_TEXT, PROMISES
 from tallyhouse.sources.bookings import CALENDAR_YEARS, FIELDS, HOLIDAYS, KINDS
 from tallyhouse.sources.raw import ANSWER, CSV_LINE, HISTORY_LINE, JSON_LINE
 
 BOOKINGS = """
 b AS (
-  SELECT CAST(CASE WHEN k % 97 = 0 AND k > 0 THEN k - 1 ELSE k END AS VARCHAR) AS booking_id,
+  SELECT k, CAST(CASE WHEN k % 97 = 0 AND k > 0 THEN k - 1 ELSE k END AS VARCHAR) AS booking_id,
     CASE WHEN k % 53 <> 0 THEN o_orderstatus = 'F' END AS is_canceled,
     CASE WHEN k % 43 <> 0 THEN lt + CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END END AS lead_time,
     CASE WHEN k % 41 <> 0 THEN d END AS booking_date,
@@ -182,22 +181,27 @@ HISTORY = f"""h0 AS (SELECT o_custkey AS history_id, o_orderkey AS position, ({H
 h1 AS (SELECT *, TRY_CAST(CASE WHEN json_valid(line) THEN line END AS JSON) AS j FROM h0),
 hist AS (SELECT *, trim(line) = '' AS is_blank, coalesce(json_type(j) = 'OBJECT' AND """ + " AND ".join(f"json_exists(j, '$.{f}')" for f in ENVELOPE) + ", false) AS is_valid FROM h1)"
 
+#: The findings of raw.FINDINGS by customer, with their numbers as one way of writing each.
+FOUND = """n AS (SELECT o_custkey AS answer_id, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS c, o_custkey % 16 AS t FROM orders GROUP BY o_custkey),
+found AS (SELECT *, list_transform([c, n, 1, 3, 61, 2, n + 1000, n + 7], lambda x: CAST(x AS VARCHAR)) || [CASE WHEN n % 2 = 0 THEN '0.1234567' ELSE '0.123457' END, CASE WHEN c % 2 = 0 THEN '1234.5' ELSE '1234.51' END] AS numbers FROM n)"""
+
 ANSWERS = f"""n AS (SELECT o_custkey AS answer_id, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS c, o_custkey % 16 AS t FROM orders GROUP BY o_custkey),
 a0 AS (SELECT *, trim({ANSWER}, ' ' || chr(10)) AS raw FROM n),
 a1 AS (SELECT *, CASE WHEN regexp_matches(raw, '^```(json)?[ \\t]*\\n') THEN regexp_extract(raw, '(?s)^```(?:json)?[ \\t]*\\n(.*)\\n```$', 1) ELSE raw END AS body FROM a0),
 a2 AS (SELECT *, TRY_CAST(CASE WHEN json_valid(body) THEN body END AS JSON) AS j FROM a1),
 a3 AS (SELECT *, trim(json_extract_string(j, '$.executive_summary')) AS s, trim(json_extract_string(j, '$.improvement_suggestions[0].suggestion')) AS g, trim(json_extract_string(j, '$.improvement_suggestions[0].evidence')) AS e,
   CASE WHEN json_type(j, '$.improvement_suggestions[0].sample_size') = 'UBIGINT' THEN CAST(json_extract_string(j, '$.improvement_suggestions[0].sample_size') AS BIGINT) END AS z FROM a2),
-a4 AS (SELECT *, coalesce(length(s) BETWEEN 1 AND {MAX_SUMMARY} AND json_type(j, '$.improvement_suggestions') = 'ARRAY' AND json_array_length(j, '$.improvement_suggestions') BETWEEN 1 AND {MAX_SUGGESTIONS}
-  AND length(g) BETWEEN 1 AND {MAX_TEXT} AND length(e) BETWEEN 1 AND {MAX_TEXT} AND z >= 1, false) AS structure FROM a3),
+a4 AS (SELECT *, coalesce(length(s) BETWEEN 1 AND 600 AND json_type(j, '$.improvement_suggestions') = 'ARRAY' AND json_array_length(j, '$.improvement_suggestions') BETWEEN 1 AND 5
+  AND length(g) BETWEEN 1 AND 400 AND length(e) BETWEEN 1 AND 400 AND z >= 1, false) AS structure FROM a3),
 a5 AS (SELECT answer_id, n, c, structure, CASE WHEN structure THEN s || chr(1) || g || chr(1) || e END AS texts, CASE WHEN structure THEN g END AS g, CASE WHEN structure THEN e END AS e, CASE WHEN structure THEN z END AS z FROM a4),
-nums AS (SELECT answer_id, unnest(""" + " || ".join(f"regexp_extract_all(texts, '{p}', 1)" for p in AMOUNTS) + """) AS x FROM a5),
-bad AS (SELECT DISTINCT answer_id FROM nums JOIN n USING (answer_id) WHERE CAST(replace(x, ',', '') AS DECIMAL(18,6)) NOT IN (c, n)),
+nums AS (SELECT answer_id, regexp_extract(x, '[0-9][0-9,.]*') AS x FROM (SELECT answer_id, unnest(regexp_extract_all(texts, '[0-9][0-9,.]* ?(%|percent)|EUR [0-9][0-9,.]*[0-9]')) AS x FROM a5)),
+bad AS (SELECT DISTINCT answer_id FROM nums JOIN n USING (answer_id) WHERE CAST(replace(x, ',', '') AS DECIMAL(30,12)) NOT IN (c, n, n + 7, n + 1000, 1, 3, 2, 61, CASE n % 2 WHEN 0 THEN 0.1234567 ELSE 0.123457 END, CASE c % 2 WHEN 0 THEN 1234.5 ELSE 1234.51 END)),
 audit AS (SELECT answer_id, structure,
-  NOT (""" + " OR ".join(f"contains(lower(texts), '{w}')" for w in CAUSAL_WORDS) + """) AS causal,
-  NOT regexp_matches(texts, '(?i)\\b(""" + PROMISES + """)') AS promise,
-  CASE WHEN structure THEN answer_id NOT IN (SELECT answer_id FROM bad) END AS figures_known, z IN (c, n) AS sample_size,
-  z >= 30 OR contains(lower(e), 'small sample') AS small_sample, regexp_matches(g, '(?i)\\b(""" + HEDGES + """)\\b') AS hypothesis FROM a5)"""
+  CASE WHEN structure THEN len(list_filter(['caused', 'because', 'due to', 'effect of', 'leads to', 'drives'], lambda w: contains(lower(texts), w))) = 0 END AS causal,
+  CASE WHEN structure THEN len(list_filter(['will increase', 'will grow', 'will raise', 'will boost', 'guarantee', 'ensure', 'certainly', 'definitely', 'forecast', 'predict'], lambda w: contains(' ' || lower(regexp_replace(texts, '\\s+|\x01', ' ', 'g')), ' ' || regexp_replace(w, 'e$', '')))) = 0 END AS promise,
+  CASE WHEN structure THEN answer_id NOT IN (SELECT answer_id FROM bad) END AS figures_known, z IN (c, n, n + 7, 1, 3) AS sample_size,
+  z >= 30 OR contains(lower(e), 'small sample') AS small_sample,
+  CASE WHEN structure THEN len(list_filter(['may', 'might', 'could', 'suggests', 'consider testing'], lambda w: contains(' ' || lower(regexp_replace(g, '[.;]', ' ', 'g')) || ' ', ' ' || w || ' '))) > 0 END AS hypothesis FROM a5)"""
 VERDICT = """CASE WHEN NOT structure THEN 'structure' WHEN NOT causal THEN 'causal' WHEN NOT promise THEN 'promise' WHEN NOT figures_known THEN 'figures'
 WHEN NOT sample_size THEN 'sample_size' WHEN NOT small_sample THEN 'small_sample' WHEN NOT hypothesis THEN 'hypothesis' END"""
 

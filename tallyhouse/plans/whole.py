@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import findings, guest_mix, holidays, results, room_value, seasonality, sentences, text_audit, views
-from tallyhouse.plans import catalog
+from tallyhouse.plans import catalog  # noqa: F401  the queries here are based on those there
 from tallyhouse.plans import oracles as o
-from tallyhouse.plans.catalog import ORACLES, on_bookings, query, with_calendar
-from tallyhouse.sources import bookings
+from tallyhouse.plans.registry import BOTH_DATES, ORACLES, QUERIES, on_bookings, query, with_calendar
+from tallyhouse.sources import bookings, raw
 
 # ---- views of every split
 
@@ -26,7 +26,7 @@ _WEEKDAY = "CASE weekday WHEN 1 THEN 'Monday' WHEN 2 THEN 'Tuesday' WHEN 3 THEN
 
 
 def _holiday_rows(side: str) -> list[str]:
-    day, status = catalog.BOTH_DATES[side], side == "arrival"
+    day, status = BOTH_DATES[side], side == "arrival"
     days = lambda tail: o.days(day, status) + tail
     return [
         _rows("holidays", f"{side}_comparison", o.comparison(day, status), label=_WINDOW, counts=("events", "days")),
@@ -39,10 +39,10 @@ _LEAD = {"overall": "overall", "by_cancellation_status": "by_status", "by_arriva
 _TABLES = {
     "lead_time": [_rows("lead_time", s, ORACLES[f"lead_time_{q}"], s == "by_arrival_month") for s, q in _LEAD.items()],
     "cancellations": [_rows("cancellations", s, ORACLES[f"cancel_{s}"], s == "by_arrival_month") for s in ("overall", *o.SPLITS)],
-    "seasonality": [_rows("seasonality", f"{side}s_{g}ly", ORACLES[f"season_{side}s_{g}ly"], True) for side in catalog.BOTH_DATES for g in ("month", "week")],
+    "seasonality": [_rows("seasonality", f"{side}s_{g}ly", ORACLES[f"season_{side}s_{g}ly"], True) for side in BOTH_DATES for g in ("month", "week")],
     "room_value": [_rows("room_value", "values", ORACLES["room_value"]), _rows("room_value", "stay_lengths", ORACLES["stay_length"])],
     "guest_mix": [_rows("guest_mix", a, ORACLES[f"guest_mix_{a}"]) for a in o.MIX],
-    "holidays": [x for side in catalog.BOTH_DATES for x in _holiday_rows(side)],
+    "holidays": [x for side in BOTH_DATES for x in _holiday_rows(side)],
 }
 for _analysis, _sql in _TABLES.items():
     with_calendar(f"view_whole_{_analysis}", " UNION ALL ".join(_sql), lambda b, c, a=_analysis: views.split_rows(results.documents(findings.figures(b, c, (a,)))))
@@ -115,7 +115,7 @@ _MEASURES = {"booking": "bookings", "arrival": "arrivals"}
 
 def _more_sentences(b: DataFrame, c: DataFrame) -> DataFrame:
     parts = []
-    for side, day in catalog.BOTH_DATES.items():
+    for side, day in BOTH_DATES.items():
         table = holidays.daily(b, c, day, False)
         known = holidays.comparison(table).join(holidays.direction(table).withColumnsRenamed({"kind": "k", "window_days": "w"}), (F.col("kind") == F.col("k")) & F.col("window_days").eqNullSafe(F.col("w")))
         text = sentences.holiday_comparison(_MEASURES[side], F.col("kind"), F.col("window_days"), F.col("direction"), F.col("events") / F.col("days"), F.col("base_events") / F.col("base_days"))
@@ -128,28 +128,19 @@ with_calendar("finding_sentences_more", None, _more_sentences)
 # ---- what answers are checked against
 
 
-def _findings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(answer_id, findings_text): findings of a customer's cancellations as the JSON that an answer is asked about."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("c"))
-    text = F.format_string('{"findings": {"cancellations": {"groups": [{"numerator": %d, "denominator": %d, "label": "12.5 because"}], "window_days": [1, 3], "median_days": 61, "mean_days": 2, "rate": 0.25}}, "data_quality": {"record_count": %d}}', "c", "n", F.col("n") + 7)
-    return orders.select(F.col("o_custkey").alias("answer_id"), text.alias("findings_text"))
+def _flat_facts(found: DataFrame) -> DataFrame:
+    text = lambda c: F.array_join(F.array_sort(c), ",")
+    return found.select("answer_id", text(F.transform("sizes", lambda x: x.cast("string"))).alias("sizes"), text("figures").alias("figures"))
 
 
-query(
-    "answer_facts",
-    """WITH t AS (SELECT o_custkey AS answer_id, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS c FROM orders GROUP BY 1)
-SELECT answer_id, array_to_string(list_sort(list_distinct([c, n, 1, 3, n + 7])), ',') AS sizes, array_to_string(list_sort(list_distinct([c, n, 12.5, 1, 3, 61, 2, 0.25, n + 7]::DOUBLE[])), ',') AS figures FROM t""",
-)(lambda spark, sf_dir: _flat_facts(text_audit.facts(_findings_text(spark, sf_dir))))
-query("findings_causal_words", "SELECT DISTINCT o_custkey AS answer_id, 'because' AS causal_words FROM orders")(
-    lambda spark, sf_dir: text_audit.finding_words(_findings_text(spark, sf_dir)).select("answer_id", F.array_join("causal_words", ",").alias("causal_words"))
+query("answer_facts", f"WITH {o.FOUND} SELECT answer_id, array_to_string(list_sort(list_distinct(list_transform([c, n, 1, 3, n + 7], lambda x: CAST(x AS VARCHAR)))), ',') AS sizes, array_to_string(list_sort(list_distinct(numbers)), ',') AS figures FROM found")(
+    lambda spark, sf_dir: _flat_facts(text_audit.facts(raw.answers(spark, sf_dir)))
+)
+query("findings_causal_words", f"WITH {o.FOUND} SELECT answer_id, CASE t WHEN 3 THEN 'due to' WHEN 5 THEN 'because,drives' WHEN 6 THEN 'drives' ELSE '' END AS causal_words FROM found")(
+    lambda spark, sf_dir: text_audit.finding_words(raw.answers(spark, sf_dir)).select("answer_id", F.array_join("causal_words", ",").alias("causal_words"))
 )
-
-
-def _flat_facts(found: DataFrame) -> DataFrame:
-    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("double").cast("string")), ",")
-    return found.select("answer_id", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"), text("figures").alias("figures"))
 
 
 query("insight_counts", f"SELECT status, reason, count(*) AS answers FROM ({ORACLES['insight_status']}) GROUP BY ALL")(
-    lambda spark, sf_dir: text_audit.status_counts(catalog.QUERIES["insight_status"](spark, sf_dir))
+    lambda spark, sf_dir: text_audit.status_counts(QUERIES["insight_status"](spark, sf_dir))
 )

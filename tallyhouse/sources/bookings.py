@@ -36,8 +36,8 @@ FIELDS = sorted(KINDS)
 TYPES = {"text": "string", "identifier": "string", "integer": "bigint", "boolean": "boolean", "date": "date", "decimal": "decimal(18,6)"}
 
 
-def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One booking per order, with customer and nation attributes. Nulls, zeros, mismatches and repeated ids are part of the mapping."""
+def from_orders(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """One booking per order, with customer and nation attributes, and columns of the order to keep. Nulls, zeros, mismatches and repeated ids are part of the mapping."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     # an order without a customer or nation is a booking without their attributes
     joined = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
@@ -48,6 +48,7 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint") % 50000
     price = F.when(k % 67 == 0, None).when(k % 89 == 0, F.lit(0).cast("decimal(18,2)")).otherwise((cents.cast("decimal(18,2)") / 100).cast("decimal(18,2)"))
     return joined.select(
+        *keep,
         F.when((k % 97 == 0) & (k > 0), k - 1).otherwise(k).cast("string").alias("booking_id"),
         unless(53, F.col("o_orderstatus") == "F").alias("is_canceled"),
         unless(43, gap + F.when(k % 17 == 0, 1).otherwise(0)).cast("bigint").alias("lead_time"),

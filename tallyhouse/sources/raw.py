@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.sources.bookings import FIELDS, from_orders
+
 #: One JSON line per order key k, as an expression that both engines read: good cells, bad cells, lines that are no records.
 JSON_LINE = """
 CASE WHEN k % 101 = 0 THEN 'not json' WHEN k % 103 = 0 THEN '[1,2]' WHEN k % 107 = 0 THEN '   ' ELSE
@@ -49,12 +51,21 @@ CASE t WHEN 1 THEN 'not json at all' WHEN 8 THEN '```json' || chr(10) ELSE '' EN
 '{"executive_summary":"' || CASE t WHEN 2 THEN 'Cancellations rose because of price.' WHEN 3 THEN 'Revenue is  guaranteed here.' WHEN 9 THEN repeat('long ', 130) WHEN 13 THEN '  ' ELSE ' Shares are observed only. ' END
 || '","improvement_suggestions":' || CASE t WHEN 10 THEN '[]' WHEN 14 THEN '"none"' ELSE
 '[{"suggestion":"' || CASE t WHEN 7 THEN 'Do it now.' WHEN 12 THEN 'You could ensure   deposits.' ELSE 'Consider testing deposits; it Might help.' END
-|| '","evidence":"' || CASE t WHEN 4 THEN 'A share of 99.5% was seen in a small sample.' WHEN 15 THEN 'Worth EUR 1,234.50 of a small sample.' WHEN 6 THEN 'It is ' || cast(c as string) || ' of ' || cast(n as string) || '.' WHEN 0 THEN cast(n as string) || ' percent, a Small Sample.' ELSE cast(c as string) || ' of ' || cast(n as string) || ', a small sample.' END
+|| '","evidence":"' || CASE t WHEN 4 THEN 'A share of 0.123457% was seen in a small sample.' WHEN 15 THEN 'Worth EUR 1,234.50 of a small sample.' WHEN 6 THEN 'It is ' || cast(c as string) || ' of ' || cast(n as string) || '.' WHEN 0 THEN cast(n as string) || ' percent, a Small Sample.' ELSE cast(c as string) || ' of ' || cast(n as string) || ', a small sample.' END
 || '","sample_size":' || CASE t WHEN 5 THEN cast(n + 1000 as string) WHEN 11 THEN '"' || cast(n as string) || '"' ELSE cast(n as string) END || '}]' END || '}' END
 || CASE WHEN t = 8 THEN chr(10) || '```' ELSE '' END
 """
 
 
+#: What an answer is asked about, of the same n and c: counts below an object that is named like a count of days are no sample sizes.
+FINDINGS = """
+'{"analysis":"cancellations","findings":{"overall":{"group":"all","numerator":' || cast(c as string) || ',"denominator":' || cast(n as string) || ',"small_sample":true},"windows_days":[1,[3]],"median_days":61,"mean_days":2,'
+|| '"holiday_days":{"day_kind":"holiday","group":{"numerator":' || cast(n + 1000 as string) || '}},"rate":' || CASE n % 2 WHEN 0 THEN '0.1234567' ELSE '0.123457' END
+|| ',"total":"' || CASE c % 2 WHEN 0 THEN '1234.5' ELSE '1234.51' END || '","' || CASE t WHEN 3 THEN 'rise due to' ELSE 'note' END || '":"' || CASE t WHEN 5 THEN 'It DRIVES, because of it.' WHEN 6 THEN 'Overdrives apart' ELSE 'Shares are observed.' END
+|| '"},"data_quality":{"record_count":' || cast(n + 7 as string) || '}}'
+"""
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,6 +76,25 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def table_of(df: DataFrame, label: str) -> DataFrame:
+    """df, written once to the shared folder and read back."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("k", F.col("o_orderkey"))
 
@@ -74,6 +104,16 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select(F.col("k").alias("position"), F.expr(JSON_LINE).alias("line"))
 
 
+def booking_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(position, line): every booking of an order as a JSON object, with some cells of another type, some of no real date, and an extra name."""
+    rows = from_orders(spark, sf_dir, "o_orderkey")
+    k = F.col("o_orderkey")
+    bad = {"lead_time": (29, '"12"'), "arrival_date": (31, '"2022-13-01"')}
+    own = {f: F.when(k % m == 0, F.parse_json(F.lit(x))).otherwise(F.col(f).cast("string" if f == "arrival_date" else "bigint").cast("variant")) for f, (m, x) in bad.items()}
+    extra = F.when(k % 19 == 0, F.lit(1)).alias("zz")
+    return rows.select(k.alias("position"), F.to_json(F.struct(*[own.get(f, F.col(f)).alias(f) for f in FIELDS], extra)).alias("line"))
+
+
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select(F.expr(CSV_LINE).alias("line"))
 
@@ -84,8 +124,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(answer_id, answer_text, figures, sizes): an answer about a customer's cancellations, with the figures and sample sizes of its findings."""
+    """(answer_id, answer_text, findings_text): an answer about a customer's cancellations, and the findings that it was asked about."""
     found = _orders(spark, sf_dir).groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("c"))
     rows = found.withColumn("t", F.col("o_custkey") % 16)
-    numbers = F.array("c", "n")
-    return rows.select(F.col("o_custkey").alias("answer_id"), F.expr(ANSWER).alias("answer_text"), numbers.cast("array<decimal(18,6)>").alias("figures"), numbers.alias("sizes"))
+    return rows.select(F.col("o_custkey").alias("answer_id"), F.expr(ANSWER).alias("answer_text"), F.expr(FINDINGS).alias("findings_text"))

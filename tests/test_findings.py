@@ -1,9 +1,9 @@
-"""The whole result holds every split and side of the six analyses."""
+"""The long table of all figures, from one pass, and its limitations."""
 
-import json
-
-from tallyhouse.operators import views
-from tallyhouse.plans import catalog
+from tallyhouse.operators import cube, findings, results, views
+from tallyhouse.plans import catalog, stored, whole  # noqa: F401  each registers its queries
+from tallyhouse.plans.registry import QUERIES
+from tallyhouse.sources import bookings, raw
 
 SF = "/root/testdata/sf0.001"
 #: Figures' tables by analysis and split, as queries of their own.
@@ -17,26 +17,38 @@ SAME = {
 }
 
 
-def test_result_json(spark):
-    row = catalog.QUERIES["result_json"](spark, SF).first()
-    analyses = {k: json.loads(v) for k, v in json.loads(row.document)["analyses"].items()}
-    splits = {a: {g["split"] for g in doc["groups"]} for a, doc in analyses.items()}
+def leaves(df, path):
+    """How often the plan of df reads files of a path."""
+    plan = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(path in str(plan.apply(i).relation().location().rootPaths()) for i in range(plan.size()) if plan.apply(i).getClass().getSimpleName() == "LogicalRelation")
+
+
+def test_every_split_and_side(spark):
+    rows = findings.figures(bookings.from_orders(spark, SF), bookings.calendar(spark)).collect()
+    splits = {}
+    for r in rows:
+        splits.setdefault(r.analysis, set()).add(r.split)
     assert {a: len(s) for a, s in splits.items()} == {"lead_time": 6, "cancellations": 8, "seasonality": 4, "room_value": 2, "guest_mix": 7, "holidays": 6}
     for (analysis, split), name in SAME.items():
-        got = {(f["group"], f["numerator"], f["denominator"], f["small_sample"]) for g in analyses[analysis]["groups"] if g["split"] == split for f in [g["figure"]]}
-        want = {(r.group_label, r.numerator, r.denominator, r.small_sample) for r in catalog.QUERIES[name](spark, SF).collect()}
-        assert got == want
+        got = {(r.group_label, r.numerator, r.denominator, r.small_sample) for r in rows if (r.analysis, r.split) == (analysis, split)}
+        assert got == {(r.group_label, r.numerator, r.denominator, r.small_sample) for r in QUERIES[name](spark, SF).collect()}
+
+
+def test_bookings_are_read_once(spark):
+    b = raw.table_of(bookings.from_orders(spark, SF), "bookings")
+    path = b.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").lstrip("/")
+    assert leaves(cube.measure(b), path) == 1
+    whole_ = results.documents(findings.figures(b, bookings.calendar(spark)))
+    assert leaves(whole_, path) == 0 and leaves(whole_, "/cube-") > 1
 
 
 def test_limitations(spark):
-    rows = {r.analysis: r for r in catalog.QUERIES["limitations_whole"](spark, SF).collect()}
-    document = json.loads(catalog.QUERIES["result_json"](spark, SF).first().document)
-    for analysis, doc in document["analyses"].items():
-        groups, row = json.loads(doc)["groups"], rows[analysis]
+    rows = {r.analysis: r for r in QUERIES["limitations_whole"](spark, SF).collect()}
+    figures = findings.figures(bookings.from_orders(spark, SF), bookings.calendar(spark)).collect()
+    for analysis, row in rows.items():
+        own = [r for r in figures if r.analysis == analysis]
         if row.reason is None:
-            assert row.figures == len(groups)
-            assert row.small_samples == sum(g["figure"]["small_sample"] for g in groups)
-            assert row.partial_periods == sum(bool(g.get("partial_period")) for g in groups)
+            assert (row.figures, row.small_samples, row.partial_periods) == (len(own), sum(r.small_sample for r in own), sum(bool(r.partial_period) for r in own))
     figures = spark.createDataFrame([("a", True, None), ("a", False, True), ("b", True, None)], "analysis string, small_sample boolean, partial_period boolean")
     state = spark.createDataFrame([("a", "available", None), ("b", "unavailable", "no field"), ("c", "available", None)], "analysis string, status string, reason string")
     assert sorted(map(tuple, views.whole_limitations(figures, state).collect())) == [("a", 2, 1, 1, None), ("b", 0, 0, 0, "no field"), ("c", 0, 0, 0, None)]

@@ -7,7 +7,8 @@ import os
 import duckdb
 import pytest
 
-from tallyhouse.plans.catalog import ORACLES, QUERIES
+from tallyhouse.plans import catalog, stored, whole  # noqa: F401  each registers its queries
+from tallyhouse.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
