@@ -114,6 +114,8 @@ class Folder:
 
 #: Shuffle files of a finished write are of no further use.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows go to Python in batches of so many bytes, whatever the length of their texts; one row at least.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -125,12 +127,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def _write(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    own = {_CLEANUP: "true", _BATCH: str(_BATCH_BYTES)}
+    before = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,7 @@ SLAB = 64
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    pa.default_memory_pool().release_unused()  # what earlier work in this process has left
     tokenizer, end = word_tokenizer(path), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         source, piece, start, length, crc = [], [], [], [], []
