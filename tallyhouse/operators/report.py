@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.columns import LEAD_TIME_BANDS, MIN_GROUP_SIZE, is_small
+from tallyhouse.functions.columns import LEAD_TIME_BANDS, MIN_GROUP_SIZE, STAY_BUCKETS
 from tallyhouse.operators import cancellations, cube, findings, guest_mix, holidays, lead_time, parsing, quality, sentences
 from tallyhouse.operators.cube import SIDES
 from tallyhouse.operators.results import SCHEMA_VERSION
@@ -25,119 +25,135 @@ MEASURES = {"booking": "bookings", "arrival": "arrivals"}
 GRAINS = {"month": "monthly", "week": "iso_week"}
 
 
-# ---- JSON as text
+# ---- JSON as text, by SQL expressions: a document has hundreds of parts, and a text is one expression to build
 
 
-def constant(value: object) -> Column:
+def constant(value: object) -> str:
     """A value known beforehand, as JSON."""
-    return F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False))
+    text = json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def string(value: Column | str) -> Column:
+def string(value: str) -> str:
     """A JSON string; null for null."""
-    if isinstance(value, str):
-        return constant(value)
-    quoted = F.to_json(F.array(value))
-    return F.when(value.isNotNull(), F.substr(quoted, F.lit(2), F.length(quoted) - 2))
+    return f"IF({value} IS NULL, NULL, substr(to_json(array({value})), 2, length(to_json(array({value}))) - 2))"
 
 
-def number(value: Column | str) -> Column:
-    return (F.col(value) if isinstance(value, str) else value).cast("string")
+def number(value: str) -> str:
+    return f"CAST({value} AS STRING)"
 
 
-def listed(items: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+def listed(items: str) -> str:
+    return f"concat('[', array_join({items}, ','), ']')"
 
 
-def record(**fields: Column) -> Column:
+def record(**fields: str) -> str:
     """A JSON object of the fields that are not null."""
-    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]), F.lit("}"))
+    return "concat('{', concat_ws(',', " + ", ".join(f"concat('\"{k}\":', {v})" for k, v in fields.items()) + "), '}')"
 
 
-def figure(label: Column | str, numerator: str, denominator: str, small: Column | None = None) -> Column:
-    return record(group=string(label), numerator=number(numerator), denominator=number(denominator), small_sample=number(F.col("small_sample") if small is None else small))
+def small(size: str, minimum: int) -> str:
+    return number(f"({size} < {minimum})")
 
 
-def unavailable(reason: Column | str) -> Column:
-    if isinstance(reason, str):
-        return constant({"status": "unavailable", "reason": reason})
-    return record(status=string("unavailable"), reason=string(reason))
+def figure(label: str, numerator: str, denominator: str, is_small: str = "CAST(small_sample AS STRING)") -> str:
+    """A figure; label is JSON already."""
+    return record(group=label, numerator=number(numerator), denominator=number(denominator), small_sample=is_small)
 
 
-def _missing(*fields: str) -> Column:
+_LABELLED = figure(string("group_label"), "numerator", "denominator")
+
+
+def unavailable(reason: str) -> str:
+    return constant({"status": "unavailable", "reason": reason})
+
+
+def _missing(*fields: str) -> str:
     return unavailable("No record holds a valid value in every required field: " + ", ".join(f"'{f}'" for f in fields))
 
 
-def _gathered(rows: DataFrame, key: list[str], order: list[str], entry: Column, *more: Column) -> DataFrame:
+def _or(part: str, default: str) -> str:
+    return f"coalesce({part}, {default})"
+
+
+def _part(name: str) -> str:
+    return f"try_element_at(parts, '{name}')"
+
+
+def _named(words: dict[str, str], key: str) -> str:
+    """The word for a key, from a fixed list."""
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items()) + " END"
+
+
+def _gathered(rows: DataFrame, key: list[str], order: list[str], entry: str, *more: Column) -> DataFrame:
     """(run, key..., entries array<string>, more...): the entries of each part in order; they are groups, not records."""
-    out = rows.withColumn("entry", entry).groupBy("run", *key).agg(F.sort_array(F.collect_list(F.struct(*order, "entry"))).alias("entries"), *more)
-    return out.withColumn("entries", F.transform("entries", lambda x: x["entry"]))
+    ordered = F.expr(f"transform(sort_array(collect_list(struct({', '.join(order)}, entry))), x -> x.entry)").alias("entries")
+    return rows.withColumn("entry", F.expr(entry)).groupBy("run", *key).agg(ordered, *more)
 
 
-def _parts(rows: DataFrame, key: str, part: Column) -> DataFrame:
+def _parts(rows: DataFrame, key: str, part: str) -> DataFrame:
     """(run, parts map<string,string>): JSON by the name of the part."""
-    return rows.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), part))).alias("parts"))
+    return rows.groupBy("run").agg(F.expr(f"map_from_entries(collect_list(struct({key}, {part})))").alias("parts"))
 
 
-def _part(name: str) -> Column:
-    return F.try_element_at("parts", F.lit(name))
+def _firsts(*columns: str) -> list[Column]:
+    return [F.expr(f"first({c})").alias(c) for c in columns]
 
 
 # ---- the analyses
 
 
 def lead_time_findings(table: DataFrame, minimum: int) -> DataFrame:
-    bands = [figure(label, f"band_{i}", "numerator", is_small(F.col(f"band_{i}"), minimum)) for i, (label, _, _) in enumerate(LEAD_TIME_BANDS)]
-    median = F.col("median_days")
+    bands = ", ".join(figure(constant(label), f"band_{i}", "numerator", small(f"band_{i}", minimum)) for i, (label, _, _) in enumerate(LEAD_TIME_BANDS))
+    rows = cube.lead_times(table, minimum).withColumn("sentence", sentences.lead_time_median(F.col("median_days"), F.col("numerator")))
     entry = record(
-        figure=figure(F.col("group_label"), "numerator", "denominator"), median_days=F.when(median == F.floor(median), number(median.cast("bigint"))).otherwise(number(median)), bands=listed(F.array(*bands)),
-        summary=string(sentences.lead_time_median(median, F.col("numerator"))), partial_period=number("partial_period"),
+        figure=_LABELLED, median_days="IF(median_days = floor(median_days), CAST(CAST(median_days AS BIGINT) AS STRING), CAST(median_days AS STRING))", bands=listed(f"array({bands})"),
+        summary=string("sentence"), partial_period=number("partial_period"),
     )
-    splits = _gathered(cube.lead_times(table, minimum), ["split"], ["group_label"], entry)
-    whole = F.when(F.col("split") == "overall", F.col("entries")[0]).otherwise(record(status=string("available"), groups=listed(F.col("entries"))))
-    parts = _parts(splits, "split", whole)
-    used = table.where("kind = 'status' and number is not null").groupBy("run").agg(F.sum("n").alias("used"))
-    compared = cube.date_comparison(table, minimum).select(
-        "run", record(
-            status=string("available"), difference_definition=string("arrival date minus booking date, in days"), figure=figure(F.col("group_label"), "numerator", "denominator"),
-            summary=string(sentences.lead_time_difference(F.col("numerator"), F.col("denominator"))),
-        ).alias("compared"),
+    splits = _gathered(rows, ["split"], ["group_label"], entry)
+    parts = _parts(splits, "split", f"IF(split = 'overall', entries[0], {record(status=constant('available'), groups=listed('entries'))})")
+    both = table.where("kind = 'status'").groupBy("run").agg(F.expr("sum(IF(number IS NULL, 0, n))").alias("used"), F.sum("differing").alias("numerator"), F.sum("comparable").alias("denominator"))
+    both = both.withColumn("sentence", sentences.lead_time_difference(F.col("numerator"), F.col("denominator")))
+    compared = record(
+        status=constant("available"), difference_definition=constant("arrival date minus booking date, in days"),
+        figure=figure(constant("differs_from_supplied"), "numerator", "denominator", small("denominator", minimum)), summary=string("sentence"),
     )
-    fields = {s: ("lead_time", f) for s, f in lead_time.SPLIT_FIELDS.items()}
     body = record(
-        unit=string("days"), bands=constant([x for x, _, _ in LEAD_TIME_BANDS]), records_used=number("used"), overall=_part("overall"),
-        splits=record(**{s: F.coalesce(_part(s), _missing(*f)) for s, f in fields.items()}), date_comparison=F.coalesce("compared", _missing("lead_time", *SIDES.values())),
+        unit=constant("days"), bands=constant([x for x, _, _ in LEAD_TIME_BANDS]), records_used=number("used"), overall=_part("overall"),
+        splits=record(**{s: _or(_part(s), _missing("lead_time", f)) for s, f in lead_time.SPLIT_FIELDS.items()}),
+        date_comparison=f"IF(denominator > 0, {compared}, {_missing('lead_time', *SIDES.values())})",
     )
-    return parts.join(used, "run", "left").join(compared, "run", "left").select("run", body.alias("findings"))
+    return parts.join(both, "run", "left").select("run", F.expr(body).alias("findings"))
 
 
 def cancellation_findings(table: DataFrame, minimum: int) -> DataFrame:
-    shape = figure(F.col("group_label"), "numerator", "denominator")
-    entry = F.when(F.col("split") == "overall", shape).otherwise(record(figure=shape, partial_period=number("partial_period")))
-    sums = [F.sum("numerator").alias("canceled"), F.first("records_used").alias("used"), F.first("records_left_out").alias("left_out")]
+    entry = f"IF(split = 'overall', {_LABELLED}, {record(figure=_LABELLED, partial_period=number('partial_period'))})"
+    sums = [F.sum("numerator").alias("canceled"), *_firsts("records_used", "records_left_out")]
     splits = _gathered(cube.cancellations(table, minimum), ["split"], ["position"], entry, *sums)
-    summary = string(sentences.cancellation_split(F.col("split"), F.col("canceled"), F.col("used")))
-    whole = F.when(F.col("split") == "overall", F.col("entries")[0]).otherwise(
-        record(status=string("available"), records_used=number("used"), records_left_out=number("left_out"), groups=listed(F.col("entries")), summary=summary)
+    splits = splits.withColumn("sentence", sentences.cancellation_split(F.col("split"), F.col("canceled"), F.col("records_used")))
+    whole = record(status=constant("available"), records_used=number("records_used"), records_left_out=number("records_left_out"), groups=listed("entries"), summary=string("sentence"))
+    parts = splits.groupBy("run").agg(
+        F.expr(f"map_from_entries(collect_list(struct(split, IF(split = 'overall', entries[0], {whole}))))").alias("parts"), F.expr("max(IF(split = 'overall', records_used, NULL))").alias("used")
     )
-    used = splits.where("split = 'overall'").select("run", F.col("used").alias("all_used"))
     body = record(
-        note=string(sentences.CANCELLATION_NOTE), records_used=number("all_used"), overall=_part("overall"),
-        splits=record(**{s: F.coalesce(_part(s), _missing("is_canceled", f)) for s, f in cancellations.SPLIT_FIELDS.items()}),
+        note=constant(sentences.CANCELLATION_NOTE), records_used=number("used"), overall=_part("overall"),
+        splits=record(**{s: _or(_part(s), _missing("is_canceled", f)) for s, f in cancellations.SPLIT_FIELDS.items()}),
     )
-    return _parts(splits, "split", whole).join(used, "run").select("run", body.alias("findings"))
+    return parts.select("run", F.expr(body).alias("findings"))
+
 
+_STATUS_HELD = "No record in the group holds a valid 'is_canceled'."
 
-def _share(minimum: int, canceled: str = "canceled", known: str = "known") -> Column:
+
+def _share(minimum: int) -> str:
     """The cancellation share of a group, or why there is none."""
-    none = unavailable("No record in the group holds a valid 'is_canceled'.")
-    return F.when(F.col(known) > 0, figure("cancellation_share", canceled, known, is_small(F.col(known), minimum))).otherwise(none)
+    found = figure(constant("cancellation_share"), "canceled", "known", small("known", minimum))
+    return f"IF(known > 0, {found}, {unavailable(_STATUS_HELD)})"
 
 
-def _mean(value: str, count: str, minimum: int, held: str) -> Column:
+def _mean(value: str, count: str, minimum: int, held: str) -> str:
     """The mean of a group as a decimal string with its count, or why there is none."""
-    found = record(value=string(F.col(value)), count=number(count), small_sample=number(is_small(F.col(count), minimum)))
-    return F.when(F.col(count) > 0, found).otherwise(unavailable(f"No record in the group holds {held}."))
+    return f"IF({count} > 0, {record(value=string(value), count=number(count), small_sample=small(count, minimum))}, {unavailable(f'No record in the group holds {held}.')})"
 
 
 _PRICE_HELD, _NIGHTS_HELD = "a valid 'price_per_night'", "valid night counts"
@@ -145,124 +161,121 @@ _PRICE_HELD, _NIGHTS_HELD = "a valid 'price_per_night'", "valid night counts"
 
 def seasonality_findings(table: DataFrame, minimum: int) -> DataFrame:
     entry = record(
-        figure=figure(F.col("group_label"), "numerator", "denominator"), partial_period=number("partial_period"), cancellation=F.when(F.col("with_status"), _share(minimum)),
-        mean_price_per_night=F.when(F.col("with_price"), _mean("mean_price", "priced", minimum, _PRICE_HELD)),
+        figure=_LABELLED, partial_period=number("partial_period"), cancellation=f"IF(with_status, {_share(minimum)}, NULL)",
+        mean_price_per_night=f"IF(with_price, {_mean('mean_price', 'priced', minimum, _PRICE_HELD)}, NULL)",
     )
-    once = [F.first(c).alias(c) for c in ("denominator", "first_day", "last_day", "with_status", "with_price")]
-    months = F.collect_list(F.when(F.col("grain") == "month", F.left("group_label", F.lit(4)))).alias("years")
-    series = _gathered(cube.seasons(table, minimum), ["side", "grain"], ["group_label"], entry, *once, months, F.count_if("partial_period").alias("partials"))
-    of = lambda grain, c: F.first(F.when(F.col("grain") == grain, c), ignorenulls=True)
+    once = ("denominator", "first_day", "last_day", "with_status", "with_price")
+    months = F.expr("collect_list(IF(grain = 'month', left(group_label, 4), NULL))").alias("years")
+    series = _gathered(cube.seasons(table, minimum), ["side", "grain"], ["group_label"], entry, *_firsts(*once), months, F.expr("count_if(partial_period)").alias("partials"))
+    of = lambda grain, c: F.expr(f"first(IF(grain = '{grain}', {c}, NULL), true)")
     sides = series.groupBy("run", "side").agg(
-        *[F.first(c).alias(c) for c in ("denominator", "first_day", "last_day", "with_status", "with_price")], F.sum("partials").alias("partial_periods"), of("month", F.col("years")).alias("years"),
-        *[of(g, record(periods=listed(F.col("entries")))).alias(name) for g, name in GRAINS.items()], *[of(g, F.size("entries")).alias(f"{g}s") for g in GRAINS],
-    ).withColumn("records", F.col("denominator"))
-    counted = F.transform(F.array_sort(F.array_distinct("years")), lambda y: F.struct(y.alias("year"), F.size(F.filter("years", lambda x: x == y)).alias("months")))
-    incomplete = F.transform(F.filter(counted, lambda y: y["months"] < 12), lambda y: record(year=number(y["year"].cast("int")), months_present=number(y["months"])))
-    named = lambda words: F.element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.col("side"))
-    lacks = lambda f: unavailable(F.concat(F.lit("No record holds a valid value in every required field: '"), named(SIDES), F.lit(f"', '{f}'")))
+        *_firsts(*once), F.sum("partials").alias("partial_periods"), of("month", "years").alias("years"), *[of(g, record(periods=listed("entries"))).alias(name) for g, name in GRAINS.items()],
+        *[of(g, "size(entries)").alias(f"{g}s") for g in GRAINS], F.expr("first(denominator)").alias("records"),
+    )
+    sides = sides.withColumn("sentence", sentences.season_summary(F.expr(_named(MEASURES, "side"))))
+    incomplete = "transform(filter(transform(array_sort(array_distinct(years)), y -> struct(y AS year, size(filter(years, x -> x = y)) AS months)), y -> y.months < 12), y -> " + record(year=number("CAST(y.year AS INT)"), months_present=number("y.months")) + ")"
+    lacks = lambda f: f"CASE side {' '.join(f'WHEN {s!r} THEN {_missing(day, f)}' for s, day in SIDES.items())} END"
     body = record(
-        status=string("available"), measure=string(named(MEASURES)), date_field=string(named(SIDES)), span=record(first=string(F.col("first_day").cast("string")), last=string(F.col("last_day").cast("string"))),
-        records_used=number("denominator"), summary=string(sentences.season_summary(named(MEASURES))),
-        unavailable_parts=record(cancellation_share=F.when(~F.col("with_status"), lacks("is_canceled")), mean_price_per_night=F.when(~F.col("with_price"), lacks("price_per_night"))),
-        monthly=F.col("monthly"), iso_week=F.col("iso_week"), incomplete_years=listed(incomplete),
+        status=constant("available"), measure=string(_named(MEASURES, "side")), date_field=string(_named(SIDES, "side")), span=record(first=string("CAST(first_day AS STRING)"), last=string("CAST(last_day AS STRING)")),
+        records_used=number("denominator"), summary=string("sentence"),
+        unavailable_parts=record(cancellation_share=f"IF(with_status, NULL, {lacks('is_canceled')})", mean_price_per_night=f"IF(with_price, NULL, {lacks('price_per_night')})"),
+        monthly="monthly", iso_week="iso_week", incomplete_years=listed(incomplete),
     )
-    parts = _parts(sides, "side", body)
-    return parts.select("run", record(note=string(sentences.SEASON_NOTE), **{f"{s}s": F.coalesce(_part(s), _missing(f)) for s, f in SIDES.items()}).alias("findings"))
+    whole = record(note=constant(sentences.SEASON_NOTE), **{f"{s}s": _or(_part(s), _missing(f)) for s, f in SIDES.items()})
+    return _parts(sides, "side", body).select("run", F.expr(whole).alias("findings"))
 
 
 def _holiday_side(table: DataFrame, calendar: DataFrame, side: str, windows: tuple[int, ...], minimum: int) -> DataFrame:
     """(run, side JSON) of the runs that have days on this side."""
     days = holidays.classified(cube.per_day(table, side), calendar, windows)
-    block = lambda label, p: record(
-        figure=figure(label, f"{p}events", f"{p}days", is_small(F.col(f"{p}days"), minimum)), mean_per_day=number(holidays.mean_per_day(F.col(f"{p}events"), F.col(f"{p}days"))),
-        cancellation_share=figure("cancellation_share", f"{p}canceled", f"{p}known", is_small(F.col(f"{p}known"), minimum)) if side == "arrival" else F.lit(None).cast("string"),
-    )
     sums = holidays.tallies(holidays.usable_days(days), windows).withColumn("name", findings.group_name())
-    whole = F.col("weekday").isNull()
-    sums = sums.withColumns({"own": block(F.col("name"), ""), "base": block(F.when(whole, "baseline_same_weekdays").otherwise("baseline"), "base_")})
     statement = sentences.holiday_comparison(MEASURES[side], F.col("kind"), F.col("window_days"), holidays.direction_word(minimum), F.try_divide("events", "days"), F.try_divide("base_events", "base_days"))
-    total = record(group=F.col("own"), baseline_same_weekdays=F.col("base"), statement=string(statement))
-    per_weekday = record(weekday=string(holidays.weekday_name(F.col("weekday"))), group=F.col("own"), baseline=F.col("base"))
-    entry = F.when(F.col("kind") == "baseline", F.col("own")).when(whole, total).otherwise(per_weekday)
+    means = {f"{p}mean": holidays.mean_per_day(F.col(f"{p}events"), F.col(f"{p}days")) for p in ("", "base_")}
+    sums = sums.withColumns({"sentence": statement, "day_name": holidays.weekday_name(F.col("weekday"))} | means)
+    share = lambda p: {"cancellation_share": figure(constant("cancellation_share"), f"{p}canceled", f"{p}known", small(f"{p}known", minimum))} if side == "arrival" else {}
+    block = lambda label, p: record(figure=figure(label, f"{p}events", f"{p}days", small(f"{p}days", minimum)), mean_per_day=number(f"{p}mean"), **share(p))
+    base_name = f"IF(weekday IS NULL, {constant('baseline_same_weekdays')}, {constant('baseline')})"
+    sums = sums.withColumns({"own": F.expr(block(string("name"), "")), "base": F.expr(block(base_name, "base_"))})
+    total = record(group="own", baseline_same_weekdays="base", statement=string("sentence"))
+    per_weekday = record(weekday=string("day_name"), group="own", baseline="base")
+    entry = f"CASE WHEN kind = 'baseline' THEN own WHEN weekday IS NULL THEN {total} ELSE {per_weekday} END"
     groups = _gathered(sums, ["name"], ["weekday"], entry)  # the total is first, as its weekday is null
-    rest = F.slice("entries", 2, F.size("entries"))
-    # a group's own part without its braces is joined to the parts that come from its name
-    first = F.col("entries")[0]
-    shape = F.when(F.col("name") == "baseline", first).otherwise(F.concat(F.substr(first, F.lit(1), F.length(first) - 1), F.lit(',"by_weekday":'), listed(rest), F.lit("}")))
-    parts = _parts(groups, "name", shape)
+    parts = _parts(groups, "name", f"IF(name = 'baseline', entries[0], concat(left(entries[0], length(entries[0]) - 1), ',\"by_weekday\":', {listed('slice(entries, 2, size(entries))')}, '}}'))")
     nothing = lambda label: {"group": label, "numerator": 0, "denominator": 0, "small_sample": True}
     empty = lambda label: {"figure": nothing(label)} | ({"cancellation_share": nothing("cancellation_share")} if side == "arrival" else {})
 
-    def group(kind: str, window: int | None) -> Column:
+    def group(kind: str, window: int | None) -> str:
         name = kind if window is None else f"{kind}_{window}_days"
         subject = sentences.HOLIDAY_ITSELF if window is None else sentences.HOLIDAY_WINDOW % (window, kind)
         none = {"group": empty(name), "baseline_same_weekdays": empty("baseline_same_weekdays"), "statement": sentences.HOLIDAY_WITHHELD % subject, "by_weekday": []}
         head = json.dumps({"day_kind": kind, "window_days": window}, separators=(",", ":"))
-        return F.concat(F.lit(head[:-1] + ","), F.substr(F.coalesce(_part(name), constant(none)), F.lit(2)))
+        return f"concat('{head[:-1]},', substr({_or(_part(name), constant(none))}, 2))"
 
-    years = holidays.years_covered(days).groupBy("run").agg(
-        F.array_sort(F.collect_list(F.when(F.col("has_data"), F.col("year")))).alias("used"), F.array_sort(F.collect_list(F.when(~F.col("has_data"), F.col("year")))).alias("lacking"),
-        F.sum(F.when(F.col("has_data"), F.col("records")).otherwise(0)).alias("records_used"), F.sum(F.when(~F.col("has_data"), F.col("records")).otherwise(0)).alias("records_left"),
-        F.sum(F.when(~F.col("has_data"), F.col("days")).otherwise(0)).alias("days_left"),
+    years = days.where("year_records IS NOT NULL").groupBy("run", "year").agg(F.expr("bool_or(has_data)").alias("has_data"), F.max("year_records").alias("records"), F.count("*").alias("days"), F.min("day").alias("a"), F.max("day").alias("z"))
+    sum_of = lambda c, test: F.expr(f"sum(IF({test}, {c}, 0))")
+    years = years.groupBy("run").agg(
+        F.expr("array_sort(collect_list(IF(has_data, year, NULL)))").alias("used"), F.expr("array_sort(collect_list(IF(has_data, NULL, year)))").alias("lacking"), sum_of("records", "has_data").alias("records_used"),
+        sum_of("records", "NOT has_data").alias("records_left"), sum_of("days", "NOT has_data").alias("days_left"), F.expr("CAST(min(a) AS STRING)").alias("first"), F.expr("CAST(max(z) AS STRING)").alias("last"),
     )
-    span = days.groupBy("run").agg(F.min("day").cast("string").alias("first"), F.max("day").cast("string").alias("last"))
-    text = lambda ys: F.transform(ys, lambda y: y.cast("string"))
-    lacking = F.transform("lacking", lambda y: record(year=number(y), status=string("unavailable"), reason=string(F.concat(F.lit("The holiday calendar has no data for "), y.cast("string"), F.lit(".")))))
+    text = lambda ys: f"transform({ys}, y -> CAST(y AS STRING))"
+    lacking = "transform(lacking, y -> " + record(year=number("y"), status=constant("unavailable"), reason=string("concat('The holiday calendar has no data for ', CAST(y AS STRING), '.')")) + ")"
     body = record(
-        status=string("available"), measure=string(MEASURES[side]), date_field=string(SIDES[side]), span=record(first=string(F.col("first")), last=string(F.col("last"))), years_used=listed(text("used")),
+        status=constant("available"), measure=constant(MEASURES[side]), date_field=constant(SIDES[side]), span=record(first=string("first"), last=string("last")), years_used=listed(text("used")),
         years_unavailable=listed(lacking), records_used=number("records_used"), records_left_out_unavailable_years=number("records_left"), days_left_out_unavailable_years=number("days_left"),
-        holiday_days=group("holiday", None), windows=listed(F.array(*[group(k, w) for w in sorted(set(windows)) for k in ("before", "after")])),
-        baseline=F.coalesce(_part("baseline"), constant(empty("baseline"))),
+        holiday_days=group("holiday", None), windows=listed("array(" + ", ".join(group(k, w) for w in sorted(set(windows)) for k in ("before", "after")) + ")"), baseline=_or(_part("baseline"), constant(empty("baseline"))),
     )
-    none = unavailable(F.concat(F.lit(f"The holiday calendar has no data for any year in '{SIDES[side]}': "), F.array_join(text("lacking"), ", ")))
-    return years.join(span, "run").join(parts, "run", "left").select("run", (F.size("used") > 0).alias(f"{side}_works"), F.when(F.size("used") > 0, body).otherwise(none).alias(side))
+    reason = f"concat('The holiday calendar has no data for any year in \\'{SIDES[side]}\\': ', array_join({text('lacking')}, ', '))"
+    none = record(status=constant("unavailable"), reason=string(reason))
+    return years.join(parts, "run", "left").select("run", F.expr("size(used) > 0").alias(f"{side}_works"), F.expr(f"IF(size(used) > 0, {body}, {none})").alias(side))
 
 
 def holiday_findings(table: DataFrame, calendar: DataFrame, windows: tuple[int, ...], minimum: int) -> DataFrame:
     """(run, findings, reason): reason is set if neither side can be analyzed."""
     sides = [_holiday_side(table, calendar, s, windows, minimum) for s in SIDES]
-    both = sides[0].join(sides[1], "run", "full")
     body = record(
-        calendar=string("calendar table"), windows_days=constant(sorted(set(windows))), note=string(sentences.HOLIDAY_NOTE),
-        **{f: F.coalesce(F.col(s), _missing(f)) for s, f in SIDES.items()},
-    )
-    works = reduce(lambda a, b: a | b, [F.coalesce(f"{s}_works", F.lit(False)) for s in SIDES])
-    return both.select("run", body.alias("findings"), F.when(~works, "No date field could be analyzed against the holiday calendar.").alias("reason"))
+        calendar=constant("calendar table"), windows_days=constant(sorted(set(windows))), note=constant(sentences.HOLIDAY_NOTE), **{f: _or(s, _missing(f)) for s, f in SIDES.items()}
+    )
+    works = " OR ".join(f"coalesce({s}_works, false)" for s in SIDES)
+    reason = f"IF({works}, NULL, 'No date field could be analyzed against the holiday calendar.')"
+    return sides[0].join(sides[1], "run", "full").select("run", F.expr(body).alias("findings"), F.expr(reason).alias("reason"))
 
 
 def room_value_findings(table: DataFrame, minimum: int) -> DataFrame:
-    buckets = cube.stay_lengths(table, minimum)
-    label, once = F.col("group_label"), [F.first(c).alias(c) for c in ("denominator", "total_nights", "zero_night_records", "records_used")]
-    stays = _gathered(buckets.withColumn("place", F.array_position(F.array(*[F.lit(x) for x in ("1", "2", "3", "4-7", "8+")]), label)), [], ["place"], figure(label, "numerator", "denominator"), *once)
-    place = F.array_position(F.array(*[F.lit(x) for x in ("canceled", "not_canceled", "cancellation_status_unknown")]), label)
+    place = lambda labels: F.expr(f"array_position(array({', '.join(map(repr, labels))}), group_label)")
+    buckets = cube.stay_lengths(table, minimum).withColumn("place", place([x for x, _, _ in STAY_BUCKETS]))
+    stays = _gathered(buckets, [], ["place"], _LABELLED, *_firsts("denominator", "total_nights", "zero_night_records", "records_used"))
+    values = cube.values(table, minimum).withColumns(
+        {"place": place(["canceled", "not_canceled", "cancellation_status_unknown"]), "words": sentences.status_words(F.col("group_label")), "sentence": sentences.room_value_group(F.col("numerator"), F.col("group_label"), F.col("total"), F.col("mean"))}
+    )
     entry = record(
-        figure=figure(label, "numerator", "denominator"), cancellation_status=string(sentences.status_words(label)), count=number("numerator"), total=string(F.col("total")), mean=string(F.col("mean")),
-        zero_price_records=number("zero_price_records"), summary=string(sentences.room_value_group(F.col("numerator"), label, F.col("total"), F.col("mean"))),
-    )
-    sums = [F.first("denominator").alias("priced"), F.first("records_without_price").alias("without"), F.sum("zero_price_records").alias("zero"), F.bool_or(label == "cancellation_status_unknown").alias("unknown")]
-    value = _gathered(cube.values(table, minimum).withColumn("place", place), [], ["place"], entry, *sums).withColumnRenamed("entries", "value_entries")
+        figure=_LABELLED, cancellation_status=string("words"), count=number("numerator"), total=string("total"), mean=string("mean"), zero_price_records=number("zero_price_records"), summary=string("sentence")
+    )
+    sums = [F.expr("first(denominator)").alias("priced"), F.expr("first(records_without_price)").alias("without"), F.sum("zero_price_records").alias("zero"), F.expr("bool_or(group_label = 'cancellation_status_unknown')").alias("unknown")]
+    value = _gathered(values, [], ["place"], entry, *sums).withColumnRenamed("entries", "value_entries")
     any_price = table.where("kind = 'status'").groupBy("run").agg(F.sum("priced").alias("any_price"))
-    estimated = F.when(F.col("any_price") == 0, _missing("price_per_night")).otherwise(
-        record(
-            status=string("available"), unit=string(UNIT), label=string(sentences.ROOM_VALUE_LABEL), records_used=number(F.coalesce("priced", F.lit(0))), records_without_price=number(F.coalesce("without", "denominator")),
-            zero_price_records=number(F.coalesce("zero", F.lit(0))), groups=listed(F.coalesce("value_entries", F.array().cast("array<string>"))), note=F.when(F.col("unknown"), string(sentences.STATUS_UNKNOWN_NOTE)),
-        )
+    estimated = record(
+        status=constant("available"), unit=constant(UNIT), label=constant(sentences.ROOM_VALUE_LABEL), records_used=number("coalesce(priced, 0)"), records_without_price=number("coalesce(without, denominator)"),
+        zero_price_records=number("coalesce(zero, 0)"), groups=f"coalesce({listed('value_entries')}, '[]')", note=f"IF(unknown, {constant(sentences.STATUS_UNKNOWN_NOTE)}, NULL)",
     )
     body = record(
         estimate=constant({"notice_code": ESTIMATE[0], "label": sentences.ROOM_VALUE_LABEL, "unit": UNIT}), records_used=number("records_used"), zero_night_records=number("zero_night_records"),
-        length_of_stay=record(unit=string("nights"), records_used=number("denominator"), total_nights=number("total_nights"), buckets=listed(F.col("entries"))), estimated_value=estimated,
+        length_of_stay=record(unit=constant("nights"), records_used=number("denominator"), total_nights=number("total_nights"), buckets=listed("entries")),
+        estimated_value=f"IF(any_price = 0, {_missing('price_per_night')}, {estimated})",
     )
-    return stays.join(value, "run", "left").join(any_price, "run").select("run", body.alias("findings"))
+    return stays.join(value, "run", "left").join(any_price, "run").select("run", F.expr(body).alias("findings"))
 
 
 def guest_mix_findings(table: DataFrame, minimum: int) -> DataFrame:
-    omitted = record(status=string("omitted_small_sample"), statement=string(sentences.guest_mix_omitted(F.col("group_label"), F.col("numerator"))))
-    stated = record(status=string("available"), mean_length_of_stay=_mean("mean_nights", "nights_known", minimum, _NIGHTS_HELD), cancellation_share=_share(minimum), mean_price_per_night=_mean("mean_price", "priced", minimum, _PRICE_HELD))
-    entry = record(figure=figure(F.col("group_label"), "numerator", "denominator"), comparison=F.when(F.col("small_sample"), omitted).otherwise(stated))
-    groups = _gathered(cube.guests(table, minimum), ["attribute"], ["position"], entry, F.first("denominator").alias("used"))
-    parts = _parts(groups, "attribute", record(status=string("available"), records_used=number("used"), groups=listed(F.col("entries"))))
-    body = record(note=string(sentences.GUEST_MIX_NOTE), distributions=record(**{a: F.coalesce(_part(a), _missing(*guest_mix.needed(a))) for a in guest_mix.ATTRIBUTES}))
-    return parts.select("run", body.alias("findings"))
+    rows = cube.guests(table, minimum).withColumn("sentence", sentences.guest_mix_omitted(F.col("group_label"), F.col("numerator")))
+    omitted = record(status=constant("omitted_small_sample"), statement=string("sentence"))
+    stated = record(
+        status=constant("available"), mean_length_of_stay=_mean("mean_nights", "nights_known", minimum, _NIGHTS_HELD), cancellation_share=_share(minimum),
+        mean_price_per_night=_mean("mean_price", "priced", minimum, _PRICE_HELD),
+    )
+    groups = _gathered(rows, ["attribute"], ["position"], record(figure=_LABELLED, comparison=f"IF(small_sample, {omitted}, {stated})"), *_firsts("denominator"))
+    parts = _parts(groups, "attribute", record(status=constant("available"), records_used=number("denominator"), groups=listed("entries")))
+    body = record(note=constant(sentences.GUEST_MIX_NOTE), distributions=record(**{a: _or(_part(a), _missing(*guest_mix.needed(a))) for a in guest_mix.ATTRIBUTES}))
+    return parts.select("run", F.expr(body).alias("findings"))
 
 
 # ---- the whole
@@ -280,22 +293,20 @@ def analyses(table: DataFrame, calendar: DataFrame, windows: tuple[int, ...] = h
 
 def quality_part(table: DataFrame, duplicates: DataFrame) -> DataFrame:
     """(run, record_count, invalid, data_quality JSON); duplicates is (run, duplicates)."""
-    day = F.date_from_unix_date(F.col("number").cast("int")).cast("string")
-    of = lambda side, f: f(F.when(F.col("kind") == side, day))
+    day = lambda f, side: F.expr(f"CAST(date_from_unix_date(CAST({f}(IF(kind = '{side}', number, NULL)) AS INT)) AS STRING)")
     facts = table.groupBy("run").agg(
-        F.sum(F.when(F.col("kind") == "status", F.col("n"))).alias("record_count"), F.sum(F.when(F.col("kind") == "status", F.col("zero_prices"))).alias("zero_prices"),
-        *[of(side, f).alias(f"{word}_{side}") for side in SIDES for word, f in (("earliest", F.min), ("latest", F.max))],
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "unknown", F.col("label")))).alias("unknown"),
+        F.expr("sum(IF(kind = 'status', n, 0))").alias("record_count"), F.expr("sum(IF(kind = 'status', zero_prices, 0))").alias("zero_prices"),
+        *[day(f, side).alias(f"{word}_{side}") for side in SIDES for word, f in (("earliest", "min"), ("latest", "max"))], F.expr("array_sort(collect_set(IF(kind = 'unknown', label, NULL)))").alias("unknown"),
     )
-    pairs = lambda c: F.array_sort(F.collect_list(F.concat(string(F.col("field")), F.lit(":"), F.col(c).cast("string")))).alias(c)
+    pairs = lambda c: F.expr(f"concat('{{', array_join(array_sort(collect_list(concat({string('field')}, ':', CAST({c} AS STRING)))), ','), '}}')").alias(c)
     counted = cube.field_counts(table).groupBy("run").agg(pairs("missing"), pairs("invalid"), F.sum("invalid").alias("invalid_cells"))
-    braced = lambda c: F.concat(F.lit("{"), F.array_join(c, ","), F.lit("}"))
     body = record(
-        record_count=number("record_count"), **{f"{word}_{side}_date": string(F.col(f"{word}_{side}")) for side in SIDES for word in ("earliest", "latest")},
-        duplicate_booking_id_count=number(F.coalesce("duplicates", F.lit(0))), missing_counts=braced("missing"), invalid_counts=braced("invalid"), zero_price_count=number("zero_prices"),
-        unknown_fields=listed(F.transform("unknown", string)),
+        record_count=number("record_count"), **{f"{word}_{side}_date": string(f"{word}_{side}") for side in SIDES for word in ("earliest", "latest")},
+        duplicate_booking_id_count=number("coalesce(duplicates, 0)"), missing_counts="missing", invalid_counts="invalid", zero_price_count=number("zero_prices"),
+        unknown_fields=listed(f"transform(unknown, f -> {string('f')})"),
     )
-    return facts.join(counted, "run").join(duplicates, "run", "left").select("run", "record_count", F.col("invalid_cells").alias("invalid"), body.alias("data_quality"))
+    rows = facts.join(counted, "run").join(duplicates, "run", "left")
+    return rows.select("run", "record_count", F.col("invalid_cells").alias("invalid"), F.expr(body).alias("data_quality"))
 
 
 def duplicate_ids(bookings: DataFrame, run: Column) -> DataFrame:
@@ -319,20 +330,22 @@ def documents(
     quality_ = quality_part(table, duplicate_ids(bookings, run))
     state = quality.assessed(cube.field_counts(table)).select("run", "analysis", F.col("status").alias("own"), F.col("reason").alias("own_reason"))
     parts = state.join(analyses(table, calendar, windows, minimum), ["run", "analysis"], "left")
-    fails = (F.col("own") == "unavailable") | F.col("reason").isNotNull()
-    body = record(status=F.when(fails, string("unavailable")).otherwise(string("available")), reason=string(F.coalesce("own_reason", "reason")), findings=F.when(F.col("own") == "unavailable", F.lit("{}")).otherwise(F.coalesce("findings", F.lit("{}"))))
-    entries = F.array_join(F.array_sort(F.collect_list(F.concat(string(F.col("analysis")), F.lit(":"), body))), ",")
-    whole = parts.groupBy("run").agg(F.concat(F.lit("{"), entries, F.lit("}")).alias("analyses"), F.bool_or(fails).alias("lacking"))
+    fails = "(own = 'unavailable' OR reason IS NOT NULL)"
+    body = record(
+        status=f"IF({fails}, {constant('unavailable')}, {constant('available')})", reason=string("coalesce(own_reason, reason)"), findings="IF(own = 'unavailable', '{}', coalesce(findings, '{}'))"
+    )
+    entries = f"concat('{{', array_join(array_sort(collect_list(concat({string('analysis')}, ':', {body}))), ','), '}}')"
+    whole = parts.groupBy("run").agg(F.expr(entries).alias("analyses"), F.expr(f"bool_or({fails})").alias("lacking"))
     said = [*notices, ESTIMATE]
     warned = any(code in quality.WARNING_NOTICES for code, _ in said)
     status = F.when(F.col("lacking") | (F.col("invalid") > 0) | F.lit(warned), "completed_with_warnings").otherwise("completed")
     rows = quality_.join(whole, "run").join(runs, "run").withColumn("status", status)
     document = record(
-        schema_version=string(SCHEMA_VERSION), result_id=string(F.col("result_id")), generated_at=string(F.col("generated_at")), status=string(F.col("status")),
-        input=record(source=string(F.col("source")), reference=string(F.col("reference")), record_count=number("record_count"), content_sha256=string(F.col("content_sha256"))),
-        data_quality=F.col("data_quality"), analyses=F.col("analyses"), notices=constant([{"code": c, "message": m} for c, m in said]),
+        schema_version=constant(SCHEMA_VERSION), result_id=string("result_id"), generated_at=string("generated_at"), status=string("status"),
+        input=record(source=string("source"), reference=string("reference"), record_count=number("record_count"), content_sha256=string("content_sha256")),
+        data_quality="data_quality", analyses="analyses", notices=constant([{"code": c, "message": m} for c, m in said]),
     )
-    return rows.select("run", "result_id", "generated_at", "status", document.alias("document"))
+    return rows.select("run", "result_id", "generated_at", "status", F.expr(document).alias("document"))
 
 
 def of_file(
