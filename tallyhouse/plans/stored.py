@@ -209,7 +209,17 @@ def _limits() -> str:
   UNION ALL SELECT result_id, unnest([count(*), CASE side WHEN 'arrival_date' THEN CAST(sum(known) AS BIGINT) END]) < 30, false FROM daily WHERE kind = 'baseline' GROUP BY result_id, side"""),
     }
     parts = " UNION ALL ".join(f"SELECT * FROM (WITH {cte + ', ' if cte else ''}out_{name} AS ({sql}) SELECT * FROM out_{name})" for name, (cte, sql) in small.items())
-    bare = "SELECT result_id, 'unavailable' AS kind, 'holidays / findings / ' || side || ' / years_unavailable' AS path, 'The holiday calendar has no data for ' || y || '.' AS reason, 1 AS times FROM (WITH " + HOLIDAYS + " SELECT result_id, side, y FROM yr WHERE NOT has_data)"
+    held = {"cancellation_share": "a valid ''is_canceled''", "mean_price_per_night": "a valid ''price_per_night''", "mean_length_of_stay": "valid night counts"}
+    says = lambda part: f"'No record in the group holds {held[part]}.' AS reason"
+    period = "SELECT DISTINCT result_id, 'seasonality / findings / ' || series || ' / ' || grain || ' / periods / {0}' AS path, {1} FROM t WHERE {2} = 0"
+    group = "SELECT DISTINCT result_id, 'guest_mix / findings / distributions / ' || attribute || ' / groups / comparison / {0}' AS path, {1} FROM s WHERE n >= 30 AND {2} = 0"
+    gone = [
+        (HOLIDAYS, "SELECT DISTINCT result_id, 'holidays / findings / ' || side || ' / years_unavailable' AS path, 'The holiday calendar has no data for ' || y || '.' AS reason FROM yr WHERE NOT has_data"),
+        (SEASON, period.format("cancellation", says("cancellation_share"), "known")),
+        (SEASON, period.format("mean_price_per_night", says("mean_price_per_night"), "priced")),
+        *((MIX, group.format(part, says(part), c)) for part, c in (("mean_length_of_stay", "nk"), ("cancellation_share", "known"), ("mean_price_per_night", "p"))),
+    ]
+    bare = " UNION ALL ".join(f"SELECT result_id, 'unavailable' AS kind, path, reason, 1 AS times FROM (WITH {cte}, g{i} AS ({sql}) SELECT * FROM g{i})" for i, (cte, sql) in enumerate(gone))
     return f"""WITH {RUNS}, f AS ({parts}), u AS ({bare}),
 c AS (SELECT result_id, 'small_samples' AS kind, count(*) FILTER (WHERE small) AS times FROM f GROUP BY result_id UNION ALL SELECT result_id, 'partial_periods', count(*) FILTER (WHERE part) FROM f GROUP BY result_id)
 SELECT result_id, kind, path, reason, CAST(times AS BIGINT) AS times FROM u UNION ALL SELECT result_id, kind, NULL, NULL, times FROM c"""
