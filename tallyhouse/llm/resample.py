@@ -26,6 +26,8 @@ from tallyhouse.llm.fim import draws
 
 #: Words of more bytes are hashed one by one.
 LONG = 48
+#: Bytes of text that are looked at together: a word takes some hundred bytes of arrays.
+SLAB = 4 << 20
 
 #: Bytes of words: digits, small letters, and all bytes beyond ASCII; capitals are made small first.
 _SMALL = np.arange(256, dtype=np.uint8)
@@ -115,7 +117,7 @@ def _counts(total: np.ndarray) -> pa.RecordBatch:
 def _line_counts(batches: Iterator[pa.RecordBatch], longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Bucket counts of distinct lines, each times its occurrences."""
     total = np.zeros(buckets, np.int64)
-    for slab in slabs(batches, 0):
+    for slab in slabs(batches, 0, SLAB):
         times = slab.column(1).to_numpy(zero_copy_only=False)
         words = Words(*view(slab.column(0)))
         for first, _, crc in words.runs(longest):
@@ -126,7 +128,7 @@ def _line_counts(batches: Iterator[pa.RecordBatch], longest: int, buckets: int)
 def _crossing_counts(batches: Iterator[pa.RecordBatch], longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Bucket counts of the runs of words that do not lie in one line of their text."""
     total = np.zeros(buckets, np.int64)
-    for slab in slabs(batches, 0):
+    for slab in slabs(batches, 0, SLAB):
         data, offsets = view(slab.column(0))
         words = Words(data, offsets)
         line = np.searchsorted(np.flatnonzero(data == 10), words.begin)
@@ -156,7 +158,7 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int = 10_000) -> np.nda
 
 
 def _weights(batches: Iterator[pa.RecordBatch], gain: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    for slab in slabs(batches, 1):
+    for slab in slabs(batches, 1, SLAB):
         words = Words(*view(slab.column(1)))
         count, total = np.zeros((2, len(slab)), np.int64)
         for first, _, crc in words.runs(longest):
