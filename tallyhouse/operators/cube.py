@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.columns import (
-    BOOKING_CHANGE_CAP, LEAD_TIME_BANDS, MIN_GROUP_SIZE, SPECIAL_REQUEST_CAP, STAY_BUCKETS, band, capped, full_status_label, is_small, mean_half_up, month_bounds, month_key, plain, status_label, week_bounds, week_key,
+    BOOKING_CHANGE_CAP, LEAD_TIME_BANDS, MIN_GROUP_SIZE, SPECIAL_REQUEST_CAP, STAY_BUCKETS, band, capped, full_status_label, is_small, mean_half_up, month_bounds, month_key, plain, week_bounds, week_key,
 )
 from tallyhouse.operators import guest_mix
 from tallyhouse.sources.bookings import FIELDS, KINDS

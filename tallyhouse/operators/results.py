@@ -128,16 +128,6 @@ def documents(figures: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     return lists.join(shown, "analysis", "left").select("analysis", F.to_json(body).alias("doc"))
 
 
-def envelope(documents: DataFrame, status: DataFrame, quality: DataFrame, result_id: str, generated_at: str) -> DataFrame:
-    """(result_id, document): the whole result of a run."""
-    analyses = documents.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("analysis", "doc")))).alias("analyses"))
-    body = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(result_id).alias("result_id"), F.lit(generated_at).alias("generated_at"), "status",
-        F.struct(F.lit("bookings").alias("source")).alias("input"), F.struct(*quality.columns).alias("data_quality"), "analyses", F.array().cast("array<string>").alias("notices"),
-    )
-    return analyses.join(F.broadcast(status.select("status"))).join(F.broadcast(quality)).select(F.lit(result_id).alias("result_id"), F.to_json(body).alias("document"))
-
-
 def failed(issues: DataFrame) -> DataFrame:
     """(position, document) of inputs that gave no result: their code, and no analyses. Never stored."""
     body = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("failed").alias("status"), F.struct("code").alias("error"))

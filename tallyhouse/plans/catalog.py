@@ -11,7 +11,7 @@ from tallyhouse.functions.columns import STAY_BUCKETS
 from tallyhouse.operators import cancellations, findings, guest_mix, holidays, lead_time, parsing, quality, results, room_value, seasonality, sentences, text_audit, views
 from tallyhouse.operators.figures import valid
 from tallyhouse.plans import oracles as o
-from tallyhouse.plans.registry import BOTH_DATES, ORACLES, QUERIES, on_bookings, on_history, on_lines, query, with_calendar
+from tallyhouse.plans.registry import BOTH_DATES, ORACLES, on_bookings, on_history, on_lines, query, with_calendar
 from tallyhouse.sources import bookings, raw
 
 # ---- lead times
