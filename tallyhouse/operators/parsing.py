@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.sources.arrays import array_objects
 from tallyhouse.sources.bookings import FIELDS, KINDS, TYPES
 from tallyhouse.sources.raw import table_of
 
@@ -180,23 +181,18 @@ class InputError(ValueError):
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """(position, line) of the objects of one JSON array in a file; the file is one value, so large inputs belong in JSON Lines."""
+    """(position, line) of the objects of the JSON array in a file of any size, read by byte ranges; refused as a whole if it is no array of objects."""
     try:
-        whole = spark.read.text(path, wholetext=True)
-        kind = whole.select(F.schema_of_variant(F.try_parse_json("value")).alias("k")).first()
+        found, faults = array_objects(spark, path)
     except Exception as e:
         code = "INPUT_NOT_FOUND" if "PATH_NOT_FOUND" in str(e) else "INPUT_UNREADABLE"
         raise InputError(code, path) from e
-    if kind is None or kind.k is None:
-        raise InputError("INPUT_INVALID_JSON", path)
-    if not kind.k.startswith("ARRAY"):
-        raise InputError("INPUT_NOT_ARRAY", path)
-    items = whole.select(F.posexplode(F.variant_get(F.parse_json("value"), "$", "array<variant>")).alias("position", "item"))
-    if items.isEmpty():
+    for code in ("INPUT_INVALID_JSON", "INPUT_NOT_ARRAY", "RECORD_NOT_OBJECT"):
+        if faults.get(code):
+            raise InputError(code, path)
+    if "INPUT_EMPTY" in faults and found.isEmpty():
         raise InputError("INPUT_EMPTY", path)
-    if not items.where(~F.schema_of_variant("item").startswith("OBJECT")).isEmpty():
-        raise InputError("RECORD_NOT_OBJECT", path)
-    return items.select(F.col("position").cast("bigint").alias("position"), F.to_json("item").alias("line"))
+    return found.select("position", "line")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tallyhouse.operators import cancellations, findings, guest_mix, holidays, l
 from tallyhouse.operators.figures import valid
 from tallyhouse.plans import oracles as o
 from tallyhouse.plans.registry import BOTH_DATES, ORACLES, on_bookings, on_history, on_lines, query, with_calendar
-from tallyhouse.sources import bookings, raw
+from tallyhouse.sources import arrays, bookings, raw
 
 # ---- lead times
 
@@ -172,6 +172,19 @@ query("scan_csv_records", f"WITH {o.CSV} SELECT c[1] AS booking_id, nullif(c[2],
 query("parse_csv_records", o.CSV_ROWS)(
     lambda spark, sf_dir: parsing.parse_csv(_csv(spark, sf_dir)).select("booking_id", "is_canceled", "lead_time", "booking_date", "meal", "price_per_night", F.array_join("invalid_fields", ",").alias("invalid_fields"))
 )
+
+
+@query("json_array_records", o.ARRAYS)
+def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of the raw lines, stored as JSON arrays in one file per 100,000 keys, as an export is, and read back by byte ranges."""
+    path = raw.scratch(spark, "arrays")
+    objects = raw.json_lines(spark, sf_dir).where(F.startswith("line", F.lit("{"))).withColumn("shard", F.floor(F.col("position") / 100000))
+    arrays.write_arrays(objects, "shard", path)
+    found, _ = arrays.array_objects(spark, path)
+    shard = F.regexp_extract("file", r"shard=(\d+)/", 1).cast("bigint")
+    return found.select(shard.alias("shard"), "position", "line", F.get_json_object("line", "$.booking_id").cast("bigint").alias("booking_id"))
+
+
 query("input_fingerprint")(lambda spark, sf_dir: parsing.input_fingerprint(spark, f"{sf_dir}/orders.parquet"))
 
 # ---- results and history

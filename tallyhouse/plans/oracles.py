@@ -136,6 +136,8 @@ def comparison(day: str, with_status: bool) -> str:
 
 LINES = f"raw AS (SELECT o_orderkey AS position, line, TRY_CAST(CASE WHEN json_valid(line) THEN line END AS JSON) AS j FROM (SELECT o_orderkey, ({JSON_LINE.replace('k %', 'o_orderkey %').replace('cast(k ', 'cast(o_orderkey ')}) AS line FROM orders))"
 
+ARRAYS = f"WITH {LINES} SELECT position // 100000 AS shard, row_number() OVER (PARTITION BY position // 100000 ORDER BY position) - 1 AS position, line, CAST(json_extract_string(j, '$.booking_id') AS BIGINT) AS booking_id FROM raw WHERE json_type(j) = 'OBJECT'"
+
 
 def json_cell(name: str) -> tuple[str, str]:
     """(value, is missing) of a field of the raw JSON lines."""
