@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,9 +230,58 @@ def with_valid_records(parsed: DataFrame) -> DataFrame:
     return parsed
 
 
-def input_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256) of each input file's bytes."""
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+def _digests():
+    """The digest of files from their lines; a function inside one, so that executors need no copy of this module."""
+
+    def run(batches):
+        """SHA-256 of each file from its lines in order."""
+        name, size, count, plain, marked = None, 0, 0, None, None
+
+        def done():
+            # what the lines do not show of a file: its last line break, and a byte order mark, which the reader passes over
+            rest = size - count
+            digest = {0: plain, 1: plain, 3: marked, 4: marked}.get(rest)
+            if digest is None:
+                raise ValueError(f"{name}: the bytes read are not the file's; is it compressed?")
+            if rest in (1, 4):
+                digest.update(b"\n")
+            return pa.RecordBatch.from_pydict({"file": [name.rsplit("/", 1)[-1]], "sha256": [digest.hexdigest()]})
+
+        for batch in batches:
+            for path, length, line in zip(batch["path"].to_pylist(), batch["size"].to_pylist(), batch["line"].to_pylist(), strict=True):
+                if path == name:
+                    line = b"\n" + line
+                else:
+                    if name is not None:
+                        yield done()
+                    name, size, count, plain, marked = path, length, 0, hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")
+                plain.update(line)
+                marked.update(line)
+                count += len(line)
+        if name is not None:
+            yield done()
+
+    return run
+
+
+def input_fingerprint(spark: SparkSession, path: str, at_once: int = 1 << 28) -> DataFrame:
+    """(file, sha256) of each input file's bytes.
+
+    A file of up to at_once bytes is one value. A larger one is read by byte ranges, its lines are sorted by their place
+    (Spark spills them), and one digest takes them in as they stream past: its task holds a batch of lines, however
+    large the file. Larger files that Spark would decompress, and lines beyond 2 GB, fail.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= at_once).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    large = [r.path for r in files.where(F.col("length") > at_once).select("path").collect()]  # names only
+    if not large:
+        return small
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(large).select(
+        meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line")
+    )
+    ordered = lines.repartition("path").sortWithinPartitions("path", "block", "at").select("path", "size", "line")
+    return small.unionByName(ordered.mapInArrow(_digests(), "file string, sha256 string"))
 
 
 def input_digest(spark: SparkSession, path: str) -> str:

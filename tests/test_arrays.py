@@ -1,11 +1,12 @@
 """JSON arrays read by byte ranges, against a whole reading of the same file."""
 
+import hashlib
 import json
 import random
 
 import pytest
 
-from tallyhouse.operators.parsing import InputError, read_json_array
+from tallyhouse.operators.parsing import InputError, input_fingerprint, read_json_array
 
 
 @pytest.fixture
@@ -77,3 +78,15 @@ def test_bytes_that_are_no_text(spark, tmp_path):
     with pytest.raises(InputError) as e:
         read_json_array(spark, str(path))
     assert e.value.code == "INPUT_INVALID_JSON"
+
+
+@pytest.mark.parametrize("size", [60, 1 << 20])
+def test_digests_of_files_read_in_ranges(spark, tmp_path, tiny, size):
+    rng = random.Random(size)
+    contents = [b"a\nb", b"a\nb\n", b"\n", b"\n\n\nx", b"\xef\xbb\xbfa\nb", b"\xef\xbb\xbfa\n", b"a\r\nb\r", rng.randbytes(900), bytes(rng.choices(b"\n\r\x00ab\xff", k=400))]
+    for i, content in enumerate(contents):
+        (tmp_path / f"f{i}").write_bytes(content)
+    tiny(size)
+    wanted = {f"f{i}": hashlib.sha256(c).hexdigest() for i, c in enumerate(contents)}
+    for at_once in (0, 5, 1 << 28):
+        assert {r.file: r.sha256 for r in input_fingerprint(spark, str(tmp_path), at_once).collect()} == wanted
