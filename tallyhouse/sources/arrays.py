@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.sources.raw import table_of
+from tallyhouse.sources.raw import remove, scratch, table_of
 
 _WHITE = r"[ \t\r\n]*"
 _OBJECT_FIRST, _OBJECT_NEXT = rf"^{_WHITE}\[{_WHITE}\{{", rf"^{_WHITE},{_WHITE}\{{"
@@ -136,8 +136,22 @@ def array_objects(spark: SparkSession, path: str) -> tuple[DataFrame | None, dic
     without an inner one is a piece of its own; pieces of others meet by (file, position), so one object is one value and
     a file is not. The text is shuffled once, by byte range.
     """
-    pieces = table_of(_pieces(spark, path), "array-pieces")
-    ranges = table_of(_ranges(pieces), "array-ranges")
+    root = scratch(spark, "array")
+    stored = {}
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        stored[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
+        return stored[name]
+
+    try:
+        return _objects(table(_pieces(spark, path), "pieces"), table(_ranges(stored["pieces"]), "ranges"))
+    finally:
+        remove(spark, root)
+
+
+def _objects(pieces: DataFrame, ranges: DataFrame) -> tuple[DataFrame | None, dict[str, int]]:
+    """array_objects() of the pieces and ranges; the objects are a table of their own, which needs neither."""
     rows = _placed(pieces, ranges)
     faults = _faults(rows)
     if not faults:
