@@ -42,37 +42,44 @@ def op2_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of every document lies in sequences of at most 2,048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the windows of 35 words that start anywhere else too."""
     out = substring.remove_repeats(_table(spark, sf_dir, "documents"), width=35)
     words = F.trim(F.regexp_replace("kept_text", f"{SPACE_CLASS}+", " "))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every document, of those that are equal without white space."""
     out = exact.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, learned from labels of rows that are not held out."""
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0))  # a row without an id is not held out, nor labelled
     out = toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), usable=fold != 1)
     return out.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the component of fingerprints within two bits."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, max_bits=2, seed=42)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for each query among all rows."""
     vectors = _table(spark, sf_dir, "embeddings")
     return forest.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and the text that they give back, as digests."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
     written = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
@@ -80,6 +87,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record, read back from the written bundles."""
     archives = warc.write_bundles(warc.records(_table(spark, sf_dir, "pages")), fresh_path(spark, "warc"))
     return warc.read_bundles(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
