@@ -17,6 +17,7 @@ _EDGES = " \t\n\x0b\f\r"
 
 
 def _date(text: Column, pattern: str, shape: str) -> Column:
+    # the shape has no month or day that no date has: a refused text costs an exception
     day = F.try_to_date(F.when(text.rlike(shape), text), pattern)
     return F.when(F.year(day) >= 1, day)
 
@@ -53,7 +54,7 @@ def _value(of_kind: str, kind: Column, text: Column, exact: Column) -> Column:
     if of_kind == "boolean":
         return F.when(kind == "BOOLEAN", text == "true").when(number.isin(0, 1), number == 1)
     if of_kind == "date":
-        return F.when(is_text, _date(text, "yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"))
+        return F.when(is_text, _date(text, "yyyy-MM-dd", r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$"))
     double = text.try_cast("double")
     rounded = double.try_cast(TYPES["decimal"])
     amount = F.when(is_integer | kind.startswith("DECIMAL"), _amount(text)).when((kind == "DOUBLE") & (rounded.cast("double") == double), rounded)
@@ -84,29 +85,33 @@ def cell(record: Column, name: str, line: Column) -> tuple[Column, Column, Colum
 def parse_json(lines: DataFrame, line: str = "line", with_issue: bool = False) -> DataFrame:
     """lines with one typed column per field, and the names of missing, of invalid and of unknown fields.
 
-    A line that is no JSON object has all fields missing; with_issue adds the code of load_issues() or BLANK as issue. Fields of one kind are read by one function over all of them,
-    not by one expression each, so the generated code stays small enough for the JVM to compile.
+    A line that is no JSON object has all fields missing; with_issue adds the code of load_issues() or BLANK as issue.
+    Each step has a function with a lambda, which Spark keeps out of whole-stage code: the fields' expressions are then
+    generated as many small methods, which the JVM compiles, and not as a large one, which it does not.
     """
     rows = lines.withColumn("_record", _record(F.col(line)))
     blank = F.coalesce(F.trim(line) == "", F.lit(True))
     issue = F.when(blank, "BLANK").when(F.col("_record").isNull(), F.when(F.try_parse_json(line).isNull() | F.startswith(F.ltrim(line, F.lit(" \t\r\n")), F.lit("{")), "RECORD_INVALID_JSON").otherwise("RECORD_NOT_OBJECT"))
     more = [issue.alias("issue")] if with_issue else []
-    by_kind = {kind: [f for f in FIELDS if KINDS[f] == kind] for kind in TYPES}
-
-    def seen(names: list[str], kind: str) -> Column:
-        cells = F.array(*[F.struct(F.lit(n).alias("name"), F.variant_get("_record", f"$.{n}", "variant").alias("v")) for n in names])
-        typed = F.transform(cells, lambda c: F.struct(c["name"].alias("name"), *[x.alias(a) for x, a in zip(_seen(c["v"]), ("kind", "text"), strict=True)]))
-        typed = F.transform(typed, lambda c: F.struct(c["name"].alias("name"), _is_missing(c["kind"], c["text"]).alias("missing"), _value(kind, c["kind"], c["text"], _exact(F.col(line), c["name"])).alias("value")))
-        return F.transform(typed, lambda c: F.struct(c["name"].alias("name"), c["missing"].alias("missing"), F.when(~c["missing"], c["value"]).cast(TYPES[kind]).alias("value")))
-
-    keys = F.map_keys(F.try_variant_get("_record", "$", "map<string,variant>"))
-    unknown = F.coalesce(F.array_sort(F.array_except(keys, F.array(*map(F.lit, FIELDS)))), F.array().cast("array<string>"))
-    rows = rows.select(*lines.columns, *[seen(names, kind).alias(f"_{kind}") for kind, names in by_kind.items()], unknown.alias("unknown_fields"), *more)
-    state = F.concat(*[F.transform(f"_{kind}", lambda c: F.struct(c["name"].alias("name"), c["missing"].alias("missing"), c["value"].isNull().alias("none"))) for kind in by_kind])
-    names = lambda test: F.array_sort(F.transform(F.filter(state, test), lambda c: c["name"]))
-    missing, invalid = names(lambda c: c["missing"]), names(lambda c: ~c["missing"] & c["none"])
-    values = {f: F.col(f"_{kind}")[i]["value"] for kind, own in by_kind.items() for i, f in enumerate(own)}
-    return rows.select(*lines.columns, *[values[f].alias(f) for f in FIELDS], missing.alias("missing_fields"), invalid.alias("invalid_fields"), "unknown_fields", *(["issue"] if with_issue else []))
+    issued = ["issue"] if with_issue else []
+    # by one map of all fields: a variant looks each name up by a walk through its own
+    rows = rows.select(*lines.columns, F.try_variant_get("_record", "$", "map<string,variant>").alias("_fields"), *more)
+    known = F.array(*map(F.lit, FIELDS))
+    unknown = F.coalesce(F.sort_array(F.array_except(F.map_keys("_fields"), known)), F.array().cast("array<string>"))
+    seen = {f: _seen(F.try_element_at("_fields", F.lit(f))) for f in FIELDS}
+    some = F.coalesce(F.exists(F.map_keys("_fields"), lambda name: name.isNotNull()), F.lit(False))
+    rows = rows.select(*lines.columns, some.alias("_some"), *[x.alias(f"_{part}_{f}") for f in FIELDS for part, x in zip(("kind", "text"), seen[f], strict=True)], unknown.alias("unknown_fields"), *issued)
+    missing = {f: ~F.col("_some") | _is_missing(F.col(f"_kind_{f}"), F.col(f"_text_{f}")) for f in FIELDS}
+    value = {f: F.when(~missing[f], _value(KINDS[f], F.col(f"_kind_{f}"), F.col(f"_text_{f}"), _exact(F.col(line), f))).cast(TYPES[KINDS[f]]) for f in FIELDS}
+    # a row's number keeps filters on values above this step: moved below, they would parse a line once for each of its uses
+    given = F.exists(F.array("_some"), lambda x: x) & (F.monotonically_increasing_id() >= 0)
+    rows = rows.select(*lines.columns, given.alias("_some"), *[value[f].alias(f"_value_{f}") for f in FIELDS], *[missing[f].alias(f"_no_{f}") for f in FIELDS], "unknown_fields", *issued)
+    # in the order of FIELDS, which is that of their names
+    names = lambda test: F.array_remove(F.array(*[F.when(test(f), F.lit(f)).otherwise("") for f in FIELDS]), "")
+    listed = {"missing_fields": names(lambda f: F.col(f"_no_{f}")), "invalid_fields": names(lambda f: ~F.col(f"_no_{f}") & F.col(f"_value_{f}").isNull())}
+    all_ = F.exists(F.array("_some"), lambda x: x)
+    listed["missing_fields"] = F.when(all_, listed["missing_fields"]).otherwise(known)
+    return rows.select(*lines.columns, *[F.when(F.col("_some"), F.col(f"_value_{f}")).alias(f) for f in FIELDS], *[c.alias(n) for n, c in listed.items()], "unknown_fields", *issued)
 
 
 def load(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -145,7 +150,7 @@ def csv_cell(column: Column, name: str) -> tuple[Column, Column, Column]:
     elif kind == "boolean":
         value = F.when(F.lower(text).isin("1", "true"), True).when(F.lower(text).isin("0", "false"), False)
     elif kind == "date":
-        value = _date(text, "dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$")
+        value = _date(text, "dd-MM-yyyy", r"^(0[1-9]|[12]\d|3[01])-(0[1-9]|1[0-2])-\d{4}$")
     else:
         amount = F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), _amount(text))
         value = F.when(amount >= 0, amount)
