@@ -36,11 +36,22 @@ FIELDS = sorted(KINDS)
 TYPES = {"text": "string", "identifier": "string", "integer": "bigint", "boolean": "boolean", "date": "date", "decimal": "decimal(18,6)"}
 
 
-def from_orders(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    """One booking per order, with customer and nation attributes, and columns of the order to keep. Nulls, zeros, mismatches and repeated ids are part of the mapping."""
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt evenly over as many tasks as a shuffle has.
+
+    For narrow rows before costly work on each: a table of a few bytes a row has few files, row groups or shuffled
+    partitions, and would leave that work to as few tasks.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def from_orders(spark: SparkSession, sf_dir: str, *keep: str, costly: bool = False) -> DataFrame:
+    """One booking per order, with customer and nation attributes, and columns of the order to keep. Nulls, zeros, mismatches and repeated ids are part of the mapping. costly says that much work on each booking follows."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     # an order without a customer or nation is a booking without their attributes
     joined = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    if costly:
+        joined = spread(joined.select(*dict.fromkeys(("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "o_totalprice", *keep)), "c_mktsegment", "n_name"))
     k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     gap = (k * 7 + (k % 13) * 11) % 260
     unless = lambda m, value: F.when(k % m != 0, value)
