@@ -174,10 +174,15 @@ def facts(findings: DataFrame, text: str = "findings_text") -> DataFrame:
 
 def finding_words(findings: DataFrame, text: str = "findings_text") -> DataFrame:
     """findings with causal_words: the causal words in any key or string of a JSON text, in list order. What is no JSON has none."""
+    low = F.lower(F.col(text))
+    # a word is in the text itself, or written with escapes; other texts need no walk
+    likely = _any(CAUSAL_WORDS, lambda w: F.contains(low, w)) | F.contains(F.col(text), F.lit("\\"))
     seen = descent.nodes(F.try_parse_json(text), descent.levels(F.col(text)), lambda n: F.lit(False))
     own = F.flatten(F.transform(seen, lambda n: F.array(n["key"], F.when(F.schema_of_variant(n["value"]) == "STRING", F.try_variant_get(n["value"], "$", "string")))))
-    strings = F.transform(F.filter(own, lambda s: s.isNotNull()), F.lower)
-    return findings.withColumn("causal_words", F.filter(F.array(*map(F.lit, CAUSAL_WORDS)), lambda w: F.exists(strings, lambda s: F.contains(s, w))))
+    # one text, so that it is made once and not for every word; no word holds a line break
+    rows = findings.withColumn("_strings", F.when(likely, F.lower(F.array_join(own, "\n"))))
+    words = F.array_compact(F.array(*[F.when(F.contains("_strings", F.lit(w)), F.lit(w)) for w in CAUSAL_WORDS]))
+    return rows.withColumn("causal_words", words).drop("_strings")
 
 
 def prompt_context(findings: DataFrame, longest: int = 60) -> DataFrame:
