@@ -264,7 +264,7 @@ on_bookings(
 @query("limitations_whole")
 def _whole_limitations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limitations of every figure of the whole result, and why analyses are unavailable."""
-    found = findings.figures(bookings.from_orders(spark, sf_dir), bookings.calendar(spark))
+    found = findings.figures(bookings.from_orders(spark, sf_dir, costly=True), bookings.calendar(spark))
     return views.whole_limitations(found, quality.availability(parsing.parse_json(raw.json_lines(spark, sf_dir))))
 
 # ---- sentences and audit
