@@ -53,14 +53,15 @@ def measure(bookings: DataFrame, run: Column | None = None) -> DataFrame:
         "zero_prices": one(price == 0), "nights_known": one(nights.isNotNull()), "nights_total": nights, "comparable": one(gap.isNotNull() & F.col("lead_time").isNotNull()), "differing": one(gap != F.col("lead_time")),
     }
     keys = [F.struct(F.lit(k).alias("kind"), label.cast("string").alias("label"), number.cast("bigint").alias("number")) for k, (label, number) in _keys().items()]
-    counted = F.filter(F.array(*keys), lambda x: x["label"].isNotNull() | (x["kind"].isin(*SIDES) & x["number"].isNotNull()))
     listed = [c for c in ("missing", "invalid", "unknown") if f"{c}_fields" in bookings.columns]
     names = {c: F.col(f"{c}_fields") for c in listed}
     if "missing" not in names:
         names["missing"] = F.filter(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())
     of = lambda kind, c: F.transform(c, lambda f: F.struct(F.lit(kind).alias("kind"), f.alias("label"), F.lit(None).cast("bigint").alias("number")))
-    counted = F.concat(counted, *[of(k, c) for k, c in names.items()])
-    rows = bookings.select((F.lit("") if run is None else run).alias("run"), "arrival_date", *[c.alias(n) for n, c in values.items()], F.explode(counted).alias("k"))
+    counted = F.concat(F.array(*keys), *[of(k, c) for k, c in names.items()])
+    # a booking's values and keys are made once, outer so that no filter makes them again; keys that it lacks fall away after the explode
+    rows = bookings.select((F.lit("") if run is None else run).alias("run"), "arrival_date", *[c.alias(n) for n, c in values.items()], counted.alias("keys"))
+    rows = rows.select("run", "arrival_date", *values, F.explode_outer("keys").alias("k")).where(F.col("k.label").isNotNull() | (F.col("k.kind").isin(*SIDES) & F.col("k.number").isNotNull()))
     return rows.groupBy("run", "k.kind", "k.label", "k.number").agg(*[F.sum(c).alias(c) for c in SUMS], F.min("arrival_date").alias("first_arrival"), F.max("arrival_date").alias("last_arrival"))
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyhouse.operators import parsing, text_audit
+from tallyhouse.operators import cube, parsing, text_audit
 from tallyhouse.operators.figures import valid
 from tallyhouse.sources import raw
 
@@ -38,3 +38,16 @@ def test_words_of_findings(spark, text, words):
     assert found.first().causal_words == words
     # the walk is in the plan once, not once a word
     assert _plan(found).count("schemaOfVariant") + _plan(found).count("schema_of_variant") <= 2
+
+
+def _whole_plan(spark, df):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        return _plan(df)
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_keys_of_a_booking_are_made_once(spark):
+    plan = _whole_plan(spark, cube.measure(parsing.parse_json(raw.booking_lines(spark, SF))))
+    assert "filter(array(" not in plan and plan.count("kind, arrival_month") == 1
