@@ -18,7 +18,8 @@ _EDGES = " \t\n\x0b\f\r"
 
 def _date(text: Column, pattern: str, shape: str) -> Column:
     # the shape has no month or day that no date has: a refused text costs an exception
-    day = F.try_to_date(F.when(text.rlike(shape), text), pattern)
+    dated = F.when(text.rlike(shape), text)
+    day = dated.try_cast("date") if pattern == "yyyy-MM-dd" else F.try_to_date(dated, pattern)
     return F.when(F.year(day) >= 1, day)
 
 
@@ -29,6 +30,45 @@ def _record(line: Column) -> Column:
     return F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")), F.try_parse_json(line))
 
 
+#: How a plain line's cell is read, by its kind. An amount stays a variant, which says how it is written.
+_PLAIN = {"text": "string", "identifier": "string", "date": "string", "integer": "bigint", "boolean": "boolean", "decimal": "variant"}
+_CORRUPT = "_corrupt"
+
+
+def _plain(line: Column) -> Column:
+    """A line as typed cells by one strict read, where it may be plain; null for other lines, and with _CORRUPT set if it could not be read."""
+    schema = ", ".join([f"{f} {_PLAIN[KINDS[f]]}" for f in FIELDS] + [f"{_CORRUPT} string"])
+    options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": _CORRUPT}
+    has = lambda x: F.contains(line, F.lit(x))
+    # one flat object and nothing behind it; every quote begins or ends a name or text; no space before a colon
+    flat = F.startswith(line, F.lit("{")) & (F.octet_length(F.substring_index(line, "}", 1)) == F.octet_length(line) - 1) & ~has("[") & ~has("\\")
+    close = ~has(" :") & ~has("\t:") & ~has("\n:") & ~has("\r:")
+    # far below the sizes that one reader takes and the other refuses
+    return F.when((F.octet_length(line) < 1 << 20) & flat & close, F.from_json(line, schema, options))
+
+
+def _is_plain(line: Column, plain: Column) -> Column:
+    """Whether _plain() holds all that the line says, of the types that the line has.
+
+    As many names as cells that were read: none is unknown, repeated, null or of a type that cannot be read. Texts read
+    what other types hold too, so there must be as many texts in quotes as cells read as texts. A text that begins with a
+    colon looks like a name: its line, like all that are not plain, is read as a variant.
+    """
+    count = lambda x: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))
+    held = lambda *types: sum((plain[f].isNotNull().cast("int") for f in FIELDS if _PLAIN[KINDS[f]] in types), F.lit(0))
+    quoted = [(F.schema_of_variant(plain[f]) == "STRING").cast("int") for f in FIELDS if _PLAIN[KINDS[f]] == "variant"]
+    texts = sum((F.coalesce(x, F.lit(0)) for x in quoted), held("string"))
+    names = held("string") + held("bigint", "boolean", "variant")
+    return F.coalesce(plain.isNotNull() & plain[_CORRUPT].isNull() & (count('":') == names * 2) & (count('"') == (names + texts) * 2), F.lit(False))
+
+
+def _plain_seen(field: Column, of_kind: str) -> tuple[Column, Column]:
+    """What _seen() gives, of a plain line's cell that is read as a text or variant."""
+    if _PLAIN[of_kind] == "variant":
+        return _seen(field)
+    return F.when(field.isNotNull(), F.lit("STRING")), F.btrim(field, F.lit(_EDGES))
+
+
 def _seen(field: Column) -> tuple[Column, Column]:
     """(type, stripped text) of a variant; the type of an absent field is null."""
     return F.schema_of_variant(field), F.btrim(F.try_variant_get(field, "$", "string"), F.lit(_EDGES))
@@ -86,23 +126,34 @@ def parse_json(lines: DataFrame, line: str = "line", with_issue: bool = False) -
     """lines with one typed column per field, and the names of missing, of invalid and of unknown fields.
 
     A line that is no JSON object has all fields missing; with_issue adds the code of load_issues() or BLANK as issue.
-    Each step has a function with a lambda, which Spark keeps out of whole-stage code: the fields' expressions are then
+    A plain line is read by type at once, any other as a variant, whose cells cost several times as much; both say the
+    same of a cell. Each step has a function with a lambda, which Spark keeps out of whole-stage code: the fields' expressions are then
     generated as many small methods, which the JVM compiles, and not as a large one, which it does not.
     """
-    rows = lines.withColumn("_record", _record(F.col(line)))
+    rows = lines.withColumn("_plain", _plain(F.col(line)))
+    plain = _is_plain(F.col(line), F.col("_plain"))
+    rows = rows.select(*lines.columns, "_plain", (plain & F.exists(F.array(F.lit(True)), lambda x: x)).alias("_is_plain"))
+    is_plain, cell_of = F.col("_is_plain"), {f: F.col("_plain")[f] for f in FIELDS}
+    rows = rows.select(*lines.columns, "_plain", "_is_plain", F.when(~is_plain, _record(F.col(line))).alias("_record"))
     blank = F.coalesce(F.trim(line) == "", F.lit(True))
-    issue = F.when(blank, "BLANK").when(F.col("_record").isNull(), F.when(F.try_parse_json(line).isNull() | F.startswith(F.ltrim(line, F.lit(" \t\r\n")), F.lit("{")), "RECORD_INVALID_JSON").otherwise("RECORD_NOT_OBJECT"))
+    issue = F.when(blank, "BLANK").when(~is_plain & F.col("_record").isNull(), F.when(F.try_parse_json(line).isNull() | F.startswith(F.ltrim(line, F.lit(" \t\r\n")), F.lit("{")), "RECORD_INVALID_JSON").otherwise("RECORD_NOT_OBJECT"))
     more = [issue.alias("issue")] if with_issue else []
     issued = ["issue"] if with_issue else []
     # by one map of all fields: a variant looks each name up by a walk through its own
-    rows = rows.select(*lines.columns, F.try_variant_get("_record", "$", "map<string,variant>").alias("_fields"), *more)
+    rows = rows.select(*lines.columns, "_plain", "_is_plain", F.try_variant_get("_record", "$", "map<string,variant>").alias("_fields"), *more)
     known = F.array(*map(F.lit, FIELDS))
     unknown = F.coalesce(F.sort_array(F.array_except(F.map_keys("_fields"), known)), F.array().cast("array<string>"))
+    either = lambda a, b: tuple(F.when(is_plain, x).otherwise(y) for x, y in zip(a, b, strict=True))
     seen = {f: _seen(F.try_element_at("_fields", F.lit(f))) for f in FIELDS}
-    some = F.coalesce(F.exists(F.map_keys("_fields"), lambda name: name.isNotNull()), F.lit(False))
-    rows = rows.select(*lines.columns, some.alias("_some"), *[x.alias(f"_{part}_{f}") for f in FIELDS for part, x in zip(("kind", "text"), seen[f], strict=True)], unknown.alias("unknown_fields"), *issued)
+    typed = [f for f in FIELDS if KINDS[f] in ("integer", "boolean")]
+    seen |= {f: either(_plain_seen(cell_of[f], KINDS[f]), seen[f]) for f in FIELDS if f not in typed}
+    some = is_plain | F.coalesce(F.exists(F.map_keys("_fields"), lambda name: name.isNotNull()), F.lit(False))
+    rows = rows.select(*lines.columns, "_is_plain", *[cell_of[f].alias(f"_cell_{f}") for f in typed], some.alias("_some"), *[x.alias(f"_{part}_{f}") for f in FIELDS for part, x in zip(("kind", "text"), seen[f], strict=True)], unknown.alias("unknown_fields"), *issued)
     missing = {f: ~F.col("_some") | _is_missing(F.col(f"_kind_{f}"), F.col(f"_text_{f}")) for f in FIELDS}
     value = {f: F.when(~missing[f], _value(KINDS[f], F.col(f"_kind_{f}"), F.col(f"_text_{f}"), _exact(F.col(line), f))).cast(TYPES[KINDS[f]]) for f in FIELDS}
+    missing |= {f: F.when(is_plain, F.col(f"_cell_{f}").isNull()).otherwise(missing[f]) for f in typed}
+    whole = lambda f: F.when(F.col(f"_cell_{f}") >= 0, F.col(f"_cell_{f}")) if KINDS[f] == "integer" else F.col(f"_cell_{f}")
+    value |= {f: F.when(is_plain, whole(f)).otherwise(value[f]) for f in typed}
     # a row's number keeps filters on values above this step: moved below, they would parse a line once for each of its uses
     given = F.exists(F.array("_some"), lambda x: x) & (F.monotonically_increasing_id() >= 0)
     rows = rows.select(*lines.columns, given.alias("_some"), *[value[f].alias(f"_value_{f}") for f in FIELDS], *[missing[f].alias(f"_no_{f}") for f in FIELDS], "unknown_fields", *issued)
